@@ -77,6 +77,7 @@ def run_number(name: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
+    """Size as text. Halves of the last digit round up."""
     return (
         F.when(size >= 1e9, F.format_string("%.2f GB", size / 1e9))
         .when(size >= 1e6, F.format_string("%.1f MB", size / 1e6))

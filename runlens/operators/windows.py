@@ -27,10 +27,6 @@ def every_nth(
     return placed.where(F.col("place") % n == 0)
 
 
-def top_rows(df: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
-    return df.orderBy(*order).limit(k)
-
-
 def first_match(pairs: DataFrame, keys: Sequence[str], rank: str, value: str) -> DataFrame:
     """Value of the lowest rank per key, combined before the shuffle."""
     return pairs.groupBy(*keys).agg(F.min(rank).alias(rank), F.min_by(value, rank).alias(value))
