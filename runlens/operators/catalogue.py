@@ -31,7 +31,9 @@ def containment(texts: DataFrame, terms: DataFrame) -> DataFrame:
     lengths to cut are one small array, at most as long as the longest term.
     """
     lengths = terms.agg(F.collect_set(F.length("term"))).scalar()
-    pieces = texts.distinct().select("text", F.explode(_pieces(F.col("text"), lengths)).alias("term"))
+    measured = texts.distinct().withColumn("lengths", lengths)
+    cut = F.explode(_pieces(F.col("text"), F.col("lengths")))
+    pieces = measured.select("text", cut.alias("term"))
     return pieces.join(terms.distinct(), "term").select("text", "term")
 
 
@@ -128,7 +130,7 @@ def layer_counts(catalogue: DataFrame) -> DataFrame:
 
 
 def priority_keytype_crosstab(catalogue: DataFrame, key_types: list[str]) -> DataFrame:
-    wide = catalogue.groupBy("priority").pivot("key_type", key_types).agg(F.count("*"))
+    wide = catalogue.groupBy("priority").pivot("key_type", key_types).agg(F.count(F.lit(1)))
     return wide.fillna(0, key_types)
 
 

@@ -201,7 +201,7 @@ def row_outliers_sigma(
     counts = join_on(runs, limits, [tranche]).groupBy(tranche, "median").agg(
         far.alias("far"), F.min(rows).alias("least"), F.max(rows).alias("most")
     )
-    expected = F.format_string("median=%.0f min=%d max=%d", "median", "least", "most")
+    expected = F.format_string("median=%.1f min=%d max=%d", "median", "least", "most")
     return result(
         counts, "row_outliers", "tranche", F.col(tranche), F.col("far"), expected,
         F.col("far") == 0, "WARN",
