@@ -1 +1,329 @@
-"""Registered queries."""
+"""Sources and sinks: Spark writes files from the tables, and the readers read them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from runlens.operators import manifest, quality, silver
+from runlens.plans.ingest import ingest
+from runlens.plans.queries.catalogue import feature_measurand_join
+from runlens.plans.queries.measurements import silver_sql
+from runlens.plans.queries.names import DB_SQL, LABEL_SQL
+from runlens.plans.registry import QUERIES, Tables, query
+from runlens.plans.views import (
+    CATALOGUE, FEATURES, FOLDERS, MANIFEST, NATIVE, STORED, View,
+)
+from runlens.session import scratch_path
+from runlens.sources import csv_groups, files, label_db, tables
+
+FOLDERS_SQL, NATIVE_SQL = FOLDERS.sql(), NATIVE.sql()
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+# Raw rows: a run's events, one CSV group per event type.
+RAW = View("events", [
+    "user_id as run_no", "event_id", "ts", "value",
+    "case event_type when 'click' then 'UECOMBINED_MACRXSTATS_ALL'"
+    " when 'view' then 'UECOMBINED_L1CARRIERPOWERS' when 'error' then 'UECOMBINED_PDCPRXSTATS_ALL'"
+    " when 'signup' then 'UECOMBINED_RLCRXSTATS_ALL' else 'UECOMBINED_MACTXSTATS_ALL' end as grp",
+])
+TAGS = ("mac_rx", "l1_powers", "pdcp_rx", "rlc_rx", "mac_tx")
+TAG_SQL = """case event_type when 'click' then 'mac_rx' when 'view' then 'l1_powers' when 'error' then 'pdcp_rx'
+ when 'signup' then 'rlc_rx' else 'mac_tx' end"""
+MEASUREMENTS = ("mean value", "event id")
+KEYS = ["tranche", "session", "run_id", "file"]
+
+
+def _once(load: Tables, name: str, write) -> str:
+    """Write a file set once per session and scale."""
+    key = (load.spark.sparkContext.applicationId, load.sf_dir, name)
+    if key not in _WRITTEN:
+        path = scratch_path(load.spark, name)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def raw_tree(load: Tables) -> str:
+    """A raw tree in which on and off runs have different headers.
+
+    Rows are range-partitioned, so a huge group becomes several part files in order.
+    """
+    def write(path: str) -> None:
+        folders = load(FOLDERS).select(
+            "run_no", "tranche", "session", F.col("run_name").alias("run_id"),
+            F.substring("file_stem", 1, 13).alias("prefix"),
+        )
+        rows = load(RAW).join(folders, "run_no").select(
+            "tranche", "session", "run_id", F.concat_ws("_", "prefix", "grp").alias("file"),
+            F.unix_micros(F.col("ts").cast("timestamp")).alias("Time us"),
+            F.col("value").alias("Mean Value"), F.col("event_id").alias("Event ID"),
+            F.lit("x").alias("Note"),
+        )
+        order = [*KEYS, "Time us", "Event ID"]
+        spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        upper = F.lower("run_id").startswith("cipheron")
+        layouts = {
+            True: ["Time us", "Mean Value", "Event ID"],
+            False: ["Note", "Event ID", "Mean Value", "Time us"],
+        }
+        for on, columns in layouts.items():
+            (
+                spread.where(upper if on else ~upper).select(*KEYS, *columns)
+                .write.mode("append").partitionBy(*KEYS).option("header", "true").csv(path)
+            )
+
+    return _once(load, "raw", write)
+
+
+@query("src_run_tree", f"""select f.tranche, f.session, f.run_name as run_id, {TAG_SQL} as tag
+ from events e join {FOLDERS_SQL} f on f.run_no = e.user_id group by 1, 2, 3, 4""")
+def src_run_tree(load: Tables):
+    tree = files.run_tree(files.list_files(load.spark, raw_tree(load), "*.csv"))
+    return tree.select("tranche", "session", "run_id", "tag").distinct()
+
+
+@query("src_run_sizes")
+def src_run_sizes(load: Tables):
+    return files.run_sizes(files.run_tree(files.list_files(load.spark, raw_tree(load), "*.csv")))
+
+
+def _columns() -> dict[str, tuple[str, ...]]:
+    return {tag: MEASUREMENTS for tag in TAGS}
+
+
+def _read(load: Tables) -> DataFrame:
+    root = raw_tree(load)
+    tree = files.run_tree(files.list_files(load.spark, root, "*.csv"))
+    headers = files.csv_headers(tree)
+    return csv_groups.read_groups(load.spark, root, tree, headers, _columns())
+
+
+PLACED_SQL = f"""(select f.tranche, f.session, f.run_name as run_id, {TAG_SQL} as tag, value, event_id, epoch_us(ts) as us,
+ row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as ordinal
+ from events e join {FOLDERS_SQL} f on f.run_no = e.user_id)"""
+
+
+@query("src_group_csv", f"""select run_id, tag, ordinal, value as mean_value, cast(event_id as double) as event_id
+ from {PLACED_SQL}""")
+def src_group_csv(load: Tables):
+    placed = csv_groups.row_ordinal(_read(load), csv_groups.FILE, csv_groups.POSITION)
+    return placed.select(
+        "run_id", "tag", "ordinal",
+        F.col("values")[0].alias("mean_value"), F.col("values")[1].alias("event_id"),
+    )
+
+
+MARGIN_US = 86_400_000_000
+TRIMMED_SQL = f"""(select *, row_number() over (partition by run_id, tag order by us, event_id) - 1 as place from (select *,
+ min(us) over (partition by run_id, tag) as a, max(us) over (partition by run_id, tag) as b from {PLACED_SQL})
+ where us between a + {MARGIN_US} and b - {MARGIN_US})"""
+LABELLED_SQL = f"""(select run_name as run_id, coalesce({LABEL_SQL}, {DB_SQL}, 'unknown') as cipher_state from {FOLDERS_SQL})"""
+
+
+def _labels(load: Tables) -> DataFrame:
+    return load(FOLDERS).select("tranche", "session", F.col("run_name").alias("name"), "enb")
+
+
+@query("ingest_bronze", f"""with s as (select run_id, min(n) as m from (select run_id, tag, count(*) as n
+  from {TRIMMED_SQL} group by 1, 2) group by 1)
+ select run_id, cipher_state, place as ordinal, {', '.join(
+  f"max(value) filter (where tag = '{t}') as {t}__mean_value" for t in TAGS)}
+ from {TRIMMED_SQL} join s using (run_id) join {LABELLED_SQL} using (run_id)
+ where place < m and m >= 5 and cipher_state <> 'unknown' group by 1, 2, 3""")
+def ingest_bronze(load: Tables):
+    done = ingest(load.spark, raw_tree(load), _columns(), _labels(load), MARGIN_US, 5)
+    return done.bronze.select("run_id", "cipher_state", "ordinal", *[f"{t}__mean_value" for t in TAGS])
+
+
+@query("ingest_manifest", f"""select run_id, outcome, count(*) as n from (select run_name as run_id,
+ case when cipher_state = 'unknown' or coalesce(m, 0) < 5 then 'quarantine' else 'ok' end as outcome from {FOLDERS_SQL} f
+ join {LABELLED_SQL} l on l.run_id = f.run_name left join (select run_id, min(n) as m from (select run_id, tag, count(*) as n
+ from {TRIMMED_SQL} group by 1, 2) group by 1) s on s.run_id = f.run_name) group by 1, 2""")
+def ingest_manifest(load: Tables):
+    done = ingest(load.spark, raw_tree(load), _columns(), _labels(load), MARGIN_US, 5)
+    return done.manifest.groupBy("run_id", "outcome").agg(F.count("*").alias("n"))
+
+
+def _session_files(load: Tables) -> DataFrame:
+    """A label file per (tranche, session); a session has a dozen runs by construction."""
+    def build(pdf):
+        import sqlite3
+
+        import pandas as pd
+
+        con = sqlite3.connect(":memory:")
+        con.execute("create table configurations (id integer primary key, name text, eNB text)")
+        pairs = pdf.sort_values("name")[["name", "enb"]].astype(object)
+        con.executemany(
+            "insert into configurations (name, eNB) values (?, ?)",
+            pairs.where(pairs.notna(), None).itertuples(index=False, name=None),
+        )
+        con.commit()
+        first = pdf.iloc[0]
+        content = bytes(con.serialize())
+        return pd.DataFrame([(first["tranche"], first["session"], content)],
+                            columns=["tranche", "session", "content"])
+
+    return _labels(load).groupBy("tranche", "session").applyInPandas(
+        build, "tranche string, session string, content binary"
+    )
+
+
+@query("src_label_db", f"select tranche, session, run_name as name, enb from {FOLDERS_SQL}")
+def src_label_db(load: Tables):
+    return label_db.label_table(_session_files(load))
+
+
+# --- stored tables --------------------------------------------------------------------
+
+
+def bronze_files(load: Tables) -> str:
+    """Bronze in which one column is an integer in some files and a float in others."""
+    def write(path: str) -> None:
+        rows = load(NATIVE).withColumn("measurement_ts", F.col("measurement_ts").cast("string"))
+        rows = rows.withColumns({
+            "run_number": F.col("run_id"), "run_id": F.col("run_id").cast("string"),
+            "label_mismatch": F.lit(False),
+        })
+        mixed = "l1_dl_carrier__retransmission_0"
+        on, off = F.col("cipher_state") == "on", F.col("cipher_state") == "off"
+        tables.write_bronze(rows.where(on).withColumn(mixed, F.col(mixed).cast("int")), f"{path}/on")
+        tables.write_bronze(rows.where(off).withColumn(mixed, F.col(mixed).cast("float")), f"{path}/off")
+
+    return _once(load, "bronze", write)
+
+
+MEASURED = ("l1_dl_carrier__dl_sch_bler", "l1_dl_carrier__retransmission_0", "rlc_rx__lost_pdus")
+BRONZE_READ_SQL = f"""select cast(run_id as varchar) as run_id, cipher_state, tranche, session,
+ {', '.join(MEASURED)} from {NATIVE_SQL}"""
+
+
+def _bronze(load: Tables) -> DataFrame:
+    path = bronze_files(load)
+    frames = [
+        tables.read_bronze(load.spark, f"{path}/{part}", tables.bronze_schema(MEASURED))
+        for part in ("on", "off")
+    ]
+    return frames[0].unionByName(frames[1])
+
+
+@query("src_bronze", BRONZE_READ_SQL)
+def src_bronze(load: Tables):
+    return _bronze(load).select("run_id", "cipher_state", "tranche", "session", *MEASURED)
+
+
+@query("sink_bronze", f"""select tranche, session, cast(run_id as varchar) as run_id, count(*) as n
+ from {NATIVE_SQL} group by 1, 2, 3""")
+def sink_bronze(load: Tables):
+    return _bronze(load).groupBy("tranche", "session", "run_id").agg(F.count("*").alias("n"))
+
+
+def _footers(load: Tables) -> DataFrame:
+    return files.footer_columns(files.list_files(load.spark, bronze_files(load), "*.parquet"))
+
+
+@query("src_footer_schema")
+def src_footer_schema(load: Tables):
+    return _footers(load).select("tranche", "path", "column", "type", "error")
+
+
+@query("dq_boolean_columns")
+def dq_boolean_columns(load: Tables):
+    return quality.boolean_columns(_footers(load))
+
+
+@query("dq_column_counts")
+def dq_column_counts(load: Tables):
+    return quality.column_counts(_footers(load))
+
+
+@query("dq_readable")
+def dq_readable(load: Tables):
+    return quality.readable(_footers(load))
+
+
+@query("val_files_present")
+def val_files_present(load: Tables):
+    missing = manifest.missing_files(load(MANIFEST), load(STORED))
+    return quality.files_present(missing, _footers(load))
+
+
+@query("val_schema_uniform")
+def val_schema_uniform(load: Tables):
+    return quality.schema_uniform(_footers(load))
+
+
+@query("distinct_schemas")
+def distinct_schemas(load: Tables):
+    return quality.distinct_schemas(_footers(load))
+
+
+@query("find_dtype_conflicts")
+def find_dtype_conflicts(load: Tables):
+    return quality.dtype_conflicts(_footers(load))
+
+
+@query("mixed_types")
+def mixed_types(load: Tables):
+    return quality.mixed_types(_footers(load))
+
+
+@query("sink_silver", silver_sql())
+def sink_silver(load: Tables):
+    path = scratch_path(load.spark, "silver")
+    tables.write_table(silver.run_features(load(NATIVE)), path)
+    return load.spark.read.parquet(path)
+
+
+@query("sink_manifest", f"select * from {MANIFEST.sql()}")
+def sink_manifest(load: Tables):
+    path = scratch_path(load.spark, "manifest")
+    rows = load(MANIFEST)
+    tables.write_csv(rows, path)
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return tables.read_manifest(load.spark, path, schema)
+
+
+@query("sink_catalogue", QUERIES["feature_measurand_join"].sql)
+def sink_catalogue(load: Tables):
+    path = scratch_path(load.spark, "catalogue")
+    tables.write_csv(feature_measurand_join(load), path)
+    exported = tables.read_text_table(load.spark, path)
+    return exported.fillna("", ["layer_raw"]).withColumn("priority", F.col("priority").cast("bigint"))
+
+
+@query("src_variable_key", f"select new_var_num, orig_var_name from {FEATURES.sql()}")
+def src_variable_key(load: Tables):
+    path = scratch_path(load.spark, "variable-key")
+    padded = load(FEATURES).select(*[
+        F.concat(F.lit("  "), c, F.lit(" ")).alias(c) for c in ("new_var_num", "orig_var_name")
+    ])
+    padded.write.options(
+        header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
+    ).csv(path)
+    return tables.read_text_table(load.spark, path)
+
+
+@query("src_measurands", f"""select cast(pos as varchar) as pos, nullif(layer_raw, '') as layer_raw, ue_logging, meas_key
+ from {CATALOGUE.sql()}""")
+def src_measurands(load: Tables):
+    path = scratch_path(load.spark, "measurands")
+    rows = load(CATALOGUE).select(
+        "pos", F.nullif("layer_raw", F.lit("")).alias("layer_raw"), "ue_logging", "meas_key",
+        F.lit(None).cast("string").alias(" "),
+    )
+    blank = rows.select(*[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+    rows.unionByName(blank).write.option("header", "true").csv(path)
+    return tables.read_catalogue(load.spark, path)
+
+
+@query("src_reference_features", """select cast(l_suppkey as varchar) as run, max(l_discount) as x15,
+ min(l_tax) as x182, cast(l_suppkey % 2 as double) as indicator from lineitem group by l_suppkey""")
+def src_reference_features(load: Tables):
+    path = scratch_path(load.spark, "published")
+    runs = load("lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(
+        F.max("l_discount").alias("x15"), F.min("l_tax").alias("x182")
+    )
+    tables.write_csv(runs.withColumn("indicator", F.col("run") % 2), path)
+    return tables.read_published(load.spark, path)
