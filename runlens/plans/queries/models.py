@@ -1 +1,131 @@
-"""Registered queries."""
+"""Models over the run table."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from runlens.operators import compare, forest, models
+from runlens.plans.queries.runs import histogram_sql
+from runlens.plans.registry import Tables, query, rounded
+from runlens.plans.views import ML
+
+ML_SQL = ML.sql()
+FEATURES = ["bler_mean", "dl_throughput_mean", "retx_mean", "mcs_mean"]
+
+
+@query("ml_split_tranche", f"""select run_id, case tranche when 'Tranche_B' then 'train' else 'test' end as part
+ from {ML_SQL} where tranche in ('Tranche_A', 'Tranche_B', 'Tranche_C')""")
+def ml_split_tranche(load: Tables):
+    return models.split_tranches(load(ML)).select("run_id", "part")
+
+
+def _parts(load: Tables):
+    runs = models.split_tranches(load(ML))
+    return runs.where("part = 'train'"), runs.where("part = 'test'")
+
+
+@query("ml_assemble", "select run_id, target, " + ", ".join(
+    f"round((x{i} - avg(x{i}) over ()) / stddev_samp(x{i}) over (), 6) as {f}" for i, f in enumerate(FEATURES)
+) + f""" from (select run_id, case cipher_state when 'on' then 1.0e0 else 0.0e0 end as target,
+ {', '.join(f'coalesce({f}, avg({f}) over ()) as x{i}' for i, f in enumerate(FEATURES))} from {ML_SQL})""")
+def ml_assemble(load: Tables):
+    vectors = models.assemble(load(ML), FEATURES).withColumn("v", vector_to_array("features"))
+    return rounded(vectors.select(
+        "run_id", "target", *[F.col("v")[i].alias(f) for i, f in enumerate(FEATURES)]
+    ), 6, *FEATURES)
+
+
+@query("ml_threshold_baseline", f"""with c as (select bler_mean as x, count(*) filter (where cipher_state = 'on') as a,
+  count(*) filter (where cipher_state = 'off') as b from {ML_SQL} group by 1),
+ r as (select x, sum(a - b) over (order by x) as s, sum(a) over () as ta, sum(b) over () as tb from c)
+ select x as threshold, side as on_side, right_ / (ta + tb) as accuracy from (
+  select x, 'above' as side, ta - s as right_, ta, tb from r union all select x, 'up to', tb + s, ta, tb from r)
+ order by right_ desc, x, side limit 1""")
+def ml_threshold_baseline(load: Tables):
+    return models.threshold_baseline(load(ML), "bler_mean")
+
+
+@query("ml_logistic")
+def ml_logistic(load: Tables):
+    train, test = _parts(load)
+    model = models.fit_logistic(train, FEATURES)
+    return models.predict(model, test, ["run_id", "tranche", "cipher_state"])
+
+
+@query("ml_coefficients")
+def ml_coefficients(load: Tables):
+    train, _ = _parts(load)
+    return models.coefficients(models.fit_logistic(train, FEATURES), train, FEATURES)
+
+
+@query("ml_random_forest")
+def ml_random_forest(load: Tables):
+    train, test = _parts(load)
+    model = models.fit_random_forest(train, FEATURES)
+    return models.predict(model, test, ["run_id", "tranche", "cipher_state"])
+
+
+@query("ml_feature_importances")
+def ml_feature_importances(load: Tables):
+    train, _ = _parts(load)
+    return models.importances(models.fit_random_forest(train, FEATURES), train, FEATURES)
+
+
+@query("ml_shap_importance")
+def ml_shap_importance(load: Tables):
+    train, test = _parts(load)
+    model = models.fit_logistic(train, FEATURES)
+    return models.shapley_importance(model, test, "run_id", FEATURES)
+
+
+def _scored(load: Tables):
+    runs = load(ML).select("run_id", "tranche", "cipher_state", *FEATURES)
+    nodes = forest.fit_forest(runs.where("cipher_state = 'on'"), "run_id", FEATURES)
+    return forest.score_forest(runs, nodes, FEATURES)
+
+
+@query("ml_isolation_forest")
+def ml_isolation_forest(load: Tables):
+    return _scored(load).select("run_id", "cipher_state", "score")
+
+
+@query("ml_isolation_histogram")
+def ml_isolation_histogram(load: Tables):
+    return compare.histogram(_scored(load), "score", 40)
+
+
+@query("ml_auc", f"""with c as (select bler_mean as x, count(*) filter (where cipher_state = 'on') as a,
+  count(*) filter (where cipher_state = 'off') as b from {ML_SQL} group by 1),
+ r as (select a, b, sum(b) over (order by x) as upto from c)
+ select round(sum(a * (upto - b / 2)) / (cast(sum(a) as double) * sum(b)), 9) as auc,
+ cast(sum(a) as bigint) as n_positive, cast(sum(b) as bigint) as n_negative from r""")
+def ml_auc(load: Tables):
+    return rounded(models.auc(load(ML), "bler_mean"), 9, "auc")
+
+
+def _thresholded(load: Tables):
+    cut = F.when(F.col("bler_mean") > 0.051, "on").otherwise("off")
+    return load(ML).withColumn("predicted", cut)
+
+
+@query("ml_accuracy", f"""select tranche, count(*) as n, count(*) filter (where cipher_state =
+ case when bler_mean > 0.051 then 'on' else 'off' end) / count(*) as accuracy from {ML_SQL} group by 1""")
+def ml_accuracy(load: Tables):
+    return models.accuracy(_thresholded(load), "tranche")
+
+
+@query("ml_detection_rates", f"""select avg(case when bler_mean <= 0.051 then 1e0 else 0e0 end) filter (where cipher_state = 'off')
+ as detection_rate, avg(case when bler_mean <= 0.051 then 1e0 else 0e0 end) filter (where cipher_state <> 'off')
+ as false_alarm_rate from {ML_SQL}""")
+def ml_detection_rates(load: Tables):
+    return models.detection_rates(load(ML), F.col("bler_mean") <= 0.051)
+
+
+SCORED_SQL = f"(select cipher_state, -abs(bler_mean - 0.05) as score from {ML_SQL})"
+
+
+@query("ml_score_histogram", histogram_sql(SCORED_SQL, "score", 40))
+def ml_score_histogram(load: Tables):
+    scored = load(ML).select("cipher_state", (-F.abs(F.col("bler_mean") - 0.05)).alias("score"))
+    return compare.histogram(scored, "score", 40)
