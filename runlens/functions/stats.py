@@ -9,7 +9,8 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+# A sketch keeps about this many values, however many rows a run has.
+ACCURACY = 10_000
 
 
 def number(raw: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runlens.constants import QUANTILES, SHORT_QUANTILES
 from runlens.functions.stats import quantiles, share
+from runlens.operators.ordinal import HOT_ROWS, gather
 
 
 def feature_quantiles(
@@ -17,12 +18,14 @@ def feature_quantiles(
     run: str,
     measurands: Sequence[str],
     points: Sequence[float] = QUANTILES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows (run, measurand, feature_type, feature_value, value).
 
     Aggregated wide and unfolded afterwards: the measurement rows are not multiplied.
     """
-    wide = df.groupBy(run).agg(*[quantiles(F.col(m), points).alias(m) for m in measurands])
+    gathered = gather(df.select(run, *measurands), [run], hot_rows)
+    wide = gathered.groupBy(run).agg(*[quantiles(F.col(m), points).alias(m) for m in measurands])
     rows = F.array(*[
         F.struct(
             F.lit(m).alias("measurand"),
@@ -88,7 +91,10 @@ BENCHMARKS = (
 
 
 def benchmark_features(
-    df: DataFrame, run: str, benchmarks: Sequence[Benchmark] = BENCHMARKS
+    df: DataFrame,
+    run: str,
+    benchmarks: Sequence[Benchmark] = BENCHMARKS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Published features per run, with a flag for those that have an expected range."""
     aggregates, flags = [], []
@@ -100,5 +106,6 @@ def benchmark_features(
         aggregates.append(value.alias(b.name))
         if b.low is not None:
             flags.append(F.col(b.name).between(b.low, b.high).alias(f"{b.name}_in_range"))
-    wide = df.groupBy(run).agg(*aggregates)
+    used = list(dict.fromkeys(b.column for b in benchmarks))
+    wide = gather(df.select(run, *used), [run], hot_rows).groupBy(run).agg(*aggregates)
     return wide.select(run, *[b.name for b in benchmarks], *flags)

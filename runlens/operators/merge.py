@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.ordinal import HOT_ROWS, join_on, row_ordinal
+from runlens.operators.ordinal import HOT_ROWS, fits, join_on, row_ordinal
 
 
 def group_sizes(df: DataFrame, run: Sequence[str], group: str) -> DataFrame:
@@ -47,15 +47,23 @@ def merge_long(
 ) -> DataFrame:
     """Positional merge of one long table: a row per (run, ordinal), a column per group.
 
-    Groups that a run lacks stay null and do not shorten it. The merge key includes the
-    ordinal, so the rows of a hot run spread over all tasks.
+    Groups that a run lacks stay null and do not shorten it. Runs that fit one task each are
+    placed, cut and widened in a single shuffle by run. Otherwise rows are placed across tasks,
+    and the merge key includes the ordinal, so a hot run spreads over all tasks.
     """
-    floor = shortest_group(group_sizes(df, run, group), run)
-    placed = row_ordinal(df, [*run, group], order, "ordinal", hot_rows)
-    kept = join_on(placed, floor, run).where(F.col("ordinal") < F.col("min_rows"))
-    return kept.groupBy(*run, "ordinal").agg(
-        *[F.max(F.when(F.col(group) == g, F.col(value))).alias(f"{g}__{value}") for g in groups]
-    )
+    columns = [F.max(F.when(F.col(group) == g, F.col(value))).alias(f"{g}__{value}") for g in groups]
+    if fits(df, run, hot_rows):
+        whole, part = Window.partitionBy(*run), Window.partitionBy(*run, group)
+        placed = df.repartition(*run).select(
+            *run, group, value,
+            (F.row_number().over(part.orderBy(*order)) - 1).cast("bigint").alias("ordinal"),
+            F.count(F.lit(1)).over(part).alias("n_rows"),
+        ).withColumn("min_rows", F.min("n_rows").over(whole))
+    else:
+        floor = shortest_group(group_sizes(df, run, group), run)
+        placed = join_on(row_ordinal(df, [*run, group], order, "ordinal", hot_rows), floor, run)
+    kept = placed.where(F.col("ordinal") < F.col("min_rows"))
+    return kept.groupBy(*run, "ordinal").agg(*columns)
 
 
 def merge_frames(frames: Mapping[str, DataFrame], run: Sequence[str]) -> DataFrame:

@@ -34,6 +34,22 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
+def fits(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether each group may go to one task. The first key alone is counted: its groups can
+    only be larger, and one column is cheaper to read."""
+    return largest_group(df, keys[:1]) <= hot_rows
+
+
+def gather(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Bring each group into one task before it is sketched, unless a group is too large.
+
+    A quantile sketch of a few thousand rows is larger than the rows, so shuffling rows and
+    sketching once is cheaper than shuffling sketches. A hot group is left where it is: its
+    sketches, of bounded size, are built by many tasks and merged.
+    """
+    return df.repartition(*keys) if fits(df, keys, hot_rows) else df
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.stats import quantiles, row_sum, share
+from runlens.operators.ordinal import HOT_ROWS, gather
 
 IDENTITY = ("run_id", "cipher_state", "tranche", "session")
 
@@ -90,11 +91,12 @@ def run_features(
     bronze: DataFrame,
     families: Iterable[str] | None = None,
     identity: Sequence[str] = IDENTITY,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Bronze rows to one row per run, in a single shuffle on the identity columns.
 
-    Every measurement has one quantile sketch for all its points. Sketches and sums merge
-    before the shuffle, so a run that holds most of the rows ships no more than any other.
+    Every measurement has one quantile sketch for all its points. Rows are gathered by run
+    first; where a run is too large for that, sums and sketches merge before the shuffle.
     """
     chosen = features_of(families)
     aggregates = [F.min("measurement_ts").alias("measurement_ts"), F.count("*").alias("row_count")]
@@ -114,7 +116,9 @@ def run_features(
             aggregates.append(value.alias(name))
             digits = f.decimals if plain else RATE_DECIMALS
             columns.append(F.round(name, digits).alias(name))
-    grouped = bronze.groupBy(*identity).agg(*aggregates)
+    sketched = any(f.points() for f in chosen)
+    rows = gather(bronze, identity, hot_rows) if sketched else bronze
+    grouped = rows.groupBy(*identity).agg(*aggregates)
     return grouped.select(*identity, "measurement_ts", "row_count", *columns)
 
 

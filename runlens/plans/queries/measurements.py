@@ -61,13 +61,13 @@ def silver_projection(load: Tables):
     return silver.ordered(silver.run_features(load(NATIVE)))
 
 
-@query("agg_approx_quantiles", f"""select tranche, {', '.join(
+@query("agg_approx_quantiles", f"""select run_id, {', '.join(
     f'quantile_disc(dl_tput, {p}) as q{int(p * 100):02d}' for p in (0.05, 0.25, 0.5, 0.75, 0.95))}
  from {BRONZE_SQL} group by 1""")
 def agg_approx_quantiles(load: Tables):
     points = (0.05, 0.25, 0.5, 0.75, 0.95)
-    sketches = load(BRONZE).groupBy("tranche").agg(stats.quantiles(F.col("dl_tput"), points).alias("q"))
-    return sketches.select("tranche", *[F.col("q")[i].alias(f"q{int(p * 100):02d}") for i, p in enumerate(points)])
+    sketches = load(BRONZE).groupBy("run_id").agg(stats.quantiles(F.col("dl_tput"), points).alias("q"))
+    return sketches.select("run_id", *[F.col("q")[i].alias(f"q{int(p * 100):02d}") for i, p in enumerate(points)])
 
 
 @query("agg_nonzero_rate", f"""select run_id,
