@@ -99,7 +99,7 @@ def kpi_feature_lookup(features: DataFrame, kpis: dict = KPI_FEATURES) -> DataFr
     wanted = spark.createDataFrame(rows, "kpi string, new_var_num string")
     # The literal list has a dozen ids: keep only their rows before joining them back.
     known = features.where(F.col("new_var_num").isin([x for _, x in rows]))
-    return F.broadcast(wanted).join(known, "new_var_num", "left").select(
+    return wanted.join(known, "new_var_num", "left").select(
         "kpi", "new_var_num", F.coalesce("orig_var_name", F.lit(NOT_FOUND)).alias("orig_var_name")
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runlens.constants import QUANTILES, SHORT_QUANTILES
 from runlens.functions.stats import quantiles, share
-from runlens.operators.ordinal import HOT_ROWS, gather
+from runlens.operators.ordinal import HOT_ROWS, sketched
 
 
 def feature_quantiles(
@@ -24,8 +24,8 @@ def feature_quantiles(
 
     Aggregated wide and unfolded afterwards: the measurement rows are not multiplied.
     """
-    gathered = gather(df.select(run, *measurands), [run], hot_rows)
-    wide = gathered.groupBy(run).agg(*[quantiles(F.col(m), points).alias(m) for m in measurands])
+    aggregates = [quantiles(F.col(m), points).alias(m) for m in measurands]
+    wide = sketched(df.select(run, *measurands), [run], aggregates, hot_rows)
     rows = F.array(*[
         F.struct(
             F.lit(m).alias("measurand"),
@@ -107,5 +107,5 @@ def benchmark_features(
         if b.low is not None:
             flags.append(F.col(b.name).between(b.low, b.high).alias(f"{b.name}_in_range"))
     used = list(dict.fromkeys(b.column for b in benchmarks))
-    wide = gather(df.select(run, *used), [run], hot_rows).groupBy(run).agg(*aggregates)
+    wide = sketched(df.select(run, *used), [run], aggregates, hot_rows)
     return wide.select(run, *[b.name for b in benchmarks], *flags)

@@ -40,14 +40,24 @@ def fits(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
     return largest_group(df, keys[:1]) <= hot_rows
 
 
-def gather(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Bring each group into one task before it is sketched, unless a group is too large.
+def sketched(
+    df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``groupBy(keys).agg(aggregates)`` for aggregates that keep a quantile sketch.
 
-    A quantile sketch of a few thousand rows is larger than the rows, so shuffling rows and
-    sketching once is cheaper than shuffling sketches. A hot group is left where it is: its
-    sketches, of bounded size, are built by many tasks and merged.
+    The sketch of a few thousand rows is larger than the rows, so groups are shuffled as rows
+    and sketched once. Hot groups are left where they are: many tasks sketch them, and the
+    sketches, of bounded size, are merged. There are fewer hot groups than rows / hot_rows,
+    which bounds their broadcast.
     """
-    return df.repartition(*keys) if fits(df, keys, hot_rows) else df
+    sizes = df.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_rows).select(keys[0])
+    if hot.isEmpty():
+        return df.repartition(*keys).groupBy(*keys).agg(*aggregates)
+    few = F.broadcast(materialize(hot))
+    cold = join_on(df, few, keys[:1], "left_anti").repartition(*keys)
+    large = join_on(df, few, keys[:1], "left_semi")
+    return cold.groupBy(*keys).agg(*aggregates).unionByName(large.groupBy(*keys).agg(*aggregates))
 
 
 def running_total(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.stats import quantiles, row_sum, share
-from runlens.operators.ordinal import HOT_ROWS, gather
+from runlens.operators.ordinal import HOT_ROWS, sketched
 
 IDENTITY = ("run_id", "cipher_state", "tranche", "session")
 
@@ -95,8 +95,8 @@ def run_features(
 ) -> DataFrame:
     """Bronze rows to one row per run, in a single shuffle on the identity columns.
 
-    Every measurement has one quantile sketch for all its points. Rows are gathered by run
-    first; where a run is too large for that, sums and sketches merge before the shuffle.
+    Every measurement has one quantile sketch for all its points; see ``sketched`` for runs
+    that are too large for one task.
     """
     chosen = features_of(families)
     aggregates = [F.min("measurement_ts").alias("measurement_ts"), F.count("*").alias("row_count")]
@@ -116,9 +116,10 @@ def run_features(
             aggregates.append(value.alias(name))
             digits = f.decimals if plain else RATE_DECIMALS
             columns.append(F.round(name, digits).alias(name))
-    sketched = any(f.points() for f in chosen)
-    rows = gather(bronze, identity, hot_rows) if sketched else bronze
-    grouped = rows.groupBy(*identity).agg(*aggregates)
+    if any(f.points() for f in chosen):
+        grouped = sketched(bronze, identity, aggregates, hot_rows)
+    else:
+        grouped = bronze.groupBy(*identity).agg(*aggregates)
     return grouped.select(*identity, "measurement_ts", "row_count", *columns)
 
 

@@ -83,9 +83,17 @@ def src_run_tree(load: Tables):
     return tree.select("tranche", "session", "run_id", "tag").distinct()
 
 
-@query("src_run_sizes")
+@query("src_run_sizes", f"""select f.tranche, f.session, f.run_name as run_id, true as has_data, true as has_bytes,
+ '20' || substr(f.file_stem, 1, 2) || '-' || substr(f.file_stem, 3, 2) || '-' || substr(f.file_stem, 5, 2)
+ || 'T' || substr(f.file_stem, 8, 2) || ':' || substr(f.file_stem, 10, 2) || ':' || substr(f.file_stem, 12, 2)
+ as measurement_ts from {FOLDERS_SQL} f""")
 def src_run_sizes(load: Tables):
-    return files.run_sizes(files.run_tree(files.list_files(load.spark, raw_tree(load), "*.csv")))
+    """Byte counts depend on the writer, so the comparison is on what does not."""
+    sizes = files.run_sizes(files.run_tree(files.list_files(load.spark, raw_tree(load), "*.csv")))
+    return sizes.select(
+        "tranche", "session", "run_id", "has_data", (F.col("raw_size_bytes") > 0).alias("has_bytes"),
+        "measurement_ts",
+    )
 
 
 def _columns() -> dict[str, tuple[str, ...]]:
@@ -178,6 +186,9 @@ def src_label_db(load: Tables):
 # --- stored tables --------------------------------------------------------------------
 
 
+MIXED = "l1_dl_carrier__retransmission_0"
+
+
 def bronze_files(load: Tables) -> str:
     """Bronze in which one column is an integer in some files and a float in others."""
     def write(path: str) -> None:
@@ -186,10 +197,9 @@ def bronze_files(load: Tables) -> str:
             "run_number": F.col("run_id"), "run_id": F.col("run_id").cast("string"),
             "label_mismatch": F.lit(False),
         })
-        mixed = "l1_dl_carrier__retransmission_0"
         on, off = F.col("cipher_state") == "on", F.col("cipher_state") == "off"
-        tables.write_bronze(rows.where(on).withColumn(mixed, F.col(mixed).cast("int")), f"{path}/on")
-        tables.write_bronze(rows.where(off).withColumn(mixed, F.col(mixed).cast("float")), f"{path}/off")
+        tables.write_bronze(rows.where(on).withColumn(MIXED, F.col(MIXED).cast("int")), f"{path}/on")
+        tables.write_bronze(rows.where(off).withColumn(MIXED, F.col(MIXED).cast("float")), f"{path}/off")
 
     return _once(load, "bronze", write)
 
@@ -223,50 +233,75 @@ def _footers(load: Tables) -> DataFrame:
     return files.footer_columns(files.list_files(load.spark, bronze_files(load), "*.parquet"))
 
 
-@query("src_footer_schema")
+# What the footers must hold: the native columns, the identity, and the mixed column.
+_KINDS = {
+    **{c.rsplit(" as ", 1)[1]: "double" for c in NATIVE.columns if "__" in c},
+    "run_id": "string", "cipher_state": "string", "measurement_ts": "string",
+    "run_number": "int64", "label_mismatch": "bool",
+}
+N_COLUMNS = len(_KINDS)
+_PAIRS = [(c, k) for c, k in _KINDS.items() if c != MIXED] + [(MIXED, "int32"), (MIXED, "float")]
+PAIRS_SQL = f"(values {', '.join(f"('{c}', '{k}')" for c, k in _PAIRS)}) k(\"column\", type)"
+TRANCHES_SQL = f"(select tranche, count(*) as n from {NATIVE_SQL} group by 1)"
+
+
+@query("src_footer_schema", f"""select t.tranche, k."column", k.type, cast(null as varchar) as error
+ from {TRANCHES_SQL} t cross join {PAIRS_SQL}""")
 def src_footer_schema(load: Tables):
-    return _footers(load).select("tranche", "path", "column", "type", "error")
+    return _footers(load).select("tranche", "column", "type", "error").distinct()
+
+
+def _file_results(results: DataFrame) -> DataFrame:
+    """File names are the writer's, so files are told apart by their findings only."""
+    return results.drop("subject").distinct()
 
 
-@query("dq_boolean_columns")
+@query("dq_boolean_columns", f"""select distinct 'boolean_columns' as check_id, 'file' as scope, 0.0e0 as observed,
+ '0' as expected, 'PASS' as status, 'FAIL' as severity from {TRANCHES_SQL}""")
 def dq_boolean_columns(load: Tables):
-    return quality.boolean_columns(_footers(load))
+    return _file_results(quality.boolean_columns(_footers(load)))
 
 
-@query("dq_column_counts")
+@query("dq_column_counts", f"""select tranche, cast({N_COLUMNS} as bigint) as least, cast({N_COLUMNS} as bigint) as most,
+ cast(1 as bigint) as n_counts from {TRANCHES_SQL}""")
 def dq_column_counts(load: Tables):
     return quality.column_counts(_footers(load))
 
 
-@query("dq_readable")
+@query("dq_readable", f"""select distinct 'readable' as check_id, 'file' as scope, 0.0e0 as observed,
+ 'opens' as expected, 'PASS' as status, 'FAIL' as severity from {TRANCHES_SQL}""")
 def dq_readable(load: Tables):
-    return quality.readable(_footers(load))
+    return _file_results(quality.readable(_footers(load)))
 
 
-@query("val_files_present")
+@query("val_files_present", f"""select 'files_present' as check_id, 'dataset' as scope, kind as subject,
+ cast(n as double) as observed, '0' as expected, case when n = 0 then 'PASS' else 'FAIL' end as status,
+ 'FAIL' as severity from (select 'missing' as kind, count(*) as n from {MANIFEST.sql()} where outcome = 'ok'
+  and parquet_path not in (select parquet_path from {STORED.sql()}) union all select 'unreadable', 0)""")
 def val_files_present(load: Tables):
     missing = manifest.missing_files(load(MANIFEST), load(STORED))
     return quality.files_present(missing, _footers(load))
 
 
-@query("val_schema_uniform")
+@query("val_schema_uniform", f"""select 'schema_uniform' as check_id, 'tranche' as scope, tranche as subject,
+ 1.0e0 as observed, '<= 1' as expected, 'PASS' as status, 'WARN' as severity from {TRANCHES_SQL}""")
 def val_schema_uniform(load: Tables):
     return quality.schema_uniform(_footers(load))
 
 
-@query("distinct_schemas")
+@query("distinct_schemas", f"select tranche, cast(1 as bigint) as n_schemas from {TRANCHES_SQL}")
 def distinct_schemas(load: Tables):
     return quality.distinct_schemas(_footers(load))
 
 
-@query("find_dtype_conflicts")
+@query("find_dtype_conflicts", f"""select distinct '{MIXED}' as "column", 'int32' as type from {TRANCHES_SQL}""")
 def find_dtype_conflicts(load: Tables):
-    return quality.dtype_conflicts(_footers(load))
+    return quality.dtype_conflicts(_footers(load)).select("column", "type").distinct()
 
 
-@query("mixed_types")
+@query("mixed_types", f"""select distinct '{MIXED}' as "column", cast(2 as bigint) as n_types from {TRANCHES_SQL}""")
 def mixed_types(load: Tables):
-    return quality.mixed_types(_footers(load))
+    return quality.mixed_types(_footers(load)).select("column", "n_types")
 
 
 @query("sink_silver", silver_sql())
