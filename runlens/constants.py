@@ -52,6 +52,9 @@ ROW_TRIM_MAX = 25
 ROW_TRIM_SHARE = 20
 MIN_RUN_ROWS = 200
 
+# Texts that mean "no value"; they do not make a numeric column textual.
+MISSING_TEXTS = ("", "nan", "-nan", "na", "n/a", "#n/a", "#na", "<na>", "null", "none")
+
 # A layer text belongs to the first group that has a term in it. Only the
 # shortest terms are kept; every longer spelling in use contains one of them.
 LAYER_TERMS = {

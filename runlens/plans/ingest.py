@@ -41,16 +41,19 @@ def ingest(
     trim_seconds: float = TRIM_SECONDS,
     min_rows: int = MIN_RUN_ROWS,
     hot_rows: int = HOT_ROWS,
+    partitioned: bool = False,
 ) -> Ingested:
     """Read, trim and align the groups in ``columns`` (tag to measurement names).
 
-    Every run is a key in one plan; there is no loop over runs. Two steps are stored in the
+    ``partitioned`` says that the tree has ``key=value`` folders. Every run is a key in one
+    plan; there is no loop over runs. Two steps are stored in the
     shared folder because several later steps read them: the parsed rows and the trimmed rows.
     """
     tree = run_tree(list_files(spark, root))
     runs = run_sizes(tree)
     wanted = tree.where(F.col("is_csv") & F.col("tag").isin(*columns))
-    parsed = _stored(read_groups(spark, root, tree, csv_headers(wanted), columns), "rows")
+    rows = read_groups(spark, root, tree, csv_headers(wanted), columns, partitioned)
+    parsed = _stored(rows, "rows")
     trimmed = _stored(trim_groups(parsed, trim_seconds, hot_rows), "trimmed", ["tag"])
 
     frames = {tag: group_frame(trimmed, tag, names) for tag, names in columns.items()}

@@ -56,7 +56,7 @@ def raw_tree(load: Tables) -> str:
         )
         rows = load(RAW).join(folders, "run_no").select(
             "tranche", "session", "run_id", F.concat_ws("_", "prefix", "grp").alias("file"),
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("Time us"),
+            F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("Time us"),
             F.col("value").alias("Mean Value"), F.col("event_id").alias("Event ID"),
             F.lit("x").alias("Note"),
         )
@@ -104,7 +104,7 @@ def _read(load: Tables) -> DataFrame:
     root = raw_tree(load)
     tree = files.run_tree(files.list_files(load.spark, root, "*.csv"))
     headers = files.csv_headers(tree)
-    return csv_groups.read_groups(load.spark, root, tree, headers, _columns())
+    return csv_groups.read_groups(load.spark, root, tree, headers, _columns(), partitioned=True)
 
 
 PLACED_SQL = f"""(select f.tranche, f.session, f.run_name as run_id, {TAG_SQL} as tag, value, event_id, epoch_us(ts) as us,
@@ -140,7 +140,7 @@ def _labels(load: Tables) -> DataFrame:
  from {TRIMMED_SQL} join s using (run_id) join {LABELLED_SQL} using (run_id)
  where place < m and m >= 5 and cipher_state <> 'unknown' group by 1, 2, 3""")
 def ingest_bronze(load: Tables):
-    done = ingest(load.spark, raw_tree(load), _columns(), _labels(load), MARGIN_US, 5)
+    done = ingest(load.spark, raw_tree(load), _columns(), _labels(load), MARGIN_US, 5, partitioned=True)
     return done.bronze.select("run_id", "cipher_state", "ordinal", *[f"{t}__mean_value" for t in TAGS])
 
 
@@ -149,7 +149,7 @@ def ingest_bronze(load: Tables):
  join {LABELLED_SQL} l on l.run_id = f.run_name left join (select run_id, min(n) as m from (select run_id, tag, count(*) as n
  from {TRIMMED_SQL} group by 1, 2) group by 1) s on s.run_id = f.run_name) group by 1, 2""")
 def ingest_manifest(load: Tables):
-    done = ingest(load.spark, raw_tree(load), _columns(), _labels(load), MARGIN_US, 5)
+    done = ingest(load.spark, raw_tree(load), _columns(), _labels(load), MARGIN_US, 5, partitioned=True)
     return done.manifest.groupBy("run_id", "outcome").agg(F.count("*").alias("n"))
 
 

@@ -7,12 +7,12 @@ group written in several parts reads like one file.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.constants import TRIM_SECONDS
+from runlens.constants import GROUP_TAGS, MISSING_TEXTS, TRIM_SECONDS
 from runlens.functions.names import normalize_text, sanitize_name
 from runlens.functions.stats import number
 from runlens.operators.ordinal import HOT_ROWS, join_on, row_ordinal
@@ -24,15 +24,29 @@ POSITION = ["uri", "block", "line"]
 
 def header_names(files: DataFrame, headers: DataFrame) -> DataFrame:
     """Readable files with their normalized and sanitized header names, in file order."""
-    names = F.split(F.regexp_replace("header", '"', ""), ",")
     readable = headers.where(F.col("error").isNull()).select(
-        "uri", F.transform(names, normalize_text).alias("names")
+        "uri", F.transform("names", normalize_text).alias("names")
     )
     clean = F.transform("names", lambda n: F.regexp_replace(n, "[^a-z0-9_]", "_"))
     return files.join(readable.withColumn("clean", clean), "uri")
 
 
-def read_cells(spark: SparkSession, root: str, width: int, pattern: str = "*.csv") -> DataFrame:
+def group_files(root: str, tags: Iterable[str], partitioned: bool = False) -> tuple[str, str]:
+    """Path and file pattern that list only the files of the wanted groups.
+
+    Most files of a run belong to other groups, so this spares most of the reading. A tag
+    that no known group has cannot be turned into a file name; then all CSVs are listed.
+    """
+    known = {tag: group for group, tag in GROUP_TAGS.items()}
+    if not set(tags) <= set(known):
+        return root, "*.csv"
+    groups = "{" + ",".join(known[t] for t in tags) + "}"
+    if partitioned:
+        return f"{root.rstrip('/')}/tranche=*/session=*/run_id=*/file=*{groups}", "*.csv"
+    return root, f"*{groups}.csv"
+
+
+def read_cells(spark: SparkSession, path: str, width: int, pattern: str = "*.csv") -> DataFrame:
     """Rows (uri, block, line, cells) of all files, in their order by (uri, block, line)."""
     columns = [f"c{i}" for i in range(width)]
     raw = (
@@ -41,7 +55,7 @@ def read_cells(spark: SparkSession, root: str, width: int, pattern: str = "*.csv
         .option("enforceSchema", "true")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .csv(root)
+        .csv(path)
     )
     return raw.select(
         F.col("_metadata.file_path").alias("uri"),
@@ -66,6 +80,7 @@ def read_groups(
     tree: DataFrame,
     headers: DataFrame,
     columns: Mapping[str, Sequence[str]],
+    partitioned: bool = False,
 ) -> DataFrame:
     """Rows (file keys, position, values, times) of the wanted groups.
 
@@ -83,7 +98,8 @@ def read_groups(
             lambda s: s["name"].contains("time"),
         ).alias("clocks"),
     )
-    cells = read_cells(spark, root, width).join(places, "uri")
+    path, pattern = group_files(root, columns, partitioned)
+    cells = read_cells(spark, path, width, pattern).join(places, "uri")
     return cells.select(
         *FILE, *POSITION,
         F.transform("places", lambda p: number(F.get("cells", p - 1))).alias("values"),
@@ -106,8 +122,7 @@ def clocks(rows: DataFrame) -> DataFrame:
         *FILE, "t.place", "t.name", "t.text", number(F.col("t.text")).alias("seconds")
     )
     text = F.trim("text")
-    # Blanks and the usual spellings of "no value" do not make a column textual.
-    blank = text.isNull() | F.lower(text).isin("", "nan", "na", "n/a", "null", "none")
+    blank = text.isNull() | F.lower(text).isin(*MISSING_TEXTS)
     seen = cell.groupBy(*FILE, "name").agg(
         F.min("place").alias("place"),
         F.count_if(~blank & F.col("seconds").isNull()).alias("textual"),

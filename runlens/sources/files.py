@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,7 +54,7 @@ def run_tree(files: DataFrame) -> DataFrame:
         "grp": group_name(F.col("stem")),
         "tag": group_tag(group_name(F.col("stem"))),
         "measurement_ts": measurement_ts(F.col("stem")),
-        "is_csv": F.lower("uri").endswith(".csv"),
+        "is_csv": F.col("uri").endswith(".csv"),
     })
 
 
@@ -87,20 +88,20 @@ def _first_line(uri: str) -> str:
 
 
 def csv_headers(files: DataFrame) -> DataFrame:
-    """Rows (uri, header line, error): each task opens the start of its files."""
+    """Rows (uri, names, error): each task opens the start of its files."""
 
     def peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for uri in batch["uri"]:
                 try:
-                    line = _first_line(uri)
-                    rows.append((uri, line, None if line.strip() else "empty file"))
+                    names = next(csv.reader([_first_line(uri)]), [])
+                    rows.append((uri, names, None if names else "empty file"))
                 except Exception as error:
                     rows.append((uri, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["uri", "header", "error"])
+            yield pd.DataFrame(rows, columns=["uri", "names", "error"])
 
-    return files.select("uri").mapInPandas(peek, "uri string, header string, error string")
+    return files.select("uri").mapInPandas(peek, "uri string, names array<string>, error string")
 
 
 def footer_columns(files: DataFrame) -> DataFrame:

@@ -157,6 +157,22 @@ def test_stored_bronze(spark, done, tmp_path):
     }
 
 
+def test_only_wanted_groups_are_scanned(spark, root):
+    path, pattern = csv_groups.group_files(str(root), ["pdcp_rx"])
+    scanned = csv_groups.read_cells(spark, path, 2, pattern).inputFiles()
+    assert len(scanned) == 2 and all(PDCP in f for f in scanned)
+    assert csv_groups.group_files("r", ["custom"]) == ("r", "*.csv")
+
+
+def test_quoted_header(spark, tmp_path):
+    folder = tmp_path / "Tranche_A" / "Session_1" / "cipheron_1" / "traffic_generator"
+    folder.mkdir(parents=True)
+    (folder / f"220909_125427_{MAC}.csv").write_text('"a, b",PDU Size\n1,2\n')
+    tree = files.run_tree(files.list_files(spark, str(tmp_path), "*.csv"))
+    rows = csv_groups.read_groups(spark, str(tmp_path), tree, files.csv_headers(tree), {"mac_rx": ["pdu size", "a, b"]})
+    assert rows.first()["values"] == [2.0, 1.0]
+
+
 def test_part_files_of_one_group(spark, tmp_path):
     """A group in several parts is one group, in the order of its parts."""
     base = tmp_path / "tranche=Tranche_B" / "session=Session_9" / "run_id=cipheron_1" / f"file=220909_125427_{MAC}"
@@ -164,7 +180,9 @@ def test_part_files_of_one_group(spark, tmp_path):
     (base / "part-00000.csv").write_text("Time,PDU Size\n0,1\n1,2\n")
     (base / "part-00001.csv").write_text("PDU Size,Time\n3,2\n4,3\n")
     tree = files.run_tree(files.list_files(spark, str(tmp_path), "*.csv"))
-    rows = csv_groups.read_groups(spark, str(tmp_path), tree, files.csv_headers(tree), {"mac_rx": ["pdu size"]})
+    rows = csv_groups.read_groups(
+        spark, str(tmp_path), tree, files.csv_headers(tree), {"mac_rx": ["pdu size"]}, partitioned=True
+    )
     kept = csv_groups.trim_groups(rows, 1).orderBy("ordinal").collect()
     assert [(r.ordinal, r["values"][0]) for r in kept] == [(0, 2.0), (1, 3.0)]
 
