@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from runlens.session import materialize
 
-HOT_ROWS = 2_000_000
+HOT_ROWS = 1_000_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -35,28 +35,33 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def fits(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether each group may go to one task. The first key alone is counted: its groups can
-    only be larger, and one column is cheaper to read."""
-    return largest_group(df, keys[:1]) <= hot_rows
+    """Whether each group may go to one task."""
+    return largest_group(df, keys) <= hot_rows
 
 
 def sketched(
-    df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    aggregates: Sequence[Column],
+    hot_rows: int = HOT_ROWS,
+    sized_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """``groupBy(keys).agg(aggregates)`` for aggregates that keep a quantile sketch.
 
     The sketch of a few thousand rows is larger than the rows, so groups are shuffled as rows
     and sketched once. Hot groups are left where they are: many tasks sketch them, and the
     sketches, of bounded size, are merged. There are fewer hot groups than rows / hot_rows,
-    which bounds their broadcast.
+    which bounds their broadcast. ``sized_by`` may name a part of the keys to count by: its
+    groups can only be larger, and fewer columns are cheaper to read.
     """
-    sizes = df.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows).select(keys[0])
+    sized_by = list(sized_by or keys)
+    sizes = df.groupBy(*sized_by).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_rows).select(*sized_by)
     if hot.isEmpty():
         return df.repartition(*keys).groupBy(*keys).agg(*aggregates)
     few = F.broadcast(materialize(hot))
-    cold = join_on(df, few, keys[:1], "left_anti").repartition(*keys)
-    large = join_on(df, few, keys[:1], "left_semi")
+    cold = join_on(df, few, sized_by, "left_anti").repartition(*keys)
+    large = join_on(df, few, sized_by, "left_semi")
     return cold.groupBy(*keys).agg(*aggregates).unionByName(large.groupBy(*keys).agg(*aggregates))
 
 

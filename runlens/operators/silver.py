@@ -117,7 +117,7 @@ def run_features(
             digits = f.decimals if plain else RATE_DECIMALS
             columns.append(F.round(name, digits).alias(name))
     if any(f.points() for f in chosen):
-        grouped = sketched(bronze, identity, aggregates, hot_rows)
+        grouped = sketched(bronze, identity, aggregates, hot_rows, sized_by=identity[:1])
     else:
         grouped = bronze.groupBy(*identity).agg(*aggregates)
     return grouped.select(*identity, "measurement_ts", "row_count", *columns)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from runlens.constants import MIN_RUN_ROWS, TRIM_SECONDS
 from runlens.operators.manifest import RUN, build_manifest, label_lookup, ok_runs, write_failures
-from runlens.operators.merge import merge_frames
+from runlens.operators.merge import merge_long
 from runlens.operators.ordinal import HOT_ROWS, join_on
 from runlens.session import scratch_path
-from runlens.sources.csv_groups import group_frame, read_groups, trim_groups
+from runlens.sources.csv_groups import POSITION, measurement_columns, read_groups, trim_groups
 from runlens.sources.files import csv_headers, list_files, run_sizes, run_tree
 from runlens.sources.label_db import label_files, label_table
 
@@ -26,10 +26,10 @@ class Ingested:
     manifest: DataFrame
 
 
-def _stored(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+def _stored(df: DataFrame, label: str) -> DataFrame:
     """Write a step once and read it back: later steps use it several times."""
     path = scratch_path(df.sparkSession, label)
-    df.write.partitionBy(*by).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -54,10 +54,10 @@ def ingest(
     wanted = tree.where(F.col("is_csv") & F.col("tag").isin(*columns))
     rows = read_groups(spark, root, tree, csv_headers(wanted), columns, partitioned)
     parsed = _stored(rows, "rows")
-    trimmed = _stored(trim_groups(parsed, trim_seconds, hot_rows), "trimmed", ["tag"])
+    trimmed = _stored(trim_groups(parsed, trim_seconds, hot_rows), "trimmed")
 
-    frames = {tag: group_frame(trimmed, tag, names) for tag, names in columns.items()}
-    merged = merge_frames(frames, list(RUN))
+    wide = merge_long(trimmed, RUN, "tag", POSITION, "values", list(columns), hot_rows)
+    merged = wide.select(*RUN, "ordinal", *measurement_columns(columns))
     sizes = trimmed.groupBy(*RUN, "tag").agg(F.count("*").alias("n"))
     per_tag = F.create_map(*[F.lit(x) for tag, names in columns.items() for x in (tag, len(names))])
     measured = sizes.groupBy(*RUN).agg(

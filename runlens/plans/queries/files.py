@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators import manifest, quality, silver
+from runlens.operators.ordinal import row_ordinal
 from runlens.plans.ingest import ingest
 from runlens.plans.queries.catalogue import feature_measurand_join
 from runlens.plans.queries.measurements import silver_sql
@@ -115,7 +116,7 @@ PLACED_SQL = f"""(select f.tranche, f.session, f.run_name as run_id, {TAG_SQL} a
 @query("src_group_csv", f"""select run_id, tag, ordinal, value as mean_value, cast(event_id as double) as event_id
  from {PLACED_SQL}""")
 def src_group_csv(load: Tables):
-    placed = csv_groups.row_ordinal(_read(load), csv_groups.FILE, csv_groups.POSITION)
+    placed = row_ordinal(_read(load), csv_groups.FILE, csv_groups.POSITION)
     return placed.select(
         "run_id", "tag", "ordinal",
         F.col("values")[0].alias("mean_value"), F.col("values")[1].alias("event_id"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from runlens.constants import GROUP_TAGS, MISSING_TEXTS, TRIM_SECONDS
 from runlens.functions.names import normalize_text, sanitize_name
 from runlens.functions.stats import number
-from runlens.operators.ordinal import HOT_ROWS, join_on, row_ordinal
+from runlens.operators.ordinal import HOT_ROWS, join_on
 from runlens.operators.trim import row_trim
 
 FILE = ["tranche", "session", "run_id", "tag"]
@@ -137,7 +137,7 @@ def clocks(rows: DataFrame) -> DataFrame:
 def trim_groups(
     rows: DataFrame, seconds: float = TRIM_SECONDS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Cut each file's edges, by its clock or else by rows, and number what is left.
+    """Cut each file's edges, by its clock or else by rows.
 
     ``rows`` is read several times: hand in a stored table.
     """
@@ -147,13 +147,13 @@ def trim_groups(
     inside = number(now).between(F.col("clock.first") + seconds, F.col("clock.last") - seconds)
     by_time = clocked.where(inside).select(*FILE, *POSITION, "values")
     unclocked = join_on(rows, known, FILE, "left_anti").select(*FILE, *POSITION, "values")
-    by_rows = row_trim(unclocked, FILE, POSITION, hot_rows)
-    return row_ordinal(by_time.unionByName(by_rows), FILE, POSITION, "ordinal", hot_rows)
+    return by_time.unionByName(row_trim(unclocked, FILE, POSITION, hot_rows))
 
 
-def group_frame(trimmed: DataFrame, tag: str, names: Sequence[str]) -> DataFrame:
-    """One group's rows as ``tag__name`` columns."""
-    return trimmed.where(F.col("tag") == tag).select(
-        "tranche", "session", "run_id", "ordinal",
-        *[F.col("values")[i].alias(f"{tag}__{sanitize_name(n)}") for i, n in enumerate(names)],
-    )
+def measurement_columns(columns: Mapping[str, Sequence[str]], suffix: str = "values") -> list[Column]:
+    """Merged value arrays as single ``tag__name`` columns."""
+    return [
+        F.col(f"{tag}__{suffix}")[i].alias(f"{tag}__{sanitize_name(name)}")
+        for tag, names in columns.items()
+        for i, name in enumerate(names)
+    ]
