@@ -48,7 +48,8 @@ def feature_proportions(df: DataFrame, run: str, measurands: Mapping[str, int])
     """Share of a run's readings at each value of a discrete measurand.
 
     ``measurands`` maps a column to the decimals its readings are rounded to. Counting
-    combines before the shuffle; the window then sees one row per distinct value.
+    combines before the shuffle, so the window sees one row per distinct reading, of which a
+    discrete measurand has few. Joining totals instead would read the measurements twice.
     """
     readings = df.select(run, *[F.round(m, d).alias(m) for m, d in measurands.items()])
     counts = (

@@ -66,20 +66,25 @@ def merge_long(
     return kept.groupBy(*run, "ordinal").agg(*columns)
 
 
-def merge_frames(frames: Mapping[str, DataFrame], run: Sequence[str]) -> DataFrame:
-    """Positional merge of frames that already carry ``run`` keys and ``ordinal``.
+def merge_frames(
+    frames: Mapping[str, DataFrame],
+    run: Sequence[str],
+    order: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Positional merge of one frame per group, each with its own double columns.
 
-    The spine takes each run's rows from its shortest present group; all frames then join
-    on (run, ordinal), one exchange each.
+    The frames are stacked with their columns packed into one array, so each is read once
+    and all go through the single shuffle of ``merge_long``.
     """
-    keys = [*run, "ordinal"]
-    tagged = reduce(
-        DataFrame.unionByName,
-        [f.select(*keys).withColumn("_group", F.lit(name)) for name, f in frames.items()],
-    )
-    sizes = group_sizes(tagged, run, "_group")
-    chosen = sizes.groupBy(*run).agg(
-        F.min_by("_group", F.struct("n_rows", "_group")).alias("_group")
+    keys = [*run, *order]
+    own = {name: [c for c in f.columns if c not in keys] for name, f in frames.items()}
+    stacked = reduce(DataFrame.unionByName, [
+        f.select(*keys, F.lit(name).alias("group"), F.array(*own[name]).alias("values"))
+        for name, f in frames.items()
+    ])
+    wide = merge_long(stacked, run, "group", order, "values", list(frames), hot_rows)
+    return wide.select(
+        *run, "ordinal",
+        *[F.col(f"{name}__values")[i].alias(c) for name in frames for i, c in enumerate(own[name])],
     )
-    spine = join_on(tagged, chosen, [*run, "_group"], "left_semi").select(*keys)
-    return reduce(lambda left, f: left.join(f, keys, "left"), frames.values(), spine)

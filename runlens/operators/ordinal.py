@@ -127,7 +127,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = running_total(counts, keys, ["_value"], F.col("_n"), "_upto", hot_rows)
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("_size"))
     if keys:
         ranked = join_on(ranked, sizes, keys)
         size = F.col("_size")

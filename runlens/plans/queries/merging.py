@@ -46,12 +46,12 @@ def positional_merge_missing(load: Tables):
 
 @query("positional_merge_frames", _merge_sql(GROUPS_MISSING.sql()))
 def positional_merge_frames(load: Tables):
-    placed = row_ordinal(load(GROUPS_MISSING), ["run_id", "grp"], ["ts", "event_id"])
+    groups, order = load(GROUPS_MISSING), ["ts", "event_id"]
     frames = {
-        g: placed.where(F.col("grp") == g).select("run_id", "ordinal", F.col("value").alias(f"{g}__value"))
+        g: groups.where(F.col("grp") == g).select("run_id", *order, F.col("value").alias(f"{g}__value"))
         for g in GROUP_NAMES
     }
-    return merge.merge_frames(frames, ["run_id"])
+    return merge.merge_frames(frames, ["run_id"], order)
 
 
 @query("min_rows_filter", f"""select run_id, grp, event_id from {GROUPS_SQL}

@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from runlens.operators import manifest, merge, trim
-from runlens.operators.ordinal import row_ordinal
 from runlens.operators.rows import attach_metadata
 
 
@@ -34,9 +33,8 @@ def test_missing_group_does_not_drop_the_run(spark):
     expected = {("r1", i, float(i), 10.0 + i) for i in range(3)} | {("r2", i, float(i), None) for i in range(2)}
     long = merge.merge_long(df, ["run"], "grp", ["pos"], "v", ["a", "b"])
     assert {tuple(r) for r in long.select("run", "ordinal", "a__v", "b__v").collect()} == expected
-    placed = row_ordinal(df, ["run", "grp"], ["pos"])
-    frames = {g: placed.where(F.col("grp") == g).select("run", "ordinal", F.col("v").alias(f"{g}__v")) for g in "ab"}
-    wide = merge.merge_frames(frames, ["run"])
+    frames = {g: df.where(F.col("grp") == g).select("run", "pos", F.col("v").alias(f"{g}__v")) for g in "ab"}
+    wide = merge.merge_frames(frames, ["run"], ["pos"])
     assert {tuple(r) for r in wide.select("run", "ordinal", "a__v", "b__v").collect()} == expected
 
 
