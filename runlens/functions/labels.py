@@ -38,8 +38,9 @@ def resolve_label(from_name: Column, from_table: Column) -> dict[str, Column]:
 
 
 def label_display(label: Column, anomalous: str = "off") -> Column:
-    """Text shown for a label; the anomalous class is a parameter."""
-    return (
-        F.when(label == "on", "Cipher ON" + (" (anomalous)" if anomalous == "on" else ""))
-        .when(label == "off", "Cipher OFF" + (" (anomalous)" if anomalous == "off" else ""))
-    )
+    """Text shown for a label; which class counts as the misconfigured one is a parameter."""
+    def text(state: str) -> str:
+        note = "misconfigured" if state == anomalous else "normal"
+        return f"Cipher {state.upper()} ({note})"
+
+    return F.when(label == "on", text("on")).when(label == "off", text("off"))

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.constants import MIN_RUN_ROWS
-from runlens.functions.labels import label_from_name, normalize_label, resolve_label
+from runlens.functions.labels import (
+    label_from_name,
+    name_mentions_label,
+    normalize_label,
+    resolve_label,
+)
 from runlens.functions.names import run_number
 from runlens.operators.ordinal import join_on
 
@@ -28,6 +33,19 @@ def with_labels(runs: DataFrame, name: str = "run_id", raw: str = "enb") -> Data
     return runs.withColumns(resolve_label(label_from_name(F.col(name)), normalize_label(F.col(raw))))
 
 
+def run_census(folders: DataFrame, name: str, group: str) -> DataFrame:
+    """On and off runs per session by folder name, and the groups seen there.
+
+    The set holds group names, of which an experiment has a few dozen.
+    """
+    label = name_mentions_label(F.col(name))
+    return folders.groupBy("tranche", "session").agg(
+        F.count_distinct(F.when(label == "on", F.col(name))).alias("n_on"),
+        F.count_distinct(F.when(label == "off", F.col(name))).alias("n_off"),
+        F.array_join(F.array_sort(F.collect_set(group)), ",").alias("groups"),
+    )
+
+
 def run_outcome(
     has_data: Column,
     label: Column,

@@ -253,8 +253,8 @@ def filter_runs(load: Tables):
     return kept.select("run_id", "cipher_state", "tranche", "bler")
 
 
-@query("label_display", f"""select run_id, case cipher_state when 'on' then 'Cipher ON'
- when 'off' then 'Cipher OFF (anomalous)' end as label, count(*) as n from {BRONZE_SQL} group by 1, 2""")
+@query("label_display", f"""select run_id, case cipher_state when 'on' then 'Cipher ON (normal)'
+ when 'off' then 'Cipher OFF (misconfigured)' end as label, count(*) as n from {BRONZE_SQL} group by 1, 2""")
 def label_display(load: Tables):
     shown = load(BRONZE).select("run_id", labels.label_display(F.col("cipher_state")).alias("label"))
     return shown.groupBy("run_id", "label").agg(F.count("*").alias("n"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.functions.labels import name_mentions_label
 from runlens.operators import compare, manifest, reference
 from runlens.plans.queries.names import DB_SQL, LABEL_SQL
 from runlens.plans.registry import Tables, query, rounded
@@ -23,17 +22,14 @@ def on_off(label: str = "cipher_state") -> str:
     )
 
 
-@query("src_run_counts", f"""select tranche, session,
- count(*) filter (where lower(run_name) like '%cipheron%') as n_on,
- count(*) filter (where lower(run_name) not like '%cipheron%' and lower(run_name) like '%cipheroff%') as n_off,
- count(distinct substr(file_stem, 1, 6)) as n_days from {FOLDERS_SQL} group by 1, 2""")
+@query("src_run_counts", f"""select f.tranche, f.session,
+ count(distinct f.run_name) filter (where lower(f.run_name) like '%cipheron%') as n_on,
+ count(distinct f.run_name) filter (where lower(f.run_name) like '%cipheroff%') as n_off,
+ string_agg(distinct e.event_type, ',' order by e.event_type) as groups
+ from {FOLDERS_SQL} f join events e on e.user_id = f.run_no group by 1, 2""")
 def src_run_counts(load: Tables):
-    runs = load(FOLDERS).withColumn("label", name_mentions_label(F.col("run_name")))
-    return runs.groupBy("tranche", "session").agg(
-        F.count_if(F.col("label") == "on").alias("n_on"),
-        F.count_if(F.col("label") == "off").alias("n_off"),
-        F.count_distinct(F.substring("file_stem", 1, 6)).alias("n_days"),
-    )
+    groups = load("events").select(F.col("user_id").alias("run_no"), "event_type")
+    return manifest.run_census(load(FOLDERS).join(groups, "run_no"), "run_name", "event_type")
 
 
 @query("sink_quarantine", f"""select run_id, tranche, session, skip_reason from {MANIFEST_SQL}

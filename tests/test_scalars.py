@@ -21,6 +21,11 @@ def test_label_spellings(spark):
     assert values(spark, labels.normalize_label, raw) == ["on", "on", "on", "on", "off", "off", None, None]
 
 
+def test_display_of_the_anomalous_class(spark):
+    shown = values(spark, lambda c: labels.label_display(c, "on"), ["on", "off", "unknown"])
+    assert shown == ["Cipher ON (misconfigured)", "Cipher OFF (normal)", None]
+
+
 @pytest.mark.parametrize("name, table, expected", [
     ("on", "off", ("on", "folder", True)), ("on", None, ("on", "folder", False)),
     (None, "off", ("off", "db", False)), (None, None, ("unknown", "none", False)),
