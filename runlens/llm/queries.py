@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import mixing, sharding
+from runlens.llm import mixing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +21,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules.rate_documents(documents(spark, sf_dir))
+
+
 @query
 def op6_mix_sources(spark, sf_dir):
     return mixing.mix_amounts(documents(spark, sf_dir))
