@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import mixing, quality_rules, sharding
+from runlens.llm import mixing, quality_rules, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,11 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.rate_documents(documents(spark, sf_dir))
 
 
+@query
+def op3_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 @query
 def op6_mix_sources(spark, sf_dir):
     return mixing.mix_amounts(documents(spark, sf_dir))
