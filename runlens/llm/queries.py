@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import mixing, quality_rules, sharding, substrings
+from runlens.llm import mixing, near_dups, quality_rules, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op6_mix_sources(spark, sf_dir):
 @query
 def op7_shard(spark, sf_dir):
     return sharding.shard_by_bytes(documents(spark, sf_dir), 8, carry=["doc_id"])
+
+
+@query
+def op8_near_duplicates(spark, sf_dir):
+    return near_dups.near_duplicates(documents(spark, sf_dir), least_percent=85)
