@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.llm import mixing, near_dups, quality_rules, sharding, substrings
+from runlens.llm import lm_scores, mixing, near_dups, quality_rules, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Sums of doubles depend on their order in the last bits: compared are rounded values."""
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+@query
+def op1_lm_scores(spark, sf_dir):
+    return rounded(lm_scores.score_documents(documents(spark, sf_dir)), log_score=4, mean_log_score=6)
+
+
+SQL["op1_lm_scores"] = """
+with words as (
+  select doc_id, w, i from (
+    select doc_id, unnest(ws) w, generate_subscripts(ws, 1) i
+    from (select doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') ws from documents)
+  )
+), pairs as (
+  select a.doc_id, a.w, b.w as before, a.i from words a left join words b on a.doc_id = b.doc_id and a.i = b.i + 1
+), one as (select w, count(*) n from words group by w),
+two as (select before, w, count(*) n from pairs where before is not null group by 1, 2),
+scored as (
+  select p.doc_id,
+    case when p.before is null then ln(o.n::double / t.n) when two.n >= 2 then ln(two.n::double / c.n)
+      else ln(0.4) + ln(o.n::double / t.n) end s,
+    case when p.before is not null and two.n < 2 then 1 else 0 end backed
+  from pairs p join one o on p.w = o.w left join two on p.before = two.before and p.w = two.w
+    left join one c on p.before = c.w, (select count(*) n from words) t
+), summed as (select doc_id, count(*) n, sum(backed) b, sum(s) s from scored group by 1)
+select d.doc_id, coalesce(n, 0)::bigint n_words, coalesce(b, 0)::bigint n_backed_off,
+  round(coalesce(s, 0), 4) log_score, round(s / n, 6) mean_log_score
+from documents d left join summed using (doc_id)
+"""
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.rate_documents(documents(spark, sf_dir))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = r"[ \t\n\x0B\f\r]+"
@@ -69,3 +69,15 @@ def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = out * np.uint64(0xD6E8FEB86659FD93) + ids[k : k + total]
     return mixed(out)
+
+
+def count_words(docs: DataFrame) -> int:
+    """The words of all texts: one number to the driver."""
+
+    def count(batches):
+        for part in slices(batches):
+            n = sum(len(t.split()) for t in part.column("text").to_pylist() if t)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "n long")
+    return counted.agg(F.sum("n")).first()[0] or 0
