@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontamination, lm_scores, mixing, near_dups, quality_rules, sharding, substrings
+from runlens.llm import decontamination, language_id, lm_scores, mixing, near_dups, quality_rules, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,6 +66,11 @@ def op3_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+@query
+def op4_language_id(spark, sf_dir):
+    return language_id.learn_and_identify(documents(spark, sf_dir))
+
+
 @query
 def op5_decontaminate(spark, sf_dir):
     return decontamination.flag_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
