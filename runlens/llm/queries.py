@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontamination, language_id, lm_scores, mixing, near_dups, quality_rules, sharding, substrings
+from runlens.llm import decontamination, language_id, lm_scores, mixing, near_dups, quality_classifier, quality_rules, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op7_shard(spark, sf_dir):
 @query
 def op8_near_duplicates(spark, sf_dir):
     return near_dups.near_duplicates(documents(spark, sf_dir), least_percent=85)
+
+
+@query
+def op10_quality_classifier(spark, sf_dir):
+    return quality_classifier.learn_and_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
