@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontamination, language_id, lm_scores, mixing, near_dups, quality_classifier, quality_rules, sharding, substrings
+from runlens.llm import decontamination, language_id, lm_scores, mixing, near_dups, quality_classifier, quality_rules, sharding, substrings, token_counts
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"  # any sentencepiece model file with piece scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +96,8 @@ def op8_near_duplicates(spark, sf_dir):
 @query
 def op10_quality_classifier(spark, sf_dir):
     return quality_classifier.learn_and_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.Vocabulary.load(VOCABULARY))
