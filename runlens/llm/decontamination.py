@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.words import WordHash, mixed, slices
+from runlens.llm.words import WordHash, mixed, slices, whole_row
 
 MASKS = ("1101100101", "1110010011", "1011001011")  # 1: the word counts; 0: it may differ
 BLOCK_BYTES = 8 << 20  # benchmark text that one pass takes along
@@ -154,5 +154,5 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without an overlap, with all their columns. Edge cases as in ``flag_documents``."""
     hits = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"))
+    rows = docs.select(whole_row(docs).alias("row"), docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"))
     return rows.join(hits, _matches(hits, rows), "left_anti").select("row.*")

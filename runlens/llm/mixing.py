@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.words import word_array, word_count
+from runlens.llm.words import whole_row, word_array, word_count
 from runlens.session import materialize
 
 CELLS = 4096  # parts of a source whose documents are laid out side by side
@@ -97,7 +97,7 @@ def taken_blocks(sources: DataFrame, shard_slots: int) -> DataFrame:
 def _laid_out(docs: DataFrame, carry: list[str], block: int, shard_slots: int, store: bool) -> tuple[DataFrame, DataFrame]:
     """Documents at their place in their source, and per place what the mix takes. ``store``: the carried columns are few."""
     rows = docs.select(
-        F.struct(*[docs[c] for c in carry]).alias("row"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"),
+        whole_row(docs, carry).alias("row"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"),
         F.xxhash64(docs["doc_id"], docs["text"]).alias("id_hash"),
     )
     if store:

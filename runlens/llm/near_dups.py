@@ -6,10 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.words import WordHash, mixed, shingle_hashes, slices
+from runlens.llm.words import WordHash, mixed, shingle_hashes, slices, whole_row
 from runlens.session import materialize
 
 BANDS, ROWS = 30, 5  # a link of 0.8 is missed with a chance of 9e-6, one of 0.85 with 3e-8
@@ -30,7 +30,7 @@ def _document_shingles(words: list[bytes], hasher: WordHash, n: int) -> np.ndarr
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (a 128-bit hash of the set), and one bucket number per band."""
+    """doc_id, text_hash, n_shingles, set_key (a 128-bit hash of the set), and one bucket number per band."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
@@ -55,12 +55,12 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
             for at, i in enumerate(full):
                 lists[i] = buckets[at].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "buckets"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "buckets"],
             )
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(sign, f"doc_id {id_type}, n_shingles long, set_key binary, buckets array<long>")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(sign, f"doc_id {id_type}, text_hash long, n_shingles long, set_key binary, buckets array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, least_percent: int, shingle: int) -> DataFrame:
@@ -163,21 +163,8 @@ def _divided(grouped: DataFrame) -> DataFrame:
     return ends.where("low != high").select("bucket")
 
 
-def near_duplicates(
-    docs: DataFrame, *, least_percent: int = 80, shingle: int = 5, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least id reachable over links) and kept (doc_id = component_id).
-
-    A document's set holds the distinct runs of ``shingle`` words, A-Z in lower case; with fewer words, all of them as one.
-    Documents are linked where 100 * intersection >= ``least_percent`` * union, confirmed on the full sets.
-
-    Documents of one set form a class, for which its least id stands; classes share a bucket where all ``rows`` hash
-    minima of one of ``bands`` bands agree. Class members are not paired with each other.
-
-    A null text, an empty one or one of white space has no shingles and is linked with nothing. An id that comes with
-    several texts is one node with the links of all of them. Rows without an id follow their class; where no row of a
-    class has an id, component_id is null and they are kept. Repeated rows are equal texts. An empty table gives no rows.
-    """
+def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows: int) -> DataFrame:
+    """A row per document: doc_id, text_hash, n_shingles, set_key, component_id, kept."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, shingle, bands, rows))
     with_words = signed.where("set_key is not null")
@@ -193,6 +180,47 @@ def near_duplicates(
         links = with_words.join(several, "doc_id").join(class_node, "set_key").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = link_components(docs, members, links, least_percent, shingle)
     found = class_node.join(near, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_class"))
-    out = signed.join(found, "set_key", "left")
     component = F.coalesce("of_class", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
+    return signed.join(found, "set_key", "left").select(
+        "doc_id", "text_hash", "n_shingles", "set_key", component.alias("component_id"), kept.alias("kept")
+    )
+
+
+def near_duplicates(
+    docs: DataFrame, *, least_percent: int = 80, shingle: int = 5, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least id reachable over links) and kept (doc_id = component_id).
+
+    A document's set holds the distinct runs of ``shingle`` words, A-Z in lower case; with fewer words, all of them as one.
+    Documents are linked where 100 * intersection >= ``least_percent`` * union, confirmed on the full sets.
+
+    Documents of one set form a class, for which its least id stands; classes share a bucket where all ``rows`` hash
+    minima of one of ``bands`` bands agree. Class members are not paired with each other.
+
+    A null text, an empty one or one of white space has no shingles and is linked with nothing. An id that comes with
+    several texts is one node with the links of all of them. Rows without an id follow their class and are not kept; where
+    no row of a class has an id, component_id is null and they are kept. Repeated rows are equal texts. An empty table gives no rows.
+    """
+    return _decided(docs, least_percent, shingle, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, *, least_percent: int = 80, shingle: int = 5, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row of each component, with all its columns: the one of the least id; of repeated rows, one.
+
+    Documents without words stay. Of a class without ids, one row stays. Otherwise as in ``near_duplicates``.
+    """
+    decided = _decided(docs, least_percent, shingle, bands, rows).where("kept")
+    chosen = decided.where("set_key is not null").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_key"))).agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("one")
+    ).select(F.col("one.doc_id").alias("kept_id"), F.col("one.text_hash").alias("kept_hash"))
+    rows_ = docs.select(
+        whole_row(docs).alias("row"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"),
+        (F.length(F.translate(F.coalesce(docs["text"], F.lit("")), " \t\n\x0b\f\r", "")) > 0).alias("has_words"),
+    )
+    same = chosen["kept_id"].eqNullSafe(rows_["doc_id"]) & (chosen["kept_hash"] == rows_["text_hash"])
+    once = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))
+    full = rows_.where("has_words").join(chosen, same, "left_semi").withColumn("copy", F.row_number().over(once)).where("copy = 1")
+    return full.select("row.*").unionByName(rows_.where("not has_words").select("row.*"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.words import word_array
+from runlens.llm.words import whole_row, word_array
 from runlens.session import materialize
 
 WINDOW = 5
@@ -179,6 +179,6 @@ def keep_documents(docs: DataFrame, *, threshold: float = 0.5, rules: tuple[Rule
     Measures are stored once for the fit and computed again beside the texts, so no text is shuffled.
     """
     fitted = fit_rules(materialize(docs.select(measures(F.col("text")).alias("m")).select("m.*")), rules)
-    rated = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), measures(docs["text"]).alias("m")).select("row", "m.*")
+    rated = docs.select(whole_row(docs).alias("row"), measures(docs["text"]).alias("m")).select("row", "m.*")
     good = fitted.posterior([r.vote() for r in rules]) >= threshold
     return rated.where(~_base_failed() & good).select("row.*")

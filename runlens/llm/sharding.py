@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.llm.words import whole_row
 from runlens.session import materialize
 
 CELLS = 4096  # parts of a shard whose rows are numbered side by side
@@ -91,7 +92,7 @@ def shard_by_bytes(
     kept = [c for c in (carry or docs.columns) if c not in made]
     spark = docs.sparkSession
     rows = docs.select(
-        F.struct(*[docs[c] for c in kept]).alias("row"),
+        whole_row(docs, kept).alias("row"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.encode(F.lit(""), "UTF-8"))).alias("text_crc32"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).alias("key"),

@@ -20,6 +20,11 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
+def whole_row(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns as one struct, so that working columns cannot clash with them."""
+    return F.struct(*[docs[f"`{c}`"].alias(c) for c in columns or docs.columns])
+
+
 def word_count(text: Column) -> Column:
     """How many words; splitting a text without outer white space gives one part a word."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
