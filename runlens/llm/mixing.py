@@ -81,12 +81,13 @@ def taken_blocks(sources: DataFrame, shard_slots: int) -> DataFrame:
 
     A slot number is mapped by the source's index permutation: slot -> multiplier * slot + offset, modulo its blocks.
     """
+    blocks = F.greatest("n_blocks", F.lit(1).cast("long"))
     multiplier = F.coalesce(*[F.when(F.col("n_blocks") % p != 0, F.lit(p).cast("long")) for p in PRIMES])
-    offset = F.pmod(F.xxhash64("sid", F.lit("offset")), F.col("n_blocks"))
+    offset = F.pmod(F.xxhash64("sid", F.lit("offset")), blocks)
     slots = draw_slots(sources, shard_slots).select(
         "sid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("draws") - 1)).alias("slot")
-    ).join(sources.select("sid", "n_blocks", multiplier.alias("multiplier"), offset.alias("offset"),
-                          F.floor(F.col("quota") / F.col("n_blocks")).alias("rounds")), "sid")
+    ).join(sources.select("sid", blocks.alias("n_blocks"), multiplier.alias("multiplier"), offset.alias("offset"),
+                          F.floor(F.col("quota") / blocks).alias("rounds")), "sid")
     block = F.pmod(F.pmod("slot", "n_blocks") * F.col("multiplier") + F.col("offset"), F.col("n_blocks"))
     in_rest = F.floor(F.col("slot") / F.col("n_blocks")) >= F.col("rounds")
     return slots.groupBy("sid", block.alias("block")).agg(
@@ -123,7 +124,7 @@ def mix_amounts(docs: DataFrame, *, block: int = 128, shard_slots: int = 1024) -
     """doc_id, size, source_size, target and taken for every document: how many of its words the mix takes, repeats counted.
 
     The words of a source, document after document in hash order, are cut into blocks of ``block`` words. A source
-    fills a quota of slots, within half a block of its target; each slot draws its output shard; a source's
+    fills a quota of slots, which gives its target but for at most one and a half blocks; each slot draws its output shard; a source's
     slots run through a pseudorandom permutation of its blocks, again from the start when all are used, so no word is taken more than 3 times.
     The documents of a block are found by a join on its index.
 

@@ -90,8 +90,10 @@ def _descend(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, decay: float, steps: int) -> float:
     """The share of positives among the unlabelled.
 
-    A classifier of positive against unlabelled rows gives their density ratio. Where no negatives are near, it is 1 / prior;
-    positives mostly lie there, so the prior is 1 over the median ratio of positives that the classifier has not seen.
+    A classifier of positive against unlabelled rows orders both. Above any cut, the share of unlabelled rows is at least prior
+    times the share of positives, and equal where no negatives are left: the prior is the least ratio of the two over a
+    grid of cuts, among rows that the classifier has not seen. The share of the unlabelled is taken two standard errors
+    low: too high a prior leaves no risk for negatives, one a little low hardly matters.
     """
     def fitted(p: np.ndarray, u: np.ndarray) -> np.ndarray:
         def gradient(w):
@@ -101,8 +103,13 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, decay: float, s
         return _descend(gradient, p.shape[1], steps)
 
     w = fitted(positive[::2], unlabelled[::2])
-    ratio = np.exp(np.median(np.clip(positive[1::2] @ w, -20, 20))) if len(positive) > 1 else 1.0
-    return float(np.clip(1 / ratio, 0.05, 0.98))
+    seen, rest = positive[1::2] @ w, unlabelled[1::2] @ w
+    if not len(seen) or not len(rest):
+        return 0.5
+    cuts = np.quantile(seen, np.linspace(0.05, 0.7, 14))[:, None]
+    of_rest, of_seen = (rest > cuts).mean(1), np.maximum((seen > cuts).mean(1), 1e-9)
+    low = of_rest - 2 * np.sqrt(of_rest * (1 - of_rest) / len(rest))
+    return float(np.clip((low / of_seen).min(), 0.05, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, *, prior: float | None = None, decay: float = 1e-3, steps: int = 400) -> Model:
