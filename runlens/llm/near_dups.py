@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,6 @@ from runlens.llm.words import WordHash, mixed, shingle_hashes, slices, whole_row
 from runlens.session import materialize
 
 BANDS, ROWS = 30, 5  # a link of 0.8 is missed with a chance of 9e-6, one of 0.85 with 3e-8
-HUB_ROUNDS = 3
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +64,10 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, least_percent: int, shingle: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets have 100 * intersection >= percent * union.
+    """Pairs (a, b, wide) with linked, whether the full shingle sets have 100 * intersection >= percent * union.
 
-    Only documents in a pair are read for it; a pair gets its two texts by two joins, and sets are built in batches.
+    Where ``wide`` is set, a row also carries both set sizes and the hashed symmetric difference of the sets. Only documents in
+    a pair are read for it; a pair gets its two texts by two joins.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.where("text is not null").join(wanted, "doc_id", "left_semi")
@@ -83,18 +84,24 @@ def confirm(pairs: DataFrame, docs: DataFrame, least_percent: int, shingle: int)
     def check(batches):
         last, last_set = None, set()
         for batch in batches:
-            keep, first, second = [], batch.column("text_a"), batch.column("text_b")
+            linked, size_a, size_b, differ = [], [], [], []
+            first, second, wide = batch.column("text_a"), batch.column("text_b"), batch.column("wide")
             for row in range(batch.num_rows):
                 text = first[row].as_py()
                 if text != last:
                     last, last_set = text, shingles(text)
                 other = shingles(second[row].as_py())
                 shared = len(last_set & other)
-                if 100 * shared >= least_percent * (len(last_set) + len(other) - shared):
-                    keep.append(row)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                linked.append(100 * shared >= least_percent * (len(last_set) + len(other) - shared))
+                size_a.append(len(last_set))
+                size_b.append(len(other))
+                hashed = [xxhash.xxh3_64_intdigest(s) - 2**63 for s in last_set ^ other] if wide[row].as_py() else None
+                differ.append(hashed)
+            columns = [batch.column("a"), batch.column("b"), pa.array(linked), pa.array(size_a), pa.array(size_b), pa.array(differ, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "linked", "size_a", "size_b", "differ"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {id_type}, b {id_type}")
+    schema = f"a {id_type}, b {id_type}, linked boolean, size_a long, size_b long, differ array<long>"
+    return both.select("a", "b", "wide", "text_a", "text_b").mapInArrow(check, schema)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -116,51 +123,55 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def link_components(docs: DataFrame, members: DataFrame, links: DataFrame | None, least_percent: int, shingle: int) -> DataFrame:
-    """(node, component) for the nodes of confirmed links among ``members`` (bucket, node), and of the given links.
+def _left_pairs(starred: DataFrame, joined: DataFrame, least_percent: int) -> DataFrame:
+    """Pairs of nodes of one hub, in different components, that can still be linked. ``starred`` is what ``confirm`` gives of (hub, node).
 
-    A bucket does not emit all its pairs. In each round its least node is paired with the others; confirmed ones share
-    a component. Nodes that are in the component of the hub leave; the least of the rest is the next hub. After a few
-    rounds, what is left between different components of a bucket is compared in full, so no link that a bucket proposes can be lost.
+    A link allows a symmetric difference of at most k times both sizes. With D the difference of a node from its hub, linked x and y share at least
+    (|D_x| + |D_y| - k (|x| + |y|)) / 2 elements of D_x and D_y, which is above 0 unless both are linked to the hub. Hence, with the elements of
+    a hub's nodes in one order, the first |D| - least + 1 elements of both have one in common. The order is rare elements
+    first: edits that a node has alone fill its prefix, and it meets nobody.
     """
-    tested, left = None, members
-    grouped = members.withColumn("component", F.col("node"))
-    joined = None if links is None else materialize(components(links))
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            hubs = left.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-            pairs = left.join(hubs, "bucket").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            rest = materialize(grouped.join(_divided(grouped), "bucket"))
-            pairs = rest.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca")).join(
-                rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb")), "bucket"
-            ).where("a < b and ca != cb").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(confirm(pairs, docs, least_percent, shingle))
-        links = found if links is None else links.union(found)
-        joined = materialize(components(links))
-        if turn < HUB_ROUNDS:
-            own = F.coalesce("component", "node").alias("component")
-            grouped = materialize(members.join(joined, "node", "left").select("bucket", "node", own))
-            hub_of = left.groupBy("bucket").agg(F.min("node").alias("node")).join(grouped, ["bucket", "node"])
-            left = left.join(_divided(grouped), "bucket").join(grouped, ["bucket", "node"]).join(
-                hub_of.select("bucket", F.col("component").alias("of_hub")), "bucket"
-            )
-            left = materialize(left.where("component != of_hub").select("bucket", "node"))
-    if joined is None:
-        return members.select("node", F.col("node").alias("component")).where(F.lit(False))
-    return joined
+    t = least_percent / 100
+    k = (1 - t) / (1 + t)
+    # a linked node needs only partners that are not linked to the hub: |D_y| > k (|y| + |hub|)
+    least_linked = (F.size("differ") + k * (F.col("size_a") - F.col("size_b"))) / 2
+    least_other = F.size("differ") - k * (1 + 1 / t) * F.col("size_b")
+    least = F.greatest(F.lit(1), F.ceil(F.when(F.col("linked"), least_linked).otherwise(least_other) - 1e-6))
+    nodes = starred.where("differ is not null").select(
+        F.col("a").alias("hub"), F.col("b").alias("node"), "linked", (F.size("differ") - least + 1).alias("prefix"), "differ"
+    ).where("prefix > 0")
+    elements = nodes.select("hub", "node", F.explode("differ").alias("element"))
+    common = elements.groupBy("hub", "element").agg(F.count("*").alias("n"))
+    ordered = elements.join(common, ["hub", "element"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("ordered"))
+    first = nodes.select("hub", "node", "linked", "prefix").join(ordered, ["hub", "node"]).select(
+        "hub", "node", "linked", F.explode(F.slice("ordered", F.lit(1), F.col("prefix").cast("int"))).alias("e")
+    ).where("e.n > 1").select("hub", "node", "linked", F.col("e.element").alias("element"))
+    first = first.join(joined, "node", "left").select("hub", "element", "node", "linked", F.coalesce("component", "node").alias("component"))
+    first = materialize(first)
+    x = first.select("hub", "element", F.col("node").alias("a"), F.col("linked").alias("la"), F.col("component").alias("ca"))
+    y = first.select("hub", "element", F.col("node").alias("b"), F.col("linked").alias("lb"), F.col("component").alias("cb"))
+    return x.join(y, ["hub", "element"]).where("a < b and ca != cb and not (la and lb)").select("a", "b").distinct()
+
 
+def link_components(docs: DataFrame, members: DataFrame, links: DataFrame | None, least_percent: int, shingle: int) -> DataFrame:
+    """(node, component) for the nodes of confirmed links among ``members`` (bucket, node), and of the given links.
 
-def _divided(grouped: DataFrame) -> DataFrame:
-    """Buckets with nodes of more than one component."""
-    ends = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return ends.where("low != high").select("bucket")
+    A bucket does not emit its pairs. Its least node, the hub, is compared with the others. Nodes of one bucket that are then in
+    different components are compared only where their differences from the hub allow a link; no proposed link is lost.
+    """
+    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
+    star = members.join(hubs, "bucket").where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(
+        F.max(F.col("n") > 2).alias("wide")
+    )
+    starred = materialize(confirm(star, docs, least_percent, shingle))
+    found = starred.where("linked").select("a", "b")
+    links = found if links is None else links.union(found)
+    joined = materialize(components(links))
+    left = materialize(_left_pairs(starred, joined, least_percent).join(starred.select("a", "b"), ["a", "b"], "left_anti"))
+    if left.isEmpty():
+        return joined
+    more = confirm(left.withColumn("wide", F.lit(False)), docs, least_percent, shingle).where("linked").select("a", "b")
+    return components(links.union(materialize(more)))
 
 
 def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows: int) -> DataFrame:
