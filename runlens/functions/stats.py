@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A sketch keeps about this many values, however many rows a run has.
-ACCURACY = 10_000
+ACCURACY = 100_000
 
 
 def number(raw: Column) -> Column:
@@ -19,9 +19,12 @@ def number(raw: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def quantiles(value: Column, points: Sequence[float]) -> Column:
-    """All points from one sketch; separate calls would build one sketch each."""
-    return F.percentile_approx(value, [float(p) for p in points], ACCURACY)
+def quantiles(value: Column, points: Sequence[float], accuracy: int = ACCURACY) -> Column:
+    """All points from one sketch; separate calls would build one sketch each.
+
+    A rank is off by at most rows / ``accuracy``; up to about ``accuracy`` rows the answer is exact.
+    """
+    return F.percentile_approx(value, [float(p) for p in points], accuracy)
 
 
 def share(condition: Column) -> Column:

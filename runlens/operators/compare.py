@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.stats import percent
-from runlens.operators.ordinal import HOT_ROWS, exact_quantiles, join_on
+from runlens.operators.ordinal import exact_quantiles, join_on
 
 LABEL = "cipher_state"
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -48,9 +48,9 @@ def run_count_rollup(df: DataFrame, label: str = LABEL) -> DataFrame:
     )
 
 
-def row_count_stats(runs: DataFrame, rows: str = "row_count", hot_rows: int = HOT_ROWS) -> DataFrame:
+def row_count_stats(runs: DataFrame, rows: str = "row_count") -> DataFrame:
     """Smallest, median and largest run."""
-    middle = exact_quantiles(runs, [], rows, {"median_rows": 0.5}, hot_rows)
+    middle = exact_quantiles(runs, [], rows, {"median_rows": 0.5})
     return runs.agg(
         F.min(rows).alias("min_rows"),
         F.max(rows).alias("max_rows"),
@@ -107,10 +107,9 @@ def class_quantile_curve(
     kpi: str,
     label: str = LABEL,
     points: Mapping[str, float] = CURVE,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact quantiles of a KPI per class, one row per point."""
-    wide = exact_quantiles(df, [label], kpi, dict(points), hot_rows)
+    wide = exact_quantiles(df, [label], kpi, dict(points))
     return wide.unpivot(label, list(points), "quantile", "value")
 
 
@@ -120,10 +119,9 @@ def class_separation(
     low: str = "off",
     high: str = "on",
     label: str = LABEL,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Do the middle halves separate, and do the tails still overlap?"""
-    quartiles = exact_quantiles(df, [label], kpi, QUARTILES, hot_rows)
+    quartiles = exact_quantiles(df, [label], kpi, QUARTILES)
     ends = df.groupBy(label).agg(F.min(kpi).alias("least"), F.max(kpi).alias("most"))
     both = join_on(quartiles, ends, [label])
 
@@ -142,10 +140,10 @@ def class_separation(
 
 
 def box_stats(
-    df: DataFrame, kpi: str, label: str = LABEL, hot_rows: int = HOT_ROWS
+    df: DataFrame, kpi: str, label: str = LABEL
 ) -> DataFrame:
     """Box plot per class: quartiles, whisker ends, points beyond the 1.5 IQR fences."""
-    boxes = exact_quantiles(df, [label], kpi, QUARTILES, hot_rows)
+    boxes = exact_quantiles(df, [label], kpi, QUARTILES)
     reach = (F.col("q75") - F.col("q25")) * 1.5
     inside = F.col(kpi).between(F.col("q25") - reach, F.col("q75") + reach)
     per_class = join_on(df.select(label, kpi).where(F.col(kpi).isNotNull()), boxes, [label])

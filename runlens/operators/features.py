@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.constants import QUANTILES, SHORT_QUANTILES
-from runlens.functions.stats import quantiles, share
-from runlens.operators.ordinal import HOT_ROWS, sketched
+from runlens.functions.stats import ACCURACY, quantiles, share
 
 
 def feature_quantiles(
@@ -18,14 +17,14 @@ def feature_quantiles(
     run: str,
     measurands: Sequence[str],
     points: Sequence[float] = QUANTILES,
-    hot_rows: int = HOT_ROWS,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Rows (run, measurand, feature_type, feature_value, value).
 
     Aggregated wide and unfolded afterwards: the measurement rows are not multiplied.
     """
-    aggregates = [quantiles(F.col(m), points).alias(m) for m in measurands]
-    wide = sketched(df.select(run, *measurands), [run], aggregates, hot_rows)
+    aggregates = [quantiles(F.col(m), points, accuracy).alias(m) for m in measurands]
+    wide = df.groupBy(run).agg(*aggregates)
     rows = F.array(*[
         F.struct(
             F.lit(m).alias("measurand"),
@@ -95,7 +94,6 @@ def benchmark_features(
     df: DataFrame,
     run: str,
     benchmarks: Sequence[Benchmark] = BENCHMARKS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Published features per run, with a flag for those that have an expected range."""
     aggregates, flags = [], []
@@ -108,5 +106,5 @@ def benchmark_features(
         if b.low is not None:
             flags.append(F.col(b.name).between(b.low, b.high).alias(f"{b.name}_in_range"))
     used = list(dict.fromkeys(b.column for b in benchmarks))
-    wide = sketched(df.select(run, *used), [run], aggregates, hot_rows)
+    wide = df.groupBy(run).agg(*aggregates)
     return wide.select(run, *[b.name for b in benchmarks], *flags)

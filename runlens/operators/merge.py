@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.ordinal import HOT_ROWS, fits, join_on, row_ordinal
+from runlens.operators.ordinal import join_on, row_ordinal
 
 
 def group_sizes(df: DataFrame, run: Sequence[str], group: str) -> DataFrame:
@@ -43,25 +43,15 @@ def merge_long(
     order: Sequence[Column | str],
     value: str,
     groups: Sequence[str],
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Positional merge of one long table: a row per (run, ordinal), a column per group.
 
-    Groups that a run lacks stay null and do not shorten it. Runs that fit one task each are
-    placed, cut and widened in a single shuffle by run. Otherwise rows are placed across tasks,
-    and the merge key includes the ordinal, so a hot run spreads over all tasks.
+    Groups that a run lacks stay null and do not shorten it. Rows are placed across tasks, and the
+    merge key includes the ordinal, so a hot run spreads over all tasks.
     """
     columns = [F.max(F.when(F.col(group) == g, F.col(value))).alias(f"{g}__{value}") for g in groups]
-    if fits(df, run, hot_rows):
-        whole, part = Window.partitionBy(*run), Window.partitionBy(*run, group)
-        placed = df.repartition(*run).select(
-            *run, group, value,
-            (F.row_number().over(part.orderBy(*order)) - 1).cast("bigint").alias("ordinal"),
-            F.count(F.lit(1)).over(part).alias("n_rows"),
-        ).withColumn("min_rows", F.min("n_rows").over(whole))
-    else:
-        floor = shortest_group(group_sizes(df, run, group), run)
-        placed = join_on(row_ordinal(df, [*run, group], order, "ordinal", hot_rows), floor, run)
+    floor = shortest_group(group_sizes(df, run, group), run)
+    placed = join_on(row_ordinal(df, [*run, group], order), floor, run)
     kept = placed.where(F.col("ordinal") < F.col("min_rows"))
     return kept.groupBy(*run, "ordinal").agg(*columns)
 
@@ -70,12 +60,11 @@ def merge_frames(
     frames: Mapping[str, DataFrame],
     run: Sequence[str],
     order: Sequence[str],
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Positional merge of one frame per group, each with its own double columns.
 
     The frames are stacked with their columns packed into one array, so each is read once
-    and all go through the single shuffle of ``merge_long``.
+    and all go through one ``merge_long``.
     """
     keys = [*run, *order]
     own = {name: [c for c in f.columns if c not in keys] for name, f in frames.items()}
@@ -83,7 +72,7 @@ def merge_frames(
         f.select(*keys, F.lit(name).alias("group"), F.array(*own[name]).alias("values"))
         for name, f in frames.items()
     ])
-    wide = merge_long(stacked, run, "group", order, "values", list(frames), hot_rows)
+    wide = merge_long(stacked, run, "group", order, "values", list(frames))
     return wide.select(
         *run, "ordinal",
         *[F.col(f"{name}__values")[i].alias(c) for name in frames for i, c in enumerate(own[name])],

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordinal import HOT_ROWS, running_total
+from runlens.operators.ordinal import running_total
 
 LABEL = "cipher_state"
 TRAIN, TEST = ("Tranche_B",), ("Tranche_A", "Tranche_C")
@@ -101,14 +101,14 @@ def _value_counts(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def threshold_baseline(df: DataFrame, value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def threshold_baseline(df: DataFrame, value: str) -> DataFrame:
     """The single cut on one feature that classifies most runs right.
 
     With S the running sum of on minus off up to a value, calling everything above it on is
     right for all-on minus S runs, calling everything up to it on for all-off plus S.
     """
     counts = _value_counts(df, value)
-    lead = running_total(counts, [], [value], F.col("n_on") - F.col("n_off"), "lead", hot_rows)
+    lead = running_total(counts, [], [value], F.col("n_on") - F.col("n_off"), "lead")
     totals = counts.agg(F.sum("n_on").alias("on"), F.sum("n_off").alias("off"))
     on, off = totals.select("on").scalar(), totals.select("off").scalar()
     known = lead.withColumns({"on": on, "off": off})
@@ -129,14 +129,14 @@ def threshold_baseline(df: DataFrame, value: str, hot_rows: int = HOT_ROWS) -> D
     )
 
 
-def auc(df: DataFrame, score: str, positive: str = "on", hot_rows: int = HOT_ROWS) -> DataFrame:
+def auc(df: DataFrame, score: str, positive: str = "on") -> DataFrame:
     """Area under the ROC curve: the share of pairs ranked right, ties counting half.
 
     Pairs are never formed; each distinct score needs only the negatives up to it.
     """
     up, down = ("n_on", "n_off") if positive == "on" else ("n_off", "n_on")
     counts = _value_counts(df, score)
-    ranked = running_total(counts, [], [score], F.col(down), "upto", hot_rows)
+    ranked = running_total(counts, [], [score], F.col(down), "upto")
     won = F.col(up) * (F.col("upto") - F.col(down) / 2)
     pairs = F.sum(up).cast("double") * F.sum(down)
     return ranked.agg(

@@ -1,8 +1,8 @@
 """Positions, running totals and exact quantiles that survive one huge group.
 
-A window over a group runs in one task. These operators check the largest group first:
-up to ``HOT_ROWS`` the plain window is used, above it the rows are range-partitioned over
-the whole cluster, totalled per chunk, and shifted by the totals of the chunks before.
+A window over a group runs in one task. Here rows are range-partitioned by key and order over the
+whole cluster, totalled per chunk, and shifted by the totals of the chunks before: the same way for
+groups of every size.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from runlens.session import materialize
 
-HOT_ROWS = 1_000_000
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys meet null keys; the left side keeps its columns."""
     renamed = right.select(
@@ -28,57 +25,15 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, test, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group (one number; the counting itself is distributed)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def fits(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    """Whether each group may go to one task."""
-    return largest_group(df, keys) <= hot_rows
-
-
-def sketched(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggregates: Sequence[Column],
-    hot_rows: int = HOT_ROWS,
-    sized_by: Sequence[str] | None = None,
-) -> DataFrame:
-    """``groupBy(keys).agg(aggregates)`` for aggregates that keep a quantile sketch.
-
-    The sketch of a few thousand rows is larger than the rows, so groups are shuffled as rows
-    and sketched once. Hot groups are left where they are: many tasks sketch them, and the
-    sketches, of bounded size, are merged. There are fewer hot groups than rows / hot_rows,
-    which bounds their broadcast. ``sized_by`` may name a part of the keys to count by: its
-    groups can only be larger, and fewer columns are cheaper to read.
-    """
-    sized_by = list(sized_by or keys)
-    sizes = df.groupBy(*sized_by).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows).select(*sized_by)
-    if hot.isEmpty():
-        return df.repartition(*keys).groupBy(*keys).agg(*aggregates)
-    few = F.broadcast(materialize(hot))
-    cold = join_on(df, few, sized_by, "left_anti").repartition(*keys)
-    large = join_on(df, few, sized_by, "left_semi")
-    return cold.groupBy(*keys).agg(*aggregates).unionByName(large.groupBy(*keys).agg(*aggregates))
-
-
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
     weight: Column,
     name: str,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Inclusive running sum of ``weight`` per key; ``order`` must be unique per key."""
     keys, upto = list(keys), (Window.unboundedPreceding, 0)
-    if largest_group(df, keys) <= hot_rows:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
-        return df.withColumn(name, F.sum(weight).over(window))
-
     chunked = materialize(
         df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id())
     )
@@ -103,10 +58,9 @@ def row_ordinal(
     keys: Sequence[str],
     order: Sequence[Column | str],
     name: str = "ordinal",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Zero-based position of each row in its group; ``order`` must be unique per key."""
-    counted = running_total(df, keys, order, F.lit(1).cast("bigint"), name, hot_rows)
+    counted = running_total(df, keys, order, F.lit(1).cast("bigint"), name)
     return counted.withColumn(name, F.col(name) - 1)
 
 
@@ -115,7 +69,6 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     points: dict[str, float],
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Interpolated quantiles per key, one column per point; nulls are left out.
 
@@ -126,7 +79,7 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_total(counts, keys, ["_value"], F.col("_n"), "_upto", hot_rows)
+    ranked = running_total(counts, keys, ["_value"], F.col("_n"), "_upto")
     sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("_size"))
     if keys:
         ranked = join_on(ranked, sizes, keys)

@@ -21,7 +21,7 @@ from runlens.constants import (
     VALUE_RANGES,
 )
 from runlens.operators.compare import class_balance
-from runlens.operators.ordinal import HOT_ROWS, exact_quantiles, join_on
+from runlens.operators.ordinal import exact_quantiles, join_on
 from runlens.operators.windows import head_per_group
 
 RESULT = ("check_id", "scope", "subject", "observed", "expected", "status", "severity")
@@ -191,10 +191,10 @@ def duplicate_timestamps(
 
 
 def row_outliers_sigma(
-    runs: DataFrame, tranche: str = "tranche", rows: str = "row_count", hot_rows: int = HOT_ROWS
+    runs: DataFrame, tranche: str = "tranche", rows: str = "row_count"
 ) -> DataFrame:
     """Per tranche: runs farther than three population deviations from the median."""
-    middle = exact_quantiles(runs, [tranche], rows, {"median": 0.5}, hot_rows)
+    middle = exact_quantiles(runs, [tranche], rows, {"median": 0.5})
     spread = runs.groupBy(tranche).agg(F.stddev_pop(rows).alias("sigma"))
     limits = join_on(middle, spread, [tranche])
     far = F.count_if(F.abs(F.col(rows) - F.col("median")) > 3 * F.col("sigma"))
@@ -215,10 +215,9 @@ def row_outliers_median(
     rows: str = "row_count",
     low: float = 0.40,
     high: float = 2.50,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Runs far below or above their tranche's median."""
-    middle = exact_quantiles(runs, [tranche], rows, {"median": 0.5}, hot_rows)
+    middle = exact_quantiles(runs, [tranche], rows, {"median": 0.5})
     known = join_on(runs, middle, [tranche])
     n = F.col(rows)
     fine = n.between(F.col("median") * low, F.col("median") * high)

@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.stats import quantiles, row_sum, share
-from runlens.operators.ordinal import HOT_ROWS, sketched
+from runlens.functions.stats import ACCURACY, quantiles, row_sum, share
 
 IDENTITY = ("run_id", "cipher_state", "tranche", "session")
 
@@ -91,19 +90,20 @@ def run_features(
     bronze: DataFrame,
     families: Iterable[str] | None = None,
     identity: Sequence[str] = IDENTITY,
-    hot_rows: int = HOT_ROWS,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Bronze rows to one row per run, in a single shuffle on the identity columns.
+    """Bronze rows to one row per run.
 
-    Every measurement has one quantile sketch for all its points; see ``sketched`` for runs
-    that are too large for one task.
+    Every measurement has one quantile sketch for all its points. Tasks sketch what they read and
+    the sketches, of bounded size, are merged, so a huge run is shared by many tasks. Bronze is stored in run
+    order, so most runs are read by one task and sketched once.
     """
     chosen = features_of(families)
     aggregates = [F.min("measurement_ts").alias("measurement_ts"), F.count("*").alias("row_count")]
     columns: list[Column] = []
     for f in chosen:
         if f.points():
-            sketch = quantiles(f.value(), [int(q[1:]) / 100 for q in f.points()])
+            sketch = quantiles(f.value(), [int(q[1:]) / 100 for q in f.points()], accuracy)
             aggregates.append(sketch.alias(f"_{f.stem}_q"))
         for stat in f.stats:
             name = f"{f.stem}_{stat}"
@@ -116,10 +116,7 @@ def run_features(
             aggregates.append(value.alias(name))
             digits = f.decimals if plain else RATE_DECIMALS
             columns.append(F.round(name, digits).alias(name))
-    if any(f.points() for f in chosen):
-        grouped = sketched(bronze, identity, aggregates, hot_rows, sized_by=identity[:1])
-    else:
-        grouped = bronze.groupBy(*identity).agg(*aggregates)
+    grouped = bronze.groupBy(*identity).agg(*aggregates)
     return grouped.select(*identity, "measurement_ts", "row_count", *columns)
 
 

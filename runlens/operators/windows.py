@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.ordinal import HOT_ROWS, row_ordinal
+from runlens.operators.ordinal import row_ordinal
 
 
 def head_per_group(
@@ -20,10 +20,10 @@ def head_per_group(
 
 
 def every_nth(
-    runs: DataFrame, order: Sequence[Column | str], n: int, hot_rows: int = HOT_ROWS
+    runs: DataFrame, order: Sequence[Column | str], n: int
 ) -> DataFrame:
     """Every n-th run in path order (a sampling report; the checks themselves use all runs)."""
-    placed = row_ordinal(runs, [], order, "place", hot_rows).withColumn("place", F.col("place") + 1)
+    placed = row_ordinal(runs, [], order, "place").withColumn("place", F.col("place") + 1)
     return placed.where(F.col("place") % n == 0)
 
 

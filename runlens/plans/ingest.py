@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from runlens.constants import MIN_RUN_ROWS, TRIM_SECONDS
 from runlens.operators.manifest import RUN, build_manifest, label_lookup, ok_runs, write_failures
 from runlens.operators.merge import merge_long
-from runlens.operators.ordinal import HOT_ROWS, join_on
+from runlens.operators.ordinal import join_on
 from runlens.session import scratch_path
 from runlens.sources.csv_groups import POSITION, measurement_columns, read_groups, trim_groups
 from runlens.sources.files import csv_headers, list_files, run_sizes, run_tree
@@ -40,7 +40,6 @@ def ingest(
     labels: DataFrame | None = None,
     trim_seconds: float = TRIM_SECONDS,
     min_rows: int = MIN_RUN_ROWS,
-    hot_rows: int = HOT_ROWS,
     partitioned: bool = False,
 ) -> Ingested:
     """Read, trim and align the groups in ``columns`` (tag to measurement names).
@@ -54,9 +53,9 @@ def ingest(
     wanted = tree.where(F.col("is_csv") & F.col("tag").isin(*columns))
     rows = read_groups(spark, root, tree, csv_headers(wanted), columns, partitioned)
     parsed = _stored(rows, "rows")
-    trimmed = _stored(trim_groups(parsed, trim_seconds, hot_rows), "trimmed")
+    trimmed = _stored(trim_groups(parsed, trim_seconds), "trimmed")
 
-    wide = merge_long(trimmed, RUN, "tag", POSITION, "values", list(columns), hot_rows)
+    wide = merge_long(trimmed, RUN, "tag", POSITION, "values", list(columns))
     merged = wide.select(*RUN, "ordinal", *measurement_columns(columns))
     sizes = trimmed.groupBy(*RUN, "tag").agg(F.count("*").alias("n"))
     per_tag = F.create_map(*[F.lit(x) for tag, names in columns.items() for x in (tag, len(names))])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from runlens.constants import GROUP_TAGS, MISSING_TEXTS, TRIM_SECONDS
 from runlens.functions.names import normalize_text, sanitize_name
 from runlens.functions.stats import number
-from runlens.operators.ordinal import HOT_ROWS, join_on
+from runlens.operators.ordinal import join_on
 from runlens.operators.trim import row_trim
 
 FILE = ["tranche", "session", "run_id", "tag"]
@@ -135,7 +135,7 @@ def clocks(rows: DataFrame) -> DataFrame:
 
 
 def trim_groups(
-    rows: DataFrame, seconds: float = TRIM_SECONDS, hot_rows: int = HOT_ROWS
+    rows: DataFrame, seconds: float = TRIM_SECONDS
 ) -> DataFrame:
     """Cut each file's edges, by its clock or else by rows.
 
@@ -147,7 +147,7 @@ def trim_groups(
     inside = number(now).between(F.col("clock.first") + seconds, F.col("clock.last") - seconds)
     by_time = clocked.where(inside).select(*FILE, *POSITION, "values")
     unclocked = join_on(rows, known, FILE, "left_anti").select(*FILE, *POSITION, "values")
-    return by_time.unionByName(row_trim(unclocked, FILE, POSITION, hot_rows))
+    return by_time.unionByName(row_trim(unclocked, FILE, POSITION))
 
 
 def measurement_columns(columns: Mapping[str, Sequence[str]], suffix: str = "values") -> list[Column]:

@@ -138,7 +138,7 @@ def test_rows_without_a_clock(done):
 
 
 def test_spread_ingest_is_the_same(spark, root, done):
-    again = ingest(spark, str(root), COLUMNS, trim_seconds=5, min_rows=5, hot_rows=0)
+    again = ingest(spark, str(root), COLUMNS, trim_seconds=5, min_rows=5)
     assert sorted(map(repr, again.bronze.collect())) == sorted(map(repr, done[1].bronze.collect()))
 
 

@@ -23,29 +23,27 @@ def shifted(spark):
 FEATURES = ["signal", "noise", "other"]
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 0])
-def test_auc_against_all_pairs(shifted, hot_rows):
+def test_auc_against_all_pairs(shifted):
     data = shifted.toPandas()
     up, down = (data.loc[data.cipher_state == c, "signal"].to_numpy() for c in ("on", "off"))
     gaps = up[:, None] - down[None, :]
     expected = ((gaps > 0).sum() + (gaps == 0).sum() / 2) / gaps.size
-    found = models.auc(shifted, "signal", hot_rows=hot_rows).first()
+    found = models.auc(shifted, "signal").first()
     assert found.auc == pytest.approx(expected) and found.n_positive == len(up)
-    assert models.auc(shifted, "signal", "off", hot_rows).first().auc == pytest.approx(1 - expected)
+    assert models.auc(shifted, "signal", "off").first().auc == pytest.approx(1 - expected)
 
 
 def test_auc_of_noise(shifted):
     assert 0.4 < models.auc(shifted, "noise").first().auc < 0.6
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 0])
-def test_threshold_against_all_cuts(shifted, hot_rows):
+def test_threshold_against_all_cuts(shifted):
     data = shifted.toPandas()
     on = (data.cipher_state == "on").to_numpy()
     best = max(
         max(((data.signal > t) == on).mean(), ((data.signal <= t) == on).mean()) for t in data.signal.unique()
     )
-    found = models.threshold_baseline(shifted, "signal", hot_rows).first()
+    found = models.threshold_baseline(shifted, "signal").first()
     assert found.accuracy == pytest.approx(best) and found.on_side == "above"
 
 
