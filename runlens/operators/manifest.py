@@ -55,6 +55,7 @@ def run_outcome(
     min_rows: int = MIN_RUN_ROWS,
 ) -> dict[str, Column]:
     """Outcome and reason; the first rule that applies decides."""
+    # The reasons.
     rules = [
         (~has_data, "skip", F.lit("no traffic_generator folder")),
         (label == "unknown", "quarantine", F.lit("cipher state unknown")),
@@ -91,12 +92,19 @@ def min_rows_filter(df: DataFrame, run: Sequence[str], min_rows: int = MIN_RUN_R
 def build_manifest(runs: DataFrame, measured: DataFrame, min_rows: int = MIN_RUN_ROWS) -> DataFrame:
     """One row per run folder, whether or not anything could be read from it.
 
-    ``runs``: run keys, ``enb``, ``has_data``, ``n_csv``, ``raw_size_bytes``.
-    ``measured``: run keys, ``measurement_ts``, ``csv_files_read``, ``row_count``, ``col_count``.
+    ``runs``: run keys, ``enb``, ``has_data``, ``n_csv``, ``raw_size_bytes``, ``measurement_ts``.
+    ``measured``: run keys, ``csv_files_read``, ``row_count``, ``col_count``.
+    Files are looked at only where the run has a data folder, CSVs and a known label; elsewhere
+    sizes and counts are 0 and there is no start time.
     """
     joined = with_labels(join_on(runs, measured, RUN, "left"))
     counts = ("csv_files_read", "row_count", "col_count")
-    filled = joined.fillna(0, list(counts))
+    looked = F.col("has_data") & (F.col("cipher_state") != "unknown") & (F.col("n_csv") > 0)
+    filled = joined.fillna(0, list(counts)).withColumns({
+        "measurement_ts": F.when(looked, F.col("measurement_ts")),
+        "raw_size_bytes": F.when(looked, F.col("raw_size_bytes")).otherwise(0),
+        "csv_files_read": F.when(looked, F.col("csv_files_read")).otherwise(0),
+    })
     decided = filled.withColumns(run_outcome(
         F.col("has_data"), F.col("cipher_state"), F.col("n_csv"),
         F.col("csv_files_read"), F.col("row_count"), min_rows,

@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.constants import MIN_RUN_ROWS, TRIM_SECONDS
-from runlens.operators.manifest import RUN, build_manifest, label_lookup, ok_runs, write_failures
+from runlens.operators.manifest import RUN, build_manifest, label_lookup, ok_runs, quarantined, write_failures
 from runlens.operators.merge import merge_long
 from runlens.operators.ordinal import join_on
 from runlens.session import scratch_path
-from runlens.sources.csv_groups import POSITION, measurement_columns, read_groups, trim_groups
-from runlens.sources.files import csv_headers, list_files, run_sizes, run_tree
+from runlens.sources.csv_groups import (
+    FILE, POSITION, all_columns, header_names, measurement_columns, present_columns, read_groups, repeated_groups, trim_groups,
+)
+from runlens.sources.files import csv_headers, list_files, path_parts, run_sizes, run_tree
 from runlens.sources.label_db import label_files, label_table
+from runlens.sources.tables import MANIFEST_SCHEMA, read_manifest, write_bronze, write_csv, write_table
 
-IDENTITY_COLUMNS = 7
+IDENTITY = ("run_id", "run_number", "cipher_state", "tranche", "session", "measurement_ts", "label_mismatch")
 
 
 @dataclass(frozen=True)
@@ -36,46 +39,83 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 def ingest(
     spark: SparkSession,
     root: str,
-    columns: Mapping[str, Sequence[str]],
+    columns: Mapping[str, Sequence[str]] | None = None,
     labels: DataFrame | None = None,
     trim_seconds: float = TRIM_SECONDS,
     min_rows: int = MIN_RUN_ROWS,
     partitioned: bool = False,
+    groups: Sequence[str] | None = None,
 ) -> Ingested:
     """Read, trim and align the groups in ``columns`` (tag to measurement names).
 
-    ``partitioned`` says that the tree has ``key=value`` folders. Every run is a key in one
-    plan; there is no loop over runs. Two steps are stored in the
-    shared folder because several later steps read them: the parsed rows and the trimmed rows.
+    Without ``columns`` every column of every group is kept, or of the groups whose tags are in ``groups``; a
+    column that a file lacks is null for its run. Measurements are doubles; a cell that is no number is null.
+    ``partitioned`` says that the tree has ``key=value`` folders. Every run is a key in one plan; there is no loop over
+    runs. Two steps are stored in the shared folder because several later steps read them: the parsed rows and the
+    trimmed rows. A run with two files of one group is a failed write, as their columns collide.
     """
     tree = run_tree(list_files(spark, root))
     runs = run_sizes(tree)
-    wanted = tree.where(F.col("is_csv") & F.col("tag").isin(*columns))
-    rows = read_groups(spark, root, tree, csv_headers(wanted), columns, partitioned)
-    parsed = _stored(rows, "rows")
+    data = tree.where("is_csv")
+    picked = groups if columns is None else list(columns)
+    wanted = data if picked is None else data.where(F.col("tag").isin(*picked))
+    headers = _stored(csv_headers(wanted), "headers")
+    described = header_names(wanted, headers)
+    columns = all_columns(described) if columns is None else columns
+    table = label_table(label_files(spark, root)) if labels is None else labels
+    if not columns:  # nothing to read
+        none = runs.select(*RUN, *[F.lit(0).alias(c) for c in ("csv_files_read", "row_count", "col_count")]).limit(0)
+        manifest = build_manifest(label_lookup(runs, table), none, min_rows)
+        return Ingested(ok_runs(manifest).select(*IDENTITY, F.lit(0).cast("long").alias("ordinal")), manifest)
+    failures = repeated_groups(described)
+    parsed = _stored(read_groups(spark, root, tree, headers, columns, partitioned), "rows")
     trimmed = _stored(trim_groups(parsed, trim_seconds), "trimmed")
 
-    wide = merge_long(trimmed, RUN, "tag", POSITION, "values", list(columns))
+    single = join_on(trimmed, failures, RUN, "left_anti")
+    wide = merge_long(single, RUN, "tag", POSITION, "values", list(columns))
     merged = wide.select(*RUN, "ordinal", *measurement_columns(columns))
-    sizes = trimmed.groupBy(*RUN, "tag").agg(F.count("*").alias("n"))
-    per_tag = F.create_map(*[F.lit(x) for tag, names in columns.items() for x in (tag, len(names))])
-    measured = sizes.groupBy(*RUN).agg(
+    present = present_columns(described, columns)
+    sizes = trimmed.groupBy(*FILE).agg(F.count("*").alias("n"))
+    measured = join_on(sizes, present, FILE, "left").groupBy(*RUN).agg(
         F.count("*").alias("csv_files_read"),
         F.min("n").alias("row_count"),
-        (F.sum(per_tag[F.col("tag")]) + IDENTITY_COLUMNS).alias("col_count"),
-    ).join(runs.select(*RUN, "measurement_ts"), list(RUN))
-
-    table = label_table(label_files(spark, root)) if labels is None else labels
-    manifest = build_manifest(label_lookup(runs.drop("measurement_ts"), table), measured, min_rows)
-    identity = ok_runs(manifest).select(
-        "run_id", "run_number", "cipher_state", "tranche", "session", "measurement_ts", "label_mismatch"
+        (F.sum("n_columns") + len(IDENTITY)).alias("col_count"),
     )
+    manifest = write_failures(build_manifest(label_lookup(runs, table), measured, min_rows), failures)
+    identity = ok_runs(manifest).select(*IDENTITY)
     bronze = join_on(merged, identity, RUN).select(
         *identity.columns, "ordinal", *[c for c in merged.columns if "__" in c]
     )
     return Ingested(bronze, manifest)
 
 
+def stored_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Run keys, ``parquet_path`` and ``parquet_size_bytes`` of the Bronze folders that ``write_bronze(by_run=True)`` made."""
+    parts = path_parts(F.col("uri"))
+    listed = list_files(spark, path, "*.parquet").select(
+        parts["tranche"].alias("tranche"), parts["session"].alias("session"), parts["run_id"].alias("run_id"),
+        F.regexp_replace("uri", "/[^/]+$", "").alias("parquet_path"), "length",
+    )
+    return listed.groupBy(*RUN).agg(F.min("parquet_path").alias("parquet_path"), F.sum("length").alias("parquet_size_bytes"))
+
+
+def ingest_to(spark: SparkSession, root: str, out: str, **options) -> DataFrame:
+    """Ingest into ``out``/bronze, /manifest and /quarantine; the manifest, read back.
+
+    What the manifest says of stored files comes from a listing after the write: an ok run without files was not written.
+    """
+    done = ingest(spark, root, **options)
+    write_bronze(done.bronze, f"{out}/bronze", by_run=True)
+    stored = stored_runs(spark, f"{out}/bronze")
+    lost = join_on(ok_runs(done.manifest), stored, RUN, "left_anti").select(*RUN, F.lit("no file was written").alias("write_error"))
+    ordered = [field.split()[0] for field in MANIFEST_SCHEMA.split(",")]
+    final = finish_manifest(done.manifest, stored, lost).select(*ordered)
+    write_csv(final, f"{out}/manifest")
+    manifest = read_manifest(spark, f"{out}/manifest")
+    write_table(quarantined(manifest), f"{out}/quarantine")
+    return manifest
+
+
 def finish_manifest(
     manifest: DataFrame, stored: DataFrame, failures: DataFrame | None = None
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import manifest, quality, silver
 from runlens.operators.ordinal import row_ordinal
-from runlens.plans.ingest import ingest
+from runlens.plans.ingest import ingest, ingest_to
 from runlens.plans.queries.catalogue import feature_measurand_join
 from runlens.plans.queries.measurements import silver_sql
 from runlens.plans.queries.names import DB_SQL, LABEL_SQL
@@ -19,7 +19,6 @@ from runlens.session import scratch_path
 from runlens.sources import csv_groups, files, label_db, tables
 
 FOLDERS_SQL, NATIVE_SQL = FOLDERS.sql(), NATIVE.sql()
-_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 # Raw rows: a run's events, one CSV group per event type.
 RAW = View("events", [
@@ -35,14 +34,11 @@ MEASUREMENTS = ("mean value", "event id")
 KEYS = ["tranche", "session", "run_id", "file"]
 
 
-def _once(load: Tables, name: str, write) -> str:
-    """Write a file set once per session and scale."""
-    key = (load.spark.sparkContext.applicationId, load.sf_dir, name)
-    if key not in _WRITTEN:
-        path = scratch_path(load.spark, name)
-        write(path)
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+def _written(load: Tables, name: str, write) -> str:
+    """Write a file set for one query."""
+    path = scratch_path(load.spark, name)
+    write(path)
+    return path
 
 
 def raw_tree(load: Tables) -> str:
@@ -74,7 +70,7 @@ def raw_tree(load: Tables) -> str:
                 .write.mode("append").partitionBy(*KEYS).option("header", "true").csv(path)
             )
 
-    return _once(load, "raw", write)
+    return _written(load, "raw", write)
 
 
 @query("src_run_tree", f"""select f.tranche, f.session, f.run_name as run_id, {TAG_SQL} as tag
@@ -154,6 +150,57 @@ def ingest_manifest(load: Tables):
     return done.manifest.groupBy("run_id", "outcome").agg(F.count("*").alias("n"))
 
 
+TRIMMED_SIZES_SQL = f"(select run_id, tag, count(*) as n from {TRIMMED_SQL} group by 1, 2)"
+ALL_NAMES = ("time_us", "mean_value", "event_id")
+
+
+@query("ingest_all_columns", f"""with s as (select run_id, min(n) as m from {TRIMMED_SIZES_SQL} group by 1)
+ select run_id, cipher_state, place as ordinal, {', '.join(
+  f"max({v}) filter (where tag = '{t}') as {t}__{c}" for t in TAGS
+  for c, v in zip(ALL_NAMES, ('cast(us as double)', 'value', 'cast(event_id as double)'), strict=True))},
+ {', '.join(f"cast(null as double) as {t}__note" for t in TAGS)}
+ from {TRIMMED_SQL} join s using (run_id) join {LABELLED_SQL} using (run_id)
+ where place < m and m >= 5 and cipher_state <> 'unknown' group by 1, 2, 3""")
+def ingest_all_columns(load: Tables):
+    """Off runs have a column more; it holds text, and is null as a measurement."""
+    done = ingest(load.spark, raw_tree(load), None, _labels(load), MARGIN_US, 5, partitioned=True)
+    names = [f"{t}__{c}" for c in (*ALL_NAMES, "note") for t in TAGS]
+    return done.bronze.select("run_id", "cipher_state", "ordinal", *names)
+
+
+STAMP_SQL = """'20' || substr(f.file_stem, 1, 2) || '-' || substr(f.file_stem, 3, 2) || '-' || substr(f.file_stem, 5, 2)
+ || 'T' || substr(f.file_stem, 8, 2) || ':' || substr(f.file_stem, 10, 2) || ':' || substr(f.file_stem, 12, 2)"""
+
+
+@query("ingest_stored_manifest", f"""with s as (select run_id, min(n) as m, count(*) as k from {TRIMMED_SIZES_SQL} group by 1),
+ l as (select run_name as run_id, {LABEL_SQL} as a, {DB_SQL} as b from {FOLDERS_SQL}),
+ r as (select f.run_name as run_id, tranche, session, {STAMP_SQL} as stamp, coalesce(m, 0) as m, coalesce(k, 0) as k, a, b,
+  coalesce(a, b) is not null as looked,
+  case when coalesce(a, b) is null or coalesce(m, 0) < 5 then 'quarantine' else 'ok' end as outcome
+  from {FOLDERS_SQL} f join l on l.run_id = f.run_name left join s on s.run_id = f.run_name)
+ select run_id, coalesce(try_cast(regexp_extract(run_id, '([0-9]+)$', 1) as bigint), -1) as run_number, tranche, session,
+ coalesce(a, b, 'unknown') as cipher_state, case when a is not null then 'folder' when b is not null then 'db' else 'none' end
+ as cipher_source, coalesce(a <> b, false) as label_mismatch, case when looked then stamp end as measurement_ts,
+ case when outcome = 'ok' then m else 0 end as row_count,
+ case when outcome = 'ok' then k * case when lower(run_id) like 'cipheron%' then 3 else 4 end + 7 else 0 end as col_count,
+ case when looked then k else 0 end as csv_files_read, looked as has_bytes, outcome = 'ok' as is_stored, outcome,
+ case when outcome = 'ok' then '' when not looked then 'cipher state unknown' when k = 0 then 'all CSV groups empty after trimming'
+  else concat('too few rows after trimming: ', m) end as skip_reason, outcome = 'quarantine' as in_quarantine from r""")
+def ingest_stored_manifest(load: Tables):
+    """Ingest, store, list what was stored, and read manifest and quarantine back."""
+    out = scratch_path(load.spark, "ingested")
+    final = ingest_to(
+        load.spark, raw_tree(load), out, labels=_labels(load), trim_seconds=MARGIN_US, min_rows=5, partitioned=True
+    )
+    rejected = load.spark.read.parquet(f"{out}/quarantine").select(F.col("run_id").alias("q"))
+    return final.join(rejected, F.col("run_id") == F.col("q"), "left").select(
+        "run_id", "run_number", "tranche", "session", "cipher_state", "cipher_source", "label_mismatch", "measurement_ts",
+        "row_count", "col_count", "csv_files_read", (F.col("raw_size_bytes") > 0).alias("has_bytes"),
+        ((F.col("parquet_size_bytes") > 0) & (F.col("parquet_path") != "")).alias("is_stored"), "outcome", "skip_reason",
+        F.col("q").isNotNull().alias("in_quarantine"),
+    )
+
+
 def _session_files(load: Tables) -> DataFrame:
     """A label file per (tranche, session); a session has a dozen runs by construction."""
     def build(pdf):
@@ -202,7 +249,7 @@ def bronze_files(load: Tables) -> str:
         tables.write_bronze(rows.where(on).withColumn(MIXED, F.col(MIXED).cast("int")), f"{path}/on")
         tables.write_bronze(rows.where(off).withColumn(MIXED, F.col(MIXED).cast("float")), f"{path}/off")
 
-    return _once(load, "bronze", write)
+    return _written(load, "bronze", write)
 
 
 MEASURED = ("l1_dl_carrier__dl_sch_bler", "l1_dl_carrier__retransmission_0", "rlc_rx__lost_pdus")

@@ -12,13 +12,13 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.constants import GROUP_TAGS, MISSING_TEXTS, TRIM_SECONDS
+from runlens.constants import GROUP_TAG_LENGTH, GROUP_TAGS, MISSING_TEXTS, TRIM_SECONDS
 from runlens.functions.names import normalize_text, sanitize_name
 from runlens.functions.stats import number
 from runlens.operators.ordinal import join_on
 from runlens.operators.trim import row_trim
 
-FILE = ["tranche", "session", "run_id", "tag"]
+FILE = ["tranche", "session", "run_id", "tag", "stem"]  # two groups can share a tag; a file is its stem
 POSITION = ["uri", "block", "line"]
 
 
@@ -32,27 +32,36 @@ def header_names(files: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def group_files(root: str, tags: Iterable[str], partitioned: bool = False) -> tuple[str, str]:
-    """Path and file pattern that list only the files of the wanted groups.
+    """Path and file pattern that list the files of the wanted groups, and few others.
 
-    Most files of a run belong to other groups, so this spares most of the reading. A tag
-    that no known group has cannot be turned into a file name; then all CSVs are listed.
+    Most files of a run belong to other groups, so this spares most of the reading. A tag is the short form of a known
+    group, or derived from a group's name; the pattern covers every name that it can be derived from.
     """
     known = {tag: group for group, tag in GROUP_TAGS.items()}
-    if not set(tags) <= set(known):
-        return root, "*.csv"
-    groups = "{" + ",".join(known[t] for t in tags) + "}"
+
+    def derived(tag: str) -> str:
+        letters = "".join(f"[{c}{c.upper()}]" if c.isalpha() else "?" if c == "_" else c for c in tag)
+        return letters + "*" * (len(tag) == GROUP_TAG_LENGTH)
+
+    names = [n for t in tags for n in ([known[t]] if t in known else []) + [derived(t)]]
+    groups = "{" + ",".join(dict.fromkeys(names)) + "}"
     if partitioned:
         return f"{root.rstrip('/')}/tranche=*/session=*/run_id=*/file=*{groups}", "*.csv"
     return root, f"*{groups}.csv"
 
 
 def read_cells(spark: SparkSession, path: str, width: int, pattern: str = "*.csv") -> DataFrame:
-    """Rows (uri, block, line, cells) of all files, in their order by (uri, block, line)."""
+    """Rows (uri, block, line, cells) of all files, in their order by (uri, block, line).
+
+    Cells may hold quoted line breaks, so a file is read by one task; a huge group comes as parts.
+    """
     columns = [f"c{i}" for i in range(width)]
     raw = (
         spark.read.schema(", ".join(f"{c} string" for c in columns))
         .option("header", "true")
         .option("enforceSchema", "true")
+        .option("multiLine", "true")
+        .option("escape", '"')
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .csv(path)
@@ -65,6 +74,29 @@ def read_cells(spark: SparkSession, path: str, width: int, pattern: str = "*.csv
     )
 
 
+def all_columns(described: DataFrame, most: int = 100_000) -> dict[str, list[str]]:
+    """Every column of every group, by tag: what the headers of ``header_names`` hold, in order of name.
+
+    Columns are kinds of measurements: a few thousand, whatever the number of files; more than ``most`` are refused.
+    """
+    found = described.select("tag", F.explode("clean").alias("name")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} columns")
+    out: dict[str, list[str]] = {}
+    for row in sorted(found):
+        if row.name:
+            out.setdefault(row.tag, []).append(row.name)
+    return out
+
+
+def repeated_groups(described: DataFrame) -> DataFrame:
+    """Runs in which two files have one tag: their columns would collide. With the text of the failure."""
+    twice = described.groupBy("tranche", "session", "run_id", "tag").agg(F.count_distinct("stem").alias("n")).where("n > 1")
+    return twice.groupBy("tranche", "session", "run_id").agg(
+        F.concat(F.lit("duplicate columns of group "), F.min("tag")).alias("write_error")
+    )
+
+
 def _wanted(columns: Mapping[str, Sequence[str]]) -> Column:
     """The measurement names of a file's tag, as a literal lookup."""
     pairs = [
@@ -74,6 +106,13 @@ def _wanted(columns: Mapping[str, Sequence[str]]) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("tag"))
 
 
+def present_columns(described: DataFrame, columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Per file, how many of its tag's wanted columns it has; parts of one file count once."""
+    found = F.array_intersect(F.array_distinct("clean"), _wanted(columns))
+    per_part = described.select(*FILE, F.explode(found).alias("name")).distinct()
+    return per_part.groupBy(*FILE).agg(F.count("*").alias("n_columns"))
+
+
 def read_groups(
     spark: SparkSession,
     root: str,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from runlens.functions.names import group_name, group_tag, measurement_ts
 
 HEADER_CHUNK = 1 << 16
+HEADER_LIMIT = 1 << 24
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -47,14 +49,18 @@ def path_parts(uri: Column) -> dict[str, Column]:
 
 
 def run_tree(files: DataFrame) -> DataFrame:
-    """Files of run folders: those below a tranche and a session whose name starts with cipher."""
+    """Files of run folders: those below a tranche and a session whose name starts with cipher.
+
+    ``is_csv`` holds for the files that are read: CSVs right in a run's data folder, or parts of a ``file=`` folder.
+    """
+    in_data = F.col("uri").rlike(r"/(?:traffic_generator|file=[^/]+)/[^/]+\.csv$")
     parsed = files.withColumns(path_parts(F.col("uri")))
     known = F.col("tranche").isNotNull() & F.lower("run_id").startswith("cipher")
     return parsed.where(known).withColumns({
         "grp": group_name(F.col("stem")),
         "tag": group_tag(group_name(F.col("stem"))),
         "measurement_ts": measurement_ts(F.col("stem")),
-        "is_csv": F.col("uri").endswith(".csv"),
+        "is_csv": in_data,
     })
 
 
@@ -76,15 +82,20 @@ def _open(uri: str):
     return filesystem.open_input_file(path)
 
 
-def _first_line(uri: str) -> str:
+def _header(uri: str) -> list[str]:
+    """The first record; a huge file without a line break is given up after ``HEADER_LIMIT`` bytes."""
+    data = b""
     with _open(uri) as stream:
-        data = b""
-        while b"\n" not in data:
+        while len(data) <= HEADER_LIMIT:
             chunk = stream.read(HEADER_CHUNK)
-            if not chunk:
-                break
             data += chunk
-    return data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+            lines = data.decode("utf-8-sig", "replace").splitlines(keepends=True)
+            text = "".join(lines if not chunk else lines[:-1])
+            if text and (not chunk or text.count('"') % 2 == 0):
+                return next(csv.reader(io.StringIO(text)), [])
+            if not chunk:
+                return []
+    raise ValueError("no header within the first bytes")
 
 
 def csv_headers(files: DataFrame) -> DataFrame:
@@ -95,7 +106,7 @@ def csv_headers(files: DataFrame) -> DataFrame:
             rows = []
             for uri in batch["uri"]:
                 try:
-                    names = next(csv.reader([_first_line(uri)]), [])
+                    names = _header(uri)
                     rows.append((uri, names, None if names else "empty file"))
                 except Exception as error:
                     rows.append((uri, None, f"{type(error).__name__}: {error}"))
@@ -109,15 +120,14 @@ def footer_columns(files: DataFrame) -> DataFrame:
 
     def peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for uri in batch["uri"]:
                 try:
                     with _open(uri) as stream:
                         schema = pyarrow.parquet.read_schema(stream)
-                    rows += [(uri, f.name, str(f.type), None) for f in schema]
+                    rows = [(uri, f.name, str(f.type), None) for f in schema]
                 except Exception as error:
-                    rows.append((uri, None, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["uri", "column", "type", "error"])
+                    rows = [(uri, None, None, f"{type(error).__name__}: {error}")]
+                yield pd.DataFrame(rows, columns=["uri", "column", "type", "error"])
 
     schema = "uri string, column string, type string, error string"
     found = files.select("uri").mapInPandas(peek, schema)

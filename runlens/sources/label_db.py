@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 from collections.abc import Iterator
 
@@ -15,15 +16,16 @@ NAME = "metadata.db"
 
 
 def label_files(spark: SparkSession, root: str) -> DataFrame:
-    """Rows (tranche, session, content) of the session files."""
+    """Rows (tranche, session, content) of the files right in a session folder."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", NAME)
         .load(root)
     )
-    parts = path_parts(F.col("_metadata.file_path"))
-    return files.select(parts["tranche"].alias("tranche"), parts["session"].alias("session"), "content")
+    path = F.col("_metadata.file_path")
+    parts = path_parts(path)
+    return files.where(path.rlike(rf"/(?:session=)?Session_[^/]+/{re.escape(NAME)}$")).select(parts["tranche"].alias("tranche"), parts["session"].alias("session"), "content")
 
 
 def _read(content: bytes) -> list[tuple]:

@@ -36,14 +36,14 @@ def read_bronze(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
     return spark.read.schema(schema).parquet(*paths)
 
 
-def write_bronze(df: DataFrame, path: str, order: Sequence[str] = ("ordinal",)) -> None:
-    """Snappy Parquet by tranche and session. Range partitioning keeps a run's rows together
-    and still spreads a huge run over many tasks and files."""
+def write_bronze(df: DataFrame, path: str, order: Sequence[str] = ("ordinal",), by_run: bool = False) -> None:
+    """Snappy Parquet by tranche and session, and by run where asked for. Range partitioning keeps a
+    run's rows together and still spreads a huge run over many tasks and files."""
     keys = ["tranche", "session", "run_id", *[c for c in order if c in df.columns]]
     spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     (
         spread.write.mode("overwrite")
-        .partitionBy("tranche", "session")
+        .partitionBy("tranche", "session", *["run_id"] * by_run)
         .option("compression", "snappy")
         .option("maxRecordsPerFile", FILE_ROWS)
         .parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import quality
-from runlens.plans.ingest import finish_manifest, ingest
+from runlens.plans.ingest import finish_manifest, ingest, ingest_to
 from runlens.sources import csv_groups, files, label_db, tables
 
 MAC, PDCP = "UECOMBINED_MACRXSTATS_ALL", "UECOMBINED_PDCPRXSTATS_ALL"
@@ -161,7 +161,7 @@ def test_only_wanted_groups_are_scanned(spark, root):
     path, pattern = csv_groups.group_files(str(root), ["pdcp_rx"])
     scanned = csv_groups.read_cells(spark, path, 2, pattern).inputFiles()
     assert len(scanned) == 2 and all(PDCP in f for f in scanned)
-    assert csv_groups.group_files("r", ["custom"]) == ("r", "*.csv")
+    assert csv_groups.group_files("r", ["a_1"]) == ("r", "*{[aA]?1}.csv")
 
 
 def test_quoted_header(spark, tmp_path):
@@ -228,3 +228,62 @@ def test_catalogue_export(spark, tmp_path):
     assert [tuple(r) for r in tables.read_catalogue(spark, str(tmp_path / "sheet.csv")).collect()] == [
         ("MAC Layer", "a"), ("Network", "b"),
     ]
+
+
+@pytest.fixture(scope="module")
+def odd_root(tmp_path_factory):
+    """Cases in which a reader can take too much, too little, or the wrong rows."""
+    root = tmp_path_factory.mktemp("odd")
+    mac = f"220909_125427_{MAC}.csv"
+    write_run(root, "Session_1", "cipheron_1", {mac: timed(30)})
+    for folder in ("logs", "traffic_generator/deeper"):  # CSVs elsewhere in the run
+        place = root / "Tranche_A" / "Session_1" / "cipheron_1" / folder
+        place.mkdir()
+        (place / mac).write_text("\n".join(timed(30, row="{i},9999,9999")))
+    broken = ['Time (s),"Long\nNote",PDU Size', *[f'{i},"two\nlines ""{i}""",{i}' for i in range(30)]]
+    write_run(root, "Session_1", "cipheron_2", {mac: broken})
+    write_run(root, "Session_1", "cipheroff_3", {mac: timed(30), f"220909_130000_{MAC}.csv": timed(30)})
+    write_run(root, "Session_1", "cipheroff_4", {mac: ["Time (s),PDU Size"]})
+    write_run(root, "Session_1", "cipher_5", {mac: timed(30)})
+    write_run(root, "Session_1", "cipheron_6", {"220909_125427_Mac.Rx.csv": timed(30)})  # derived tag: mac_rx
+    with sqlite3.connect(root / "Tranche_A" / "Session_1" / "cipher_5" / "metadata.db") as con:  # not the session's
+        con.execute("create table configurations (id integer primary key, name text, eNB)")
+        con.execute("insert into configurations (name, eNB) values ('cipher_5', 'on')")
+    return root
+
+
+@pytest.mark.parametrize("columns", [{"mac_rx": ["PDU Size"]}, None])
+def test_odd_files(spark, odd_root, columns):
+    done = ingest(spark, str(odd_root), columns, trim_seconds=5, min_rows=5)
+    runs = {r.run_id: r for r in done.manifest.collect()}
+    assert {k: (r.outcome, r.skip_reason) for k, r in runs.items()} == {
+        "cipheron_1": ("ok", ""), "cipheron_2": ("ok", ""), "cipheron_6": ("ok", ""),
+        "cipheroff_3": ("quarantine", "Parquet write failed: duplicate columns of group mac_rx"),
+        "cipheroff_4": ("quarantine", "all CSV groups empty after trimming"),
+        "cipher_5": ("quarantine", "cipher state unknown"),
+    }
+    assert runs["cipheroff_4"].measurement_ts == "2022-09-09T12:54:27" and runs["cipheroff_4"].raw_size_bytes > 0
+    unknown = runs["cipher_5"]
+    assert (unknown.measurement_ts, unknown.raw_size_bytes, unknown.csv_files_read) == (None, 0, 0)
+    size = (odd_root / "Tranche_A" / "Session_1" / "cipheron_1" / "traffic_generator" / f"220909_125427_{MAC}.csv").stat().st_size
+    assert runs["cipheron_1"].raw_size_bytes == size
+    rows = {}
+    for r in done.bronze.orderBy("ordinal").collect():
+        rows.setdefault(r.run_id, []).append(r.mac_rx__pdu_size)
+    assert rows == {
+        "cipheron_1": [100.0 + i for i in range(5, 25)], "cipheron_2": [float(i) for i in range(5, 25)],
+        "cipheron_6": [100.0 + i for i in range(5, 25)],
+    }
+    if columns is None:
+        assert [c for c in done.bronze.columns if "__" in c] == [f"mac_rx__{c}" for c in ("long_note", "pdu_size", "snr__db_", "time__s_")]
+        assert (runs["cipheron_1"].col_count, runs["cipheron_2"].col_count) == (10, 10)
+
+
+def test_stored_and_read_back(spark, odd_root, tmp_path):
+    manifest = ingest_to(spark, str(odd_root), str(tmp_path / "out"), columns={"mac_rx": ["PDU Size"]}, trim_seconds=5, min_rows=5)
+    runs = {r.run_id: r for r in manifest.collect()}
+    stored = {k for k, r in runs.items() if r.parquet_size_bytes > 0}
+    assert stored == {k for k, r in runs.items() if r.outcome == "ok"} == {"cipheron_1", "cipheron_2", "cipheron_6"}
+    assert spark.read.parquet(runs["cipheron_1"].parquet_path).count() == 20
+    rejected = spark.read.parquet(str(tmp_path / "out" / "quarantine"))
+    assert {r.run_id for r in rejected.collect()} == {"cipheroff_3", "cipheroff_4", "cipher_5"}
