@@ -117,11 +117,14 @@ def fit(counts: dict[str, np.ndarray], smoothing: float = 1.0, sharpness: float
     return Model(languages, code, weights * scale, bias * scale, gap / gap.max())
 
 
-def sampled(rows: DataFrame, key: str, most: int, at_once: int = 16) -> DataFrame:
-    """About ``most`` rows of each key: those whose hash of the text falls below the key's share. Few keys; bounded parts."""
-    shares = rows.groupBy(F.col(key).alias("__key")).agg((F.lit(float(most)) / F.count("*")).alias("__share"))
+def sampled(rows: DataFrame, key: str, counts: dict[str, int], most: int, at_once: int = 16) -> DataFrame:
+    """About ``most`` rows of each key, those whose hash of the text falls below the key's share, in a bounded number of parts.
+
+    ``counts`` has the rows of each key, so the rows are filtered where they are read; only the sample is shuffled.
+    """
+    shares = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, most / n)])
     draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(shares, F.col(key) == F.col("__key")).where(draw < F.col("__share")).drop("__key", "__share").repartition(at_once, F.xxhash64("text"))
+    return rows.where(draw < F.element_at(shares, F.col(key))).repartition(at_once, F.xxhash64("text"))
 
 
 def train(docs: DataFrame, per_language: int = 4000) -> Model:
@@ -131,8 +134,11 @@ def train(docs: DataFrame, per_language: int = 4000) -> Model:
     language are not used. More than ``LANGUAGES`` languages are refused.
     """
     rows = docs.where("lang is not null and text != ''").select("lang", F.col("text").cast("binary").alias("text"))
-    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+    found = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(found) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    if not found:
+        return fit({})
 
     def add_up(batches):
         sums: dict[str, np.ndarray] = {}
@@ -147,7 +153,7 @@ def train(docs: DataFrame, per_language: int = 4000) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[x].tobytes() for x in names], pa.binary())], ["lang", "counts"])
 
     totals: dict[str, np.ndarray] = {}
-    for row in sampled(rows, "lang", per_language).mapInArrow(add_up, "lang string, counts binary").toLocalIterator():
+    for row in sampled(rows, "lang", found, per_language).mapInArrow(add_up, "lang string, counts binary").toLocalIterator():
         totals[row.lang] = totals.get(row.lang, 0) + np.frombuffer(bytes(row.counts), np.float64)
     return fit(totals)
 
