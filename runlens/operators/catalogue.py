@@ -11,6 +11,7 @@ from runlens.functions.names import truncate_text
 
 TOP_PRIORITY = 3
 NOT_FOUND = "NOT FOUND"
+KEY_DETAILS = ("key_type", "data_type", "min_value", "max_value")  # two texts, two numbers
 
 
 def _pieces(text: Column, lengths: Column) -> Column:
@@ -40,8 +41,9 @@ def containment(texts: DataFrame, terms: DataFrame) -> DataFrame:
 def feature_map(features: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Features with the first catalogue key whose name contains theirs or is contained in it.
 
-    ``features``: new_var_num, orig_var_name. ``catalogue``: pos, ue_logging, layer_raw, priority.
-    Keys rank by their first position; that row describes the key. Unmatched features stay.
+    ``features``: new_var_num, orig_var_name. ``catalogue``: pos, ue_logging, layer_raw, priority,
+    key_type, data_type, min_value, max_value. Keys rank by their first position; that row describes the
+    key. Unmatched features stay; missing texts are blank.
     """
     parsed = features.withColumns(parse_feature_name(F.col("orig_var_name"))).withColumn(
         "_prefix", squash(F.col("measurand_prefix"))
@@ -49,7 +51,7 @@ def feature_map(features: DataFrame, catalogue: DataFrame) -> DataFrame:
     keyed = catalogue.withColumn("_key", squash(F.coalesce("ue_logging", F.lit(""))))
     first = keyed.where(F.col("_key") != "").groupBy("_key").agg(
         F.min("pos").alias("pos"),
-        F.min_by(F.struct("layer_raw", "priority"), "pos").alias("row"),
+        F.min_by(F.struct("layer_raw", "priority", *KEY_DETAILS), "pos").alias("row"),
     )
     prefixes, keys = parsed.select("_prefix").distinct(), first.select("_key")
     inside_prefix = containment(
@@ -72,6 +74,8 @@ def feature_map(features: DataFrame, catalogue: DataFrame) -> DataFrame:
         layer_of_text(layer).alias("layer_group"),
         F.coalesce(layer, F.lit("")).alias("layer_raw"),
         F.col("_match.row.priority").alias("priority"),
+        *[F.coalesce(F.col(f"_match.row.{c}"), F.lit("")).alias(c) for c in KEY_DETAILS[:2]],
+        *[F.col(f"_match.row.{c}").alias(c) for c in KEY_DETAILS[2:]],
     )
 
 

@@ -23,6 +23,7 @@ from runlens.constants import (
 from runlens.operators.compare import class_balance
 from runlens.operators.ordinal import exact_quantiles, join_on
 from runlens.operators.windows import head_per_group
+from runlens.session import materialize
 
 RESULT = ("check_id", "scope", "subject", "observed", "expected", "status", "severity")
 BLOCKING = ("boolean_columns", "label_valid", "balance_session", "duplicate_timestamps", "readable")
@@ -123,7 +124,7 @@ def value_ranges(df: DataFrame, run: str = "run_id", ranges: Mapping = VALUE_RAN
     subject = F.concat_ws(":", F.col(run).cast("string"), F.col("column"), F.col("fragment"))
     return result(
         seen, "value_ranges", "run", subject, beyond,
-        F.concat_ws("..", F.col("low").cast("bigint"), F.col("high").cast("bigint")),
+        F.concat_ws("..", *[F.regexp_replace(F.col(c).cast("string"), r"\.0$", "") for c in ("low", "high")]),
         ~F.col("violated"), "WARN",
     )
 
@@ -149,8 +150,13 @@ def null_rates(
     run: str = "run_id",
     fragments: Sequence[str] = NULL_RATE_FRAGMENTS,
     limit: float = 0.01,
+    present: DataFrame | None = None,
 ) -> DataFrame:
-    """Mean over runs of each key column's null rate."""
+    """Mean over runs of each key column's null rate.
+
+    ``present`` (run, column), from the footers of stored files, names the columns that a run has. On the stacked table
+    a column that a run lacks looks like nulls; with ``present`` the run is left out of that column's mean.
+    """
     columns = [c for c in df.columns if any(f in c for f in fragments)]
 
     def missing(column: str) -> Column:
@@ -159,6 +165,11 @@ def null_rates(
         return blank.cast("double")
 
     per_run = df.groupBy(run).agg(*[F.avg(missing(c)).alias(c) for c in columns])
+    if present is not None:
+        had = present.where(F.col("column").isin(*columns)).groupBy(run).agg(F.collect_set("column").alias("_had"))
+        per_run = per_run.join(had, run, "left").select(
+            run, *[F.when(F.array_contains("_had", c), F.col(c)).alias(c) for c in columns]
+        )
     wide = per_run.agg(*[F.avg(c).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("rate")) for c in columns])
     rates = wide.select(F.inline(rows))
@@ -437,6 +448,53 @@ def rule_completeness(manifest: DataFrame, incomplete: DataFrame) -> DataFrame:
     return result(counts, "DQ-08", "dataset", "runs", F.col("n"), expected, F.col("n") == 0)
 
 
+# --- the suite ------------------------------------------------------------------------
+
+
+def suite(
+    df: DataFrame,
+    run: str = "run_id",
+    ranges: Mapping[str, tuple[float, float]] = VALUE_RANGES,
+    fragments: Sequence[str] = NULL_RATE_FRAGMENTS,
+    limit: float = 0.01,
+    present: DataFrame | None = None,
+) -> DataFrame:
+    """All checks of measurement rows, and of the runs they form, from one aggregate over the rows.
+
+    Labels, ranges, null rates, rows per tranche and balance per session read one stored row per run. The results are
+    those of the single checks. ``df`` carries the identity of the runs.
+    """
+    measured = list(dict.fromkeys(
+        [c for c, *_ in _ranged_columns(df, ranges)] + [c for c in df.columns if any(f in c for f in fragments)]
+    ))
+    floats = set(_floats(df))
+
+    def known(column: str) -> Column:
+        return F.when(~F.isnan(column), F.col(column)) if column in floats else F.col(column)
+
+    bad = F.count_if(F.col("cipher_state").isNull() | ~F.col("cipher_state").isin("on", "off"))
+    runs = materialize(df.groupBy(run).agg(
+        *[F.min(c).alias(c) for c in ("cipher_state", "tranche", "session")],
+        F.count("*").alias("row_count"), bad.alias("_bad"),
+        *[F.struct(F.min(known(c)).alias("least"), F.max(known(c)).alias("most"), F.count(known(c)).alias("n")).alias(c) for c in measured],
+    ))
+    ends = runs.select(run, *[F.col(f"{c}.least").alias(c) for c in measured]).unionByName(
+        runs.select(run, *[F.col(f"{c}.most").alias(c) for c in measured])
+    )  # the checks of single rows ask only for the ends of a run's values
+    labels = result(runs, "label_valid", "run", F.col(run), F.col("_bad"), "on or off", F.col("_bad") == 0)
+    rates = runs.select(run, *[(1 - F.col(f"{c}.n") / F.col("row_count")).alias(c) for c in measured if any(f in c for f in fragments)])
+    if present is not None:
+        had = present.groupBy(run).agg(F.collect_set("column").alias("_had"))
+        rates = rates.join(had, run, "left").select(run, *[F.when(F.array_contains("_had", c), F.col(c)).alias(c) for c in rates.columns if c != run])
+    names = [c for c in rates.columns if c != run]
+    means = rates.agg(*[F.avg(c).alias(c) for c in names]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("rate")) for c in names]))
+    )
+    nulls = result(means, "null_rates", "column", F.col("column"), F.col("rate"), f"<= {limit}", F.col("rate") <= limit, "WARN")
+    parts = [labels, value_ranges(ends, run, ranges), nulls, row_outliers_sigma(runs), balance_session(runs)]
+    return combine(parts)
+
+
 # --- verdicts -------------------------------------------------------------------------
 
 

@@ -10,17 +10,21 @@ from runlens.plans.queries.names import (
 from runlens.plans.registry import Tables, query
 from runlens.plans.views import CATALOGUE, FEATURES
 
+# min_by passes over nulls: the first row's missing text is marked and unmarked again.
+DETAILS_SQL = "min_by(coalesce(key_type, '-'), pos) as key_type, min_by(coalesce(data_type, '-'), pos) as data_type," \
+    " min_by(min_value, pos) as min_value, min_by(max_value, pos) as max_value"
 KEY_TYPES = ["continuous (q = 5)", "discrete", "NA"]
 
 
 @query("feature_measurand_join", f"""with f as (select *, replace(lower(measurand_prefix), '_', '') as p from {PARSED_SQL}),
  k as (select replace(lower(ue_logging), '_', '') as matched_key, min(pos) as pos, min_by(layer_raw, pos) as layer,
-  min_by(priority, pos) as priority from {CATALOGUE_SQL} where ue_logging is not null group by 1),
- m as (select p, min_by(matched_key, pos) as matched_key, min_by(layer, pos) as layer, min_by(priority, pos) as priority
+  min_by(priority, pos) as priority, {DETAILS_SQL} from {CATALOGUE_SQL} where ue_logging is not null group by 1),
+ m as (select p, min_by(matched_key, pos) as matched_key, min_by(layer, pos) as layer, min_by(priority, pos) as priority, {DETAILS_SQL}
   from (select distinct p from f) join k on contains(p, matched_key) or contains(matched_key, p) group by p)
  select new_var_num, orig_var_name, measurand_prefix, feature_type, feature_value, matched_key, layer_group,
-  coalesce(layer_raw, '') as layer_raw, cast(priority as bigint) as priority from (select *, {LAYER_SQL} as layer_group from
-  (select f.*, m.matched_key, m.layer as layer_raw, m.priority from f left join m using (p)))""")
+  coalesce(layer_raw, '') as layer_raw, cast(priority as bigint) as priority, coalesce(nullif(key_type, '-'), '') as key_type,
+  coalesce(nullif(data_type, '-'), '') as data_type, min_value, max_value from (select *, {LAYER_SQL} as layer_group from
+  (select f.*, m.matched_key, m.layer as layer_raw, m.priority, m.key_type, m.data_type, m.min_value, m.max_value from f left join m using (p)))""")
 def feature_measurand_join(load: Tables):
     return catalogue.feature_map(load(FEATURES), load(CATALOGUE))
 

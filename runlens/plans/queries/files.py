@@ -373,7 +373,8 @@ def sink_catalogue(load: Tables):
     path = scratch_path(load.spark, "catalogue")
     tables.write_csv(feature_measurand_join(load), path)
     exported = tables.read_text_table(load.spark, path)
-    return exported.fillna("", ["layer_raw"]).withColumn("priority", F.col("priority").cast("bigint"))
+    numbers = {"priority": "bigint", "min_value": "double", "max_value": "double"}
+    return exported.fillna("", ["layer_raw", "key_type", "data_type"]).withColumns({c: F.col(c).cast(t) for c, t in numbers.items()})
 
 
 @query("src_variable_key", f"select new_var_num, orig_var_name from {FEATURES.sql()}")

@@ -113,6 +113,26 @@ def dq_null_rates(load: Tables):
     return rounded(quality.null_rates(load(FAULTY)), 9, "observed")
 
 
+WHOLE = View("lineitem", [
+    *FAULTY.columns, "concat('T', cast(l_suppkey % 3 as varchar(2))) as tranche",
+    "concat('S', cast(l_suppkey % 5 as varchar(2))) as session",
+])
+WHOLE_RUNS_SQL = f"""(select run_id, min(cipher_state) as cipher_state, min(tranche) as tranche, min(session) as session,
+ count(*) as row_count from {WHOLE.sql()} group by 1)"""
+SUITE_SQL = "select check_id, scope, subject, round(observed, 9) as observed, expected, status, severity from (" + " union all ".join(
+    f"select check_id, scope, subject, observed, expected, status, severity from ({part})" for part in (
+        LABEL_VALID_SQL, VALUE_RANGES_SQL, NULL_RATES_SQL,
+        SIGMA_SQL.replace(RUNS_SQL, WHOLE_RUNS_SQL), BALANCE_SQL.replace(MANIFEST_SQL, WHOLE_RUNS_SQL),
+    )
+) + ")"
+
+
+@query("dq_suite", SUITE_SQL)
+def dq_suite(load: Tables):
+    """The checks of measurement rows in one pass."""
+    return rounded(quality.suite(load(WHOLE)), 9, "observed")
+
+
 DUPLICATES_SQL = result_sql(
     "duplicate_timestamps", "'run'", "run_id", "rate", "'<= 0.95'", "rate <= 0.95",
     """(select l_suppkey as run_id, (count(*) - count(distinct day)) / count(*) as rate from (

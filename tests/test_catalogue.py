@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from runlens.operators import catalogue
 
 
@@ -25,13 +27,16 @@ def test_first_key_wins_in_both_directions(spark):
         (0, "", "Network", 1), (1, "rx_stats", "RLC Layers", 2), (2, "MAC_RX", "MAC Layer", 3),
         (3, "RXSTATS", "Network", 9), (4, None, "Network", 1),
     ]
-    measurands = spark.createDataFrame(rows, "pos int, ue_logging string, layer_raw string, priority int")
+    details = {"key_type": F.lit("discrete"), "data_type": F.lit(None).cast("string"), "min_value": F.col("pos") * 1.5, "max_value": F.lit(None).cast("double")}
+    measurands = spark.createDataFrame(rows, "pos int, ue_logging string, layer_raw string, priority int").withColumns(details)
     found = {r.new_var_num: (r.matched_key, r.layer_group, r.priority)
              for r in catalogue.feature_map(features, measurands).collect()}
     assert found == {
         "x1": ("rxstats", "L2 RLC", 2), "x2": ("macrx", "L2 MAC", 3),
         "x3": (None, "Unknown", None), "x4": (None, "Unknown", None),
     }
+    described = {r.new_var_num: (r.key_type, r.data_type, r.min_value, r.max_value) for r in catalogue.feature_map(features, measurands).collect()}
+    assert described["x1"] == ("discrete", "", 1.5, None) and described["x3"] == ("", "", None, None)
     # Here underscores count and only the feature may contain the key.
     hits = catalogue.priority_features(features, measurands).collect()
     assert [r.new_var_num for r in hits] == ["x1"]

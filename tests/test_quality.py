@@ -110,3 +110,20 @@ def test_zero_denominators_give_null(spark):
         "harq_efficiency": None, "bler_spread": 0.25, "spectral_efficiency": None,
         "pdcp_discard_rate": None, "dl_ul_asymmetry": None,
     }
+
+
+def test_absent_columns_are_no_nulls(spark):
+    rows = [("a", 1.0, 5.0), ("a", None, 5.0), ("b", None, 5.0), ("b", None, None)]  # b's file has no bler
+    df = spark.createDataFrame(rows, "run_id string, bler double, mcs double")
+    present = spark.createDataFrame([("a", "bler"), ("a", "mcs"), ("b", "mcs")], "run_id string, column string")
+    found = {r.subject: r.observed for r in quality.null_rates(df, fragments=["bler", "mcs"], present=present).collect()}
+    assert found == {"bler": 0.5, "mcs": 0.25}
+    found = {r.subject: r.observed for r in quality.null_rates(df, fragments=["bler", "mcs"]).collect()}
+    assert found == {"bler": 0.75, "mcs": 0.25}
+
+
+def test_fractional_bounds(spark):
+    df = spark.createDataFrame([("a", 0.95)], "run_id string, bler double")
+    row = quality.value_ranges(df, ranges={"bler": (0.1, 0.9)}).first()
+    assert (row.expected, row.status) == ("0.1..0.9", "WARN")
+    assert quality.value_ranges(df, ranges={"bler": (0, 1)}).first().expected == "0..1"
