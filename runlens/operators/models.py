@@ -52,7 +52,7 @@ def fit_logistic(train: DataFrame, features: Sequence[str]) -> PipelineModel:
     """Logistic regression with an L2 penalty of the usual 1 / (C n)."""
     penalty = 1.0 / (INVERSE_PENALTY * max(train.count(), 1))
     model = LogisticRegression(
-        labelCol="target", maxIter=MAX_ITER, regParam=penalty, standardization=False
+        labelCol="target", maxIter=MAX_ITER, regParam=penalty, standardization=False, tol=1e-10
     )
     return Pipeline(stages=[assembler(features), model]).fit(with_target(train))
 
@@ -163,6 +163,32 @@ def detection_rates(df: DataFrame, flagged: Column, anomalous: str = "off") -> D
     )
 
 
+def logistic_gradient(model: PipelineModel, train: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Per feature the gradient of the penalised mean loss at the fitted coefficients: zero at the optimum."""
+    fitted = model.stages[-1]
+    scored = model.transform(with_target(train)).select(
+        vector_to_array("features").alias("v"), (vector_to_array("probability")[1] - F.col("target")).alias("gap")
+    )
+    sums = scored.agg(*[F.avg(F.col("v")[i] * F.col("gap")).alias(f"g{i}") for i in range(len(features))])
+    penalty = fitted.getRegParam()
+    rows = F.array(*[
+        F.struct(F.lit(f).alias("feature"), (F.col(f"g{i}") + penalty * float(fitted.coefficients[i])).alias("gradient"))
+        for i, f in enumerate(features)
+    ])
+    return sums.select(F.inline(rows))
+
+
+def evaluate(predictions: DataFrame) -> DataFrame:
+    """Per tranche: runs, accuracy, and the area under the ROC curve of the score (null where a class is absent)."""
+    counts = predictions.groupBy("tranche", "score").agg(
+        F.count_if(F.col(LABEL) == "on").alias("n_on"), F.count_if(F.col(LABEL) == "off").alias("n_off")
+    )
+    ranked = running_total(counts, ["tranche"], ["score"], F.col("n_off"), "upto")
+    won = F.sum(F.col("n_on") * (F.col("upto") - F.col("n_off") / 2))
+    areas = ranked.groupBy("tranche").agg(F.try_divide(won, F.sum("n_on").cast("double") * F.sum("n_off")).alias("auc"))
+    return accuracy(predictions, "tranche").join(areas, "tranche")
+
+
 def shapley_importance(
     model: PipelineModel,
     df: DataFrame,
@@ -171,7 +197,22 @@ def shapley_importance(
     samples: int = 16,
     seed: int = 42,
 ) -> DataFrame:
-    """Mean absolute Shapley value per feature, by sampled permutations.
+    """Mean absolute Shapley value per feature; see ``shapley_values``."""
+    values = shapley_values(model, df, run, features, samples, seed)
+    return values.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
+
+
+def shapley_values(
+    model: PipelineModel,
+    df: DataFrame,
+    run: str,
+    features: Sequence[str],
+    samples: int = 16,
+    seed: int = 42,
+) -> DataFrame:
+    """Shapley value per run and feature, by sampled permutations. A run's values add up to its score minus the background's mean.
+
+    The standard error of a value falls with the square root of ``samples``; the sum is exact for any number.
 
     For each run and sample, features switch one by one, in random order, from a background
     run's values to the run's own. Each step's score counts for the feature just switched and
@@ -211,6 +252,4 @@ def shapley_importance(
     ))).where(F.col("place").isNotNull())
     values = credits.groupBy(run, "place").agg(F.sum("part").alias("value"))
     names = F.array(*[F.lit(f) for f in features])
-    return values.groupBy(F.get(names, F.col("place")).alias("feature")).agg(
-        F.avg(F.abs("value")).alias("importance")
-    )
+    return values.select(run, F.get(names, F.col("place")).alias("feature"), "value")

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from runlens.operators import compare, forest, models
+from runlens.operators import compare, forest, models, silver
+from runlens.plans.queries.measurements import SILVER_SQL
 from runlens.plans.queries.runs import histogram_sql
 from runlens.plans.registry import Tables, query, rounded
-from runlens.plans.views import ML
+from runlens.plans.views import ML, NATIVE
+from runlens.session import materialize
 
 ML_SQL = ML.sql()
-FEATURES = ["bler_mean", "dl_throughput_mean", "retx_mean", "mcs_mean"]
+FEATURES = [name for f in silver.FEATURES for name in f.names()]  # all 68 of Silver
+KEEP = ["run_id", "tranche", "cipher_state"]
+
+
+def _silver(load: Tables):
+    return materialize(silver.run_features(load(NATIVE)))
 
 
 @query("ml_split_tranche", f"""select run_id, case tranche when 'Tranche_B' then 'train' else 'test' end as part
@@ -21,19 +28,20 @@ def ml_split_tranche(load: Tables):
 
 
 def _parts(load: Tables):
-    runs = models.split_tranches(load(ML))
+    runs = models.split_tranches(_silver(load))
     return runs.where("part = 'train'"), runs.where("part = 'test'")
 
 
 @query("ml_assemble", "select run_id, target, " + ", ".join(
-    f"round((x{i} - avg(x{i}) over ()) / stddev_samp(x{i}) over (), 6) as {f}" for i, f in enumerate(FEATURES)
+    f"round(case when stddev_samp(x{i}) over () = 0 then 0e0 else (x{i} - avg(x{i}) over ()) / stddev_samp(x{i}) over () end, 5) as {f}"
+    for i, f in enumerate(FEATURES)
 ) + f""" from (select run_id, case cipher_state when 'on' then 1.0e0 else 0.0e0 end as target,
- {', '.join(f'coalesce({f}, avg({f}) over ()) as x{i}' for i, f in enumerate(FEATURES))} from {ML_SQL})""")
+ {', '.join(f'coalesce({f}, avg({f}) over ()) as x{i}' for i, f in enumerate(FEATURES))} from {SILVER_SQL})""")
 def ml_assemble(load: Tables):
-    vectors = models.assemble(load(ML), FEATURES).withColumn("v", vector_to_array("features"))
+    vectors = models.assemble(_silver(load), FEATURES).withColumn("v", vector_to_array("features"))
     return rounded(vectors.select(
         "run_id", "target", *[F.col("v")[i].alias(f) for i, f in enumerate(FEATURES)]
-    ), 6, *FEATURES)
+    ), 5, *FEATURES)
 
 
 @query("ml_threshold_baseline", f"""with c as (select bler_mean as x, count(*) filter (where cipher_state = 'on') as a,
@@ -50,7 +58,7 @@ def ml_threshold_baseline(load: Tables):
 def ml_logistic(load: Tables):
     train, test = _parts(load)
     model = models.fit_logistic(train, FEATURES)
-    return models.predict(model, test, ["run_id", "tranche", "cipher_state"])
+    return models.predict(model, test, KEEP)
 
 
 @query("ml_coefficients")
@@ -63,7 +71,7 @@ def ml_coefficients(load: Tables):
 def ml_random_forest(load: Tables):
     train, test = _parts(load)
     model = models.fit_random_forest(train, FEATURES)
-    return models.predict(model, test, ["run_id", "tranche", "cipher_state"])
+    return models.predict(model, test, KEEP)
 
 
 @query("ml_feature_importances")
@@ -72,15 +80,46 @@ def ml_feature_importances(load: Tables):
     return models.importances(models.fit_random_forest(train, FEATURES), train, FEATURES)
 
 
+@query("ml_logistic_optimum", "select unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) as feature, true as at_optimum")
+def ml_logistic_optimum(load: Tables):
+    """What the fit determines: the penalised gradient is zero for every feature."""
+    train, _ = _parts(load)
+    gradient = models.logistic_gradient(models.fit_logistic(train, FEATURES), train, FEATURES)
+    return gradient.select("feature", (F.abs("gradient") < 1e-6).alias("at_optimum"))
+
+
+@query("ml_evaluation")
+def ml_evaluation(load: Tables):
+    """Accuracy and AUC of the fitted models on the tranches that they have not seen."""
+    train, test = _parts(load)
+    fitted = {"logistic": models.fit_logistic(train, FEATURES), "forest": models.fit_random_forest(train, FEATURES)}
+    parts = [
+        models.evaluate(materialize(models.predict(model, test, KEEP))).withColumn("model", F.lit(name))
+        for name, model in fitted.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("ml_shap_importance")
 def ml_shap_importance(load: Tables):
+    """Of the forest."""
     train, test = _parts(load)
-    model = models.fit_logistic(train, FEATURES)
-    return models.shapley_importance(model, test, "run_id", FEATURES)
+    return models.shapley_importance(models.fit_random_forest(train, FEATURES), test, "run_id", FEATURES, samples=4)
+
+
+@query("ml_shap_sums", f"select run_id, true as adds_up from {SILVER_SQL} where tranche in ('Tranche_A', 'Tranche_C')")
+def ml_shap_sums(load: Tables):
+    """What Shapley values determine: for each run they add up to its score minus the background's mean score."""
+    train, test = _parts(load)
+    model = models.fit_random_forest(train, FEATURES)
+    sums = models.shapley_values(model, test, "run_id", FEATURES, samples=4).groupBy("run_id").agg(F.sum("value").alias("total"))
+    gaps = materialize(models.predict(model, test, ["run_id"]).join(sums, "run_id").select("run_id", (F.col("score") - F.col("total")).alias("base")))
+    base = gaps.agg(F.avg("base")).scalar()
+    return gaps.select("run_id", (F.abs(F.col("base") - base) < 1e-9).alias("adds_up"))
 
 
 def _scored(load: Tables):
-    runs = load(ML).select("run_id", "tranche", "cipher_state", *FEATURES)
+    runs = _silver(load).select(*KEEP, *FEATURES)
     nodes = forest.fit_forest(runs.where("cipher_state = 'on'"), "run_id", FEATURES)
     return forest.score_forest(runs, nodes, FEATURES)
 
