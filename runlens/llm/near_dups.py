@@ -123,34 +123,44 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _left_pairs(starred: DataFrame, joined: DataFrame, least_percent: int) -> DataFrame:
-    """Pairs of nodes of one hub, in different components, that can still be linked. ``starred`` is what ``confirm`` gives of (hub, node).
-
-    A link allows a symmetric difference of at most k times both sizes. With D the difference of a node from its hub, linked x and y share at least
-    (|D_x| + |D_y| - k (|x| + |y|)) / 2 elements of D_x and D_y, which is above 0 unless both are linked to the hub. Hence, with the elements of
-    a hub's nodes in one order, the first |D| - least + 1 elements of both have one in common. The order is rare elements
-    first: edits that a node has alone fill its prefix, and it meets nobody.
+def _left_links(starred: DataFrame, joined: DataFrame, least_percent: int) -> DataFrame:
+    """Links (a, b) between nodes of one hub that are in different components. ``starred`` is what ``confirm`` gives of (hub, node).
+
+    A link allows a symmetric difference of at most k times both sizes. With D the difference of a node from its hub, x and y
+    must share at least (|D_x| + |D_y| - k (|x| + |y|)) / 2 elements of D_x and D_y, which is above 0 unless both are linked to the
+    hub. Hence, with the elements of a hub's nodes in one order, the first |D| - least + 1 elements of both have one in common,
+    and at the first common one enough elements are left in both. The order is rare elements first: edits that a node has alone
+    fill its prefix, and it meets nobody. The pairs that remain are decided by their whole differences.
     """
     t = least_percent / 100
     k = (1 - t) / (1 + t)
+    d = F.size("differ")
     # a linked node needs only partners that are not linked to the hub: |D_y| > k (|y| + |hub|)
-    least_linked = (F.size("differ") + k * (F.col("size_a") - F.col("size_b"))) / 2
-    least_other = F.size("differ") - k * (1 + 1 / t) * F.col("size_b")
+    least_linked = (d + k * (F.col("size_a") - F.col("size_b"))) / 2
+    least_other = d - k * (1 + 1 / t) * F.col("size_b")
     least = F.greatest(F.lit(1), F.ceil(F.when(F.col("linked"), least_linked).otherwise(least_other) - 1e-6))
     nodes = starred.where("differ is not null").select(
-        F.col("a").alias("hub"), F.col("b").alias("node"), "linked", (F.size("differ") - least + 1).alias("prefix"), "differ"
-    ).where("prefix > 0")
-    elements = nodes.select("hub", "node", F.explode("differ").alias("element"))
+        F.col("a").alias("hub"), F.col("b").alias("node"), "linked", F.col("size_b").alias("size"), d.alias("d"), (d - least + 1).alias("prefix"), "differ"
+    )
+    elements = nodes.where("prefix > 0").select("hub", "node", F.explode("differ").alias("element"))
     common = elements.groupBy("hub", "element").agg(F.count("*").alias("n"))
     ordered = elements.join(common, ["hub", "element"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("ordered"))
-    first = nodes.select("hub", "node", "linked", "prefix").join(ordered, ["hub", "node"]).select(
-        "hub", "node", "linked", F.explode(F.slice("ordered", F.lit(1), F.col("prefix").cast("int"))).alias("e")
-    ).where("e.n > 1").select("hub", "node", "linked", F.col("e.element").alias("element"))
-    first = first.join(joined, "node", "left").select("hub", "element", "node", "linked", F.coalesce("component", "node").alias("component"))
+    first = nodes.join(ordered, ["hub", "node"]).select(
+        "hub", "node", "linked", "size", "d", F.posexplode(F.slice("ordered", F.lit(1), F.col("prefix").cast("int"))).alias("place", "e")
+    ).where("e.n > 1").join(joined, "node", "left").select(
+        "hub", F.col("e.element").alias("element"), "node", "linked", "size", "d", "place", F.coalesce("component", "node").alias("component")
+    )
     first = materialize(first)
-    x = first.select("hub", "element", F.col("node").alias("a"), F.col("linked").alias("la"), F.col("component").alias("ca"))
-    y = first.select("hub", "element", F.col("node").alias("b"), F.col("linked").alias("lb"), F.col("component").alias("cb"))
-    return x.join(y, ["hub", "element"]).where("a < b and ca != cb and not (la and lb)").select("a", "b").distinct()
+    x, y = (first.select("hub", "element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "linked", "size", "d", "place", "component")]) for side in "xy")
+    left = F.least(F.col("d_x") - F.col("place_x"), F.col("d_y") - F.col("place_y"))
+    enough = 2 * left >= F.col("d_x") + F.col("d_y") - k * (F.col("size_x") + F.col("size_y")) - 1e-6
+    apart = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
+    pairs = x.join(y, ["hub", "element"]).where(apart & enough).groupBy("node_x", "node_y").agg(F.min("hub").alias("hub"))
+    sides = [nodes.select("hub", F.col("node").alias(f"node_{s}"), F.col("size").alias(f"size_{s}"), F.col("d").alias(f"d_{s}"), F.col("differ").alias(f"differ_{s}")) for s in "xy"]
+    both = pairs.join(sides[0], ["hub", "node_x"]).join(sides[1], ["hub", "node_y"])
+    apart_by = F.col("d_x") + F.col("d_y") - 2 * F.size(F.array_intersect("differ_x", "differ_y"))
+    total = F.col("size_x") + F.col("size_y")
+    return both.where(100 * (total - apart_by) >= least_percent * (total + apart_by)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
 def link_components(docs: DataFrame, members: DataFrame, links: DataFrame | None, least_percent: int, shingle: int) -> DataFrame:
@@ -167,11 +177,8 @@ def link_components(docs: DataFrame, members: DataFrame, links: DataFrame | None
     found = starred.where("linked").select("a", "b")
     links = found if links is None else links.union(found)
     joined = materialize(components(links))
-    left = materialize(_left_pairs(starred, joined, least_percent).join(starred.select("a", "b"), ["a", "b"], "left_anti"))
-    if left.isEmpty():
-        return joined
-    more = confirm(left.withColumn("wide", F.lit(False)), docs, least_percent, shingle).where("linked").select("a", "b")
-    return components(links.union(materialize(more)))
+    more = materialize(_left_links(starred, joined, least_percent))
+    return joined if more.isEmpty() else components(links.union(more))
 
 
 def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows: int) -> DataFrame:
