@@ -68,6 +68,21 @@ def op3_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+SQL["op3_substring_dedup"] = """
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) ws from documents),
+windows as (
+  select doc_id, i, array_to_string(ws[i:i + 34], ' ') win
+  from (select doc_id, ws, unnest(range(1, len(ws) - 33)) i from d where len(ws) >= 35)
+), repeated as (select doc_id, i from (select *, count(*) over (partition by win) n from windows) where n > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) p from repeated),
+words as (select doc_id, unnest(ws) w, generate_subscripts(ws, 1) p from d),
+kept as (select doc_id, string_agg(w, ' ' order by p) t from words anti join gone using (doc_id, p) group by 1),
+counted as (select doc_id, count(*) n from gone group by 1)
+select doc_id, len(ws)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
+from d left join kept using (doc_id) left join counted using (doc_id)
+"""
+
+
 @query
 def op4_language_id(spark, sf_dir):
     return language_id.learn_and_identify(documents(spark, sf_dir))
@@ -93,6 +108,26 @@ def op8_near_duplicates(spark, sf_dir):
     return near_dups.near_duplicates(documents(spark, sf_dir), least_percent=85)
 
 
+SQL["op8_near_duplicates"] = """
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) ws from documents
+), shingles as (
+  select distinct doc_id, array_to_string(ws[i:i + 4], ' ') s
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) i from d where len(ws) > 0)
+), sizes as (select doc_id, count(*) n from shingles group by 1),
+shared as (
+  select a.doc_id a, b.doc_id b, count(*) k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)
+), steps as (select a, b from links union all select b, a from links),
+reached as (select doc_id, doc_id r from d union select reached.doc_id, steps.b from reached join steps on reached.r = steps.a),
+least as (select doc_id, min(r) c from reached group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, c component_id, doc_id = c kept
+from least left join sizes using (doc_id)
+"""
+
+
 @query
 def op10_quality_classifier(spark, sf_dir):
     return quality_classifier.learn_and_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
