@@ -47,12 +47,6 @@ def group_tag(group: Column) -> Column:
     return F.coalesce(F.try_element_at(known, group), derived)
 
 
-def tag_of(group: str) -> str:
-    """``group_tag`` for a name known to the driver."""
-    derived = re.sub(r"[^a-z0-9_]", "_", group.lower())[:GROUP_TAG_LENGTH]
-    return GROUP_TAGS.get(group, derived)
-
-
 def group_name(stem: Column) -> Column:
     """Group part of ``date_time_GROUP``, else the whole stem."""
     return F.coalesce(F.try_element_at(F.split(stem, "_", 3), F.lit(3)), stem)

@@ -10,6 +10,8 @@ from runlens.plans.registry import Tables, query, rounded
 from runlens.plans.views import (
     BRONZE, FOLDERS, MANIFEST, ML, PIPELINE_LOG, RUNS, STORED, View,
 )
+from runlens.session import scratch_path
+from runlens.sources import tables
 
 MANIFEST_SQL, FOLDERS_SQL, RUNS_SQL, ML_SQL = MANIFEST.sql(), FOLDERS.sql(), RUNS.sql(), ML.sql()
 BRONZE_SQL = BRONZE.sql()
@@ -35,12 +37,18 @@ def src_run_counts(load: Tables):
 @query("sink_quarantine", f"""select run_id, tranche, session, skip_reason from {MANIFEST_SQL}
  where outcome = 'quarantine'""")
 def sink_quarantine(load: Tables):
-    return manifest.quarantined(load(MANIFEST)).select("run_id", "tranche", "session", "skip_reason")
+    path = scratch_path(load.spark, "quarantine")
+    tables.write_table(manifest.quarantined(load(MANIFEST)), path)
+    return load.spark.read.parquet(path).select("run_id", "tranche", "session", "skip_reason")
 
 
 @query("src_manifest", f"select outcome, count(*) as n from {MANIFEST_SQL} group by 1")
 def src_manifest(load: Tables):
-    return compare.count_by(load(MANIFEST), "outcome")
+    """Counted on the file."""
+    path, rows = scratch_path(load.spark, "manifest"), load(MANIFEST)
+    tables.write_csv(rows, path)
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return compare.count_by(tables.read_manifest(load.spark, path, schema), "outcome")
 
 
 MEASURED = View("events", [
@@ -50,8 +58,8 @@ MEASURED = View("events", [
 
 @query("manifest_build", f"""with runs as (select run_name as run_id, run_no, tranche, session, n_rows,
   {LABEL_SQL} as a, {DB_SQL} as b, top_purchase from {FOLDERS_SQL}),
- measured as (select user_id as run_no, count(distinct event_type) as csv_files_read, count(*) as row_count
-  from events where value > 15 group by 1)
+ measured as (select user_id as run_no, count(distinct case when value > 15 then event_type end) as csv_files_read,
+  count(case when value > 15 then 1 end) as row_count from events group by 1)
  select run_id, coalesce(try_cast(regexp_extract(run_id, '([0-9]+)$', 1) as bigint), -1) as run_number,
   tranche, session, coalesce(a, b, 'unknown') as cipher_state,
   case when a is not null then 'folder' when b is not null then 'db' else 'none' end as cipher_source,
@@ -79,8 +87,11 @@ def manifest_build(load: Tables):
     )
     names = folders.select("run_no", F.col("run_name").alias("run_id"), "tranche", "session")
     measured = (
-        load(MEASURED).where("value > 15").groupBy("run_no")
-        .agg(F.count_distinct("event_type").alias("csv_files_read"), F.count("*").alias("row_count"))
+        load(MEASURED).groupBy("run_no")
+        .agg(
+            F.count_distinct(F.when(F.col("value") > 15, F.col("event_type"))).alias("csv_files_read"),
+            F.count_if(F.col("value") > 15).alias("row_count"),
+        )
         .join(names, "run_no")
         .drop("run_no")
         .withColumn("col_count", F.col("csv_files_read") + 7)
