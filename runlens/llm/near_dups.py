@@ -118,20 +118,23 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
     while True:
-        # large-star: neighbours above a node link to the least node around it
-        around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small-star: neighbours below a node, and the node, link to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        edges = materialize(small)
+        edges = materialize(_stars(_stars(edges)))  # two rounds to a checkpoint: fewer files, and few components need more
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round. Large-star: neighbours above a node link to the least node around it. Small-star: neighbours below a node, and
+    the node, link to the least of them."""
+    around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+
+
 def _left_links(starred: DataFrame, joined: DataFrame, least_percent: int) -> DataFrame:
     """Links (a, b) between nodes of one hub that are in different components. ``starred`` is what ``confirm`` gives of (hub, node).
 
@@ -185,7 +188,7 @@ def link_components(docs: DataFrame, members: DataFrame, links: DataFrame | None
     starred = materialize(confirm(star, docs, least_percent, shingle))
     found = starred.where("linked").select("a", "b")
     links = found if links is None else links.union(found)
-    joined = materialize(components(links))
+    joined = components(links)
     more = materialize(_left_links(starred, joined, least_percent))
     return joined if more.isEmpty() else components(links.union(more))
 
@@ -201,7 +204,7 @@ def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows
     members = materialize(members.join(shared, "bucket").select("bucket", "node").distinct())
     class_node = classes.select("set_key", "node")
     ids = with_words.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"))
-    several = materialize(ids.where("doc_id is not null and low != high").select("doc_id"))
+    several = ids.where("doc_id is not null and low != high").select("doc_id")
     links = None
     if not several.isEmpty():  # ids that come with several texts join the classes of these
         links = with_words.join(several, "doc_id").join(class_node, "set_key").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
