@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runlens.llm.words import WordHash, mixed, slices, whole_row
 
 MASKS = ("1101100101", "1110010011", "1011001011")  # 1: the word counts; 0: it may differ
+PIECE = 3  # words of a piece; seeds of whole items are pairs of pieces
 BLOCK_BYTES = 8 << 20  # benchmark text that one pass takes along
 EDGES = b".,;:!?\"'()[]{}<>|*#$%&-_"
 FILTER_BITS = 20
@@ -30,10 +31,35 @@ def _masked(ids: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def enough_of_whole(words: int, min_words: int, percent: int) -> int:
+    """How many equal words of an item make it a leak as a whole."""
+    return max(-(-words * percent // 100), min(min_words, words))
+
+
+def whole_item_seeds(words: int, changed: int) -> list[tuple[str, range]]:
+    """Masks and their places in an item of so many words, one of which is untouched wherever at most ``changed`` words differ.
+
+    Of p pieces, p - changed are untouched, and two of these are at most (p - 1) // (p - changed - 1) pieces apart. Where pieces of
+    ``PIECE`` words are too few, changed + 2 pieces of any length leave two untouched.
+    """
+    pieces = words // PIECE
+    if pieces - changed >= 2:
+        apart = range(1, (pieces - 1) // (pieces - changed - 1) + 1)
+        return [("1" * PIECE + "0" * PIECE * (d - 1) + "1" * PIECE, range(0, PIECE * (pieces - d), PIECE)) for d in apart]
+    ends = np.linspace(0, words, min(changed + 2, words) + 1).astype(int).tolist()
+    parts, out = list(zip(ends, ends[1:], strict=False)), []
+    for k, (a, b) in enumerate(parts):
+        out += [("1" * (b - a) + "0" * (c - b) + "1" * (d - c), range(a, a + 1)) for c, d in parts[k + 1 :]]
+    return out or [("1" * words, range(1))]
+
+
 class Seeds:
-    """The hashed seeds of some benchmark items, and the words of the items."""
+    """The hashed seeds of some benchmark items, and the words of the items.
 
-    def __init__(self, items: list[tuple[int, bytes]], min_words: int):
+    Items of at least a mask's length have the spaced seeds at every place; all items have those that find them as a whole.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes]], min_words: int, percent: int):
         hasher, hashes, owners, places = WordHash(), [], [], []
         self.item_ids, self.words, self.masks = [], [], {}
         for item_id, text in items:
@@ -41,12 +67,12 @@ class Seeds:
             if len(words) < min_words:
                 continue
             ids = hasher.of(words)
-            for mask in MASKS if len(words) >= max(map(len, MASKS)) else ("1" * len(words),):
+            spaced = [(mask, range(len(words) - len(mask) + 1)) for mask in MASKS if len(words) >= len(mask)]
+            for mask, at in spaced + whole_item_seeds(len(words), len(words) - enough_of_whole(len(words), min_words, percent)):
                 self.masks.setdefault(mask, None)
-                found = _masked(ids, mask)
-                hashes.append(found)
-                owners.append(np.full(len(found), len(self.words), np.int64))
-                places.append(np.arange(len(found)))
+                hashes.append(_masked(ids, mask)[at.start : at.stop : at.step])
+                owners.append(np.full(len(at), len(self.words), np.int64))
+                places.append(np.arange(at.start, at.stop, at.step))
             self.item_ids.append(item_id)
             self.words.append(ids)
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -69,13 +95,35 @@ class Seeds:
         return found
 
 
-def best_overlap(matches: np.ndarray, miss: int = 3) -> tuple[int, int]:
-    """(matching words, length) of the stretch with the largest sum, where a match counts 1 and a substitution -``miss``."""
+def best_stretch(matches: np.ndarray, miss: int = 3) -> tuple[int, int]:
+    """Start and end of the stretch with the largest sum, where a match counts 1 and a substitution -``miss``."""
     sums = np.concatenate([[0], np.cumsum(np.where(matches, 1, -miss))])
     gains = sums - np.minimum.accumulate(sums)
     stop = int(np.argmax(gains))
-    start = int(np.argmin(sums[: stop + 1]))
-    return int(matches[start:stop].sum()), stop - start
+    return int(np.argmin(sums[: stop + 1])), stop
+
+
+def verified_overlap(matches: np.ndarray, enough: int, enough_of_all: int) -> tuple[int, int] | None:
+    """(matching words, length) of an alignment that counts, else None.
+
+    With ``enough_of_all`` matches it counts from the first to the last one. Otherwise every maximal stretch is judged, the best one,
+    then those on both sides of it, and so on; the one with the most matches counts if it has ``enough``.
+    """
+    total = int(np.count_nonzero(matches))
+    if total >= enough_of_all:
+        at = np.flatnonzero(matches)
+        return total, int(at[-1] - at[0]) + 1
+    found, open_ = None, [matches]
+    while open_:
+        part = open_.pop()
+        if np.count_nonzero(part) < enough:
+            continue
+        start, stop = best_stretch(part)
+        n = int(np.count_nonzero(part[start:stop]))
+        if n >= enough:
+            found = max(found or (0, 0), (n, stop - start))
+        open_ += [part[:start], part[stop:]]
+    return found
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> int:
@@ -83,12 +131,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> int:
 
 
 def overlaps(
-    docs: DataFrame, benchmark: DataFrame, *, min_match: int = 12, min_words: int = 5, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, *, min_match: int = 12, min_words: int = 5, min_percent: int = 80, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, n_match, n_length): the best verified overlap of a document with each benchmark item it shares.
 
     An overlap is a stretch of aligned words, most of them equal: a word that differs costs three equal ones. It counts
-    when it has ``min_match`` equal words, or all words of a shorter item. The benchmark goes through the corpus in blocks of
+    when it has ``min_match`` equal words, or all words of a shorter item. An item also counts as a whole, wherever its words differ:
+    when ``min_percent`` of all its words are equal, ``min_words`` at least; no such alignment is missed. The benchmark goes through the corpus in blocks of
     bounded text, one pass each; within a pass the corpus is only scanned.
     """
     blocks = _blocks(benchmark, block_bytes)
@@ -108,8 +157,9 @@ def overlaps(
                 for d, item, shift in seeds.hits(ids, doc):
                     words, low = seeds.words[item], max(shift, int(begin[d]))
                     high = min(shift + len(words), int(begin[d] + sizes[d]))
-                    found = best_overlap(ids[low:high] == words[low - shift : high - shift])
-                    if found[0] >= min(min_match, len(words)):
+                    equal = ids[low:high] == words[low - shift : high - shift]
+                    found = verified_overlap(equal, min(min_match, len(words)), enough_of_whole(len(words), min_words, min_percent))
+                    if found:
                         best[d, item] = max(found, best.get((d, item), found))
                 keys = sorted(best)
                 rows = pa.array([d for d, _ in keys], pa.int64())
@@ -125,7 +175,7 @@ def overlaps(
     out = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        seeds = Seeds(sorted(((r.item_id, bytes(r.text)) for r in own.collect()), key=lambda x: (x[0] is None, x)), min_words)
+        seeds = Seeds(sorted(((r.item_id, bytes(r.text)) for r in own.collect()), key=lambda x: (x[0] is None, x)), min_words, min_percent)
         out = search(seeds) if out is None else out.union(search(seeds))
     return out
 

@@ -124,6 +124,54 @@ def test_substitutions_in_leaks(spark):
     assert {r.doc_id: r.item_ids for r in blocks.collect()} == {1: [8, 9], 2: [8]}
 
 
+def test_substituted_whole_items(spark):
+    """Short items with words changed anywhere, against the rule applied to every alignment and every stretch."""
+    rng = np.random.default_rng(8)
+    items = {k: [f"i{k}w{j}" for j in range(n)] for k, n in enumerate([*range(6, 21), *range(15, 21), 30, 47])}
+    items[99] = [f"s{j}" for j in range(30)]
+    docs, tried = {}, {}
+    for k, item in items.items():
+        for _ in range(40):
+            leaked, changed = item[:], rng.choice(len(item), rng.integers(0, len(item) // 3 + 1), replace=False)
+            for at in changed.tolist():
+                leaked[at] = "changed"
+            tried[len(docs)] = (k, [w != "changed" for w in leaked])
+            docs[len(docs)] = [f"far{j}" for j in range(rng.integers(0, 9))] + leaked + ["far"] * int(rng.integers(0, 9))
+    named = {"fifteen": (9, [i not in (2, 11) for i in range(15)]), "scattered": (99, [i not in (11, 12, 13, 14, 22) for i in range(30)])}
+    for name, (k, equal) in named.items():
+        named[name] = len(docs)
+        tried[len(docs)] = (k, equal)
+        docs[len(docs)] = [w if e else "changed" for w, e in zip(items[k], equal, strict=True)]
+
+    def longest(equal, least):
+        """Equal words of the longest stretch whose ends all sum up to ``least`` or more; 0 if they do not count."""
+        steps, most = np.where(equal, 1, -3), 0
+        for a in range(len(equal)):
+            for b in range(a + 1, len(equal) + 1):
+                if np.cumsum(steps[a:b]).min() >= least and np.cumsum(steps[a:b][::-1]).min() >= least:
+                    most = max(most, sum(equal[a:b]))
+        return most if most >= min(12, len(equal)) else 0
+
+    frame = spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs.items()], "doc_id long, text string")
+    out = decontamination.flag_documents(frame, spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, text string"))
+    out, whole_items = {r.doc_id: r for r in out.collect()}, 0
+    for d, (k, equal) in tried.items():
+        n, least = len(equal), max(5, -(-4 * len(equal) // 5))
+        if sum(equal) >= least:
+            whole_items += 1
+            assert (out[d].item_ids, out[d].max_match) == ([k], sum(equal)), (n, equal)
+        else:
+            assert longest(equal, 1) <= out[d].max_match <= longest(equal, 0), (n, equal)  # ends of sum 0 may count
+    assert whole_items > 300 and out[named["fifteen"]].max_match == 13 and out[named["scattered"]].max_match == 25
+
+
+def test_every_stretch_is_judged():
+    equal = np.array([1] * 11 + [0] * 4 + [1] * 7 + [0] + [1] * 7, bool)
+    assert decontamination.verified_overlap(equal, 12, 31) == (14, 15)
+    assert decontamination.verified_overlap(equal, 15, 31) is None
+    assert decontamination.verified_overlap(equal, 12, 24) == (25, 30)
+
+
 def test_overfull_group_is_cut(spark):
     rows = [(i, "same text for all") for i in range(900)] + [(1000 + i, f"text number {i}") for i in range(900)]
     out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8, carry=["doc_id"]).toPandas()
