@@ -7,11 +7,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from runlens.llm.chunks import BUCKET_BYTES, ask, in_chunks, pack, packed_table, unpack
 from runlens.llm.words import WordHash, mixed, shingle_hashes, slices
 
 SEED_WORDS = 5  # a minimiser is the least hash among the runs of so many words in a window
+HOT = 8192  # a run of words found more often is frequent
+DRAWN = 200  # one in so many documents is looked at for frequent runs
+COPIES = 1000  # rows of one id and text that are combined from there on
+LATE = np.uint64(1 << 63)
+FILTER_BITS = 20
 
 
 def window_hashes(ids: np.ndarray, window: int) -> np.ndarray:
@@ -41,10 +47,72 @@ def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+class Frequent:
+    """Hashes of frequent runs of words."""
+
+    def __init__(self, hashes: list[int]):
+        self.hashes = np.unique(np.array(hashes, np.int64).view(np.uint64))
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self._cell(self.hashes)] = True
+
+    @staticmethod
+    def _cell(hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where they are frequent."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(self.filter[self._cell(hashes)])
+        near = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        return at[self.hashes[near] == hashes[at]]
+
+
+def frequent_runs(docs: DataFrame, window: int, hot: int = HOT, drawn: int = DRAWN) -> tuple[Frequent, Frequent]:
+    """Seeds and whole windows that occur about ``hot`` times or more, by a count over one in ``drawn`` documents.
+
+    They only say where windows are compared. At most one run of ``hot`` reaches the driver.
+    """
+    seed = min(SEED_WORDS, window)
+
+    def count(batches):
+        words = WordHash()
+        for part in slices(batches):
+            lists = [t.split() if t else [] for t in part.column("text").to_pylist()]
+            ids, sizes = words.of([w for ws in lists for w in ws]), np.fromiter(map(len, lists), np.int64, len(lists))
+            owner = np.repeat(np.arange(len(lists)), sizes)
+            for whole, span, found in ((False, seed, shingle_hashes(ids, seed)), (True, window, window_hashes(ids, window))):
+                found = found[owner[: len(found)] == owner[span - 1 : span - 1 + len(found)]]
+                values, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([whole] * len(values), pa.bool_()), pa.array(values.view(np.int64)), pa.array(n, pa.int64())], ["whole", "run", "n"]
+                )
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("seeds")), F.lit(drawn)) == 0).select(F.col("text").cast("binary").alias("text"))
+    counted = some.mapInArrow(count, "whole boolean, run long, n long").groupBy("whole", "run").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") >= max(2, hot // drawn)).select("whole", "run").collect()
+    return Frequent([r.run for r in rows if not r.whole]), Frequent([r.run for r in rows if r.whole])
+
+
+def combined_copies(docs: DataFrame, copies: int = COPIES) -> DataFrame:
+    """doc_id, text and n: rows of one id and text are one row where there are ``copies`` or more, so that they share a chunk."""
+    rows, key = docs.select("doc_id", "text"), F.xxhash64("doc_id", "text")
+    many = [r.key for r in rows.groupBy(key.alias("key")).count().where(F.col("count") >= copies).collect()]
+    if not many:
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    return rows.where(~key.isin(many)).withColumn("n", F.lit(1).cast("long")).union(
+        rows.where(key.isin(many)).groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    )
+
+
 class Slice:
-    """The windows of some documents, cut into super-k-mers."""
+    """The windows of some documents, cut into super-k-mers.
+
+    The minimiser of a window is its least seed that is not frequent. A window of frequent seeds only has its own hash instead; if
+    it is frequent itself, the least of its seeds. Equal windows thus have one minimiser, and no minimiser gets a share of all documents.
+    """
 
-    def __init__(self, texts: list[bytes | None], words: WordHash, window: int):
+    def __init__(self, texts: list[bytes | None], words: WordHash, window: int, frequent: tuple[Frequent, Frequent] | None = None):
         lists = [t.split() if t else [] for t in texts]
         flat = [w for ws in lists for w in ws]
         self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -56,10 +124,21 @@ class Slice:
         if n <= 0:
             self.first = self.last = np.zeros(0, np.int64)
             self.least = np.zeros(0, np.uint64)
+            self.owner = np.zeros(0, np.int64)
             return
         ids = words.of(flat)
         seed = min(SEED_WORDS, window)
-        least = sliding_min(shingle_hashes(ids, seed), window - seed + 1)
+        seeds = shingle_hashes(ids, seed)
+        late = frequent[0].places(seeds) if frequent else np.zeros(0, np.int64)
+        seeds = seeds >> np.uint64(1)
+        seeds[late] |= LATE
+        least = sliding_min(seeds, window - seed + 1)
+        own = np.flatnonzero(least >= LATE)
+        if len(own):
+            hashes = window_hashes(ids, window)[own]
+            rare = np.ones(len(own), bool)
+            rare[frequent[1].places(hashes)] = False
+            least[own[rare]] = hashes[rare] >> np.uint64(1)
         owner = np.repeat(np.arange(len(lists)), self.counts)
         inside = owner[:n] == owner[window - 1 :]
         cut = np.ones(n, bool)
@@ -69,6 +148,7 @@ class Slice:
         stop[:-1] = cut[1:] | ~inside[1:]
         self.last = np.flatnonzero(stop & inside)
         self.least = least[self.first]
+        self.owner = owner[self.first]
         self.ends = ends
 
     def strings(self, window: int) -> list[bytes]:
@@ -85,15 +165,19 @@ class Distinct:
         self.buckets: list[int] = []
         self.twice: set[int] = set()  # those found more than once
 
-    def add(self, part: Slice, window: int, buckets: int) -> list[int]:
+    def add(self, part: Slice, window: int, buckets: int, copies: np.ndarray) -> list[int]:
+        """``copies``: how many rows each document of the part stands for."""
         homes = (part.least % np.uint64(buckets)).astype(np.int64).tolist()
         sizes = (part.last - part.first + 1).tolist()
+        more = (copies > 1)[part.owner].tolist()
         found = []
-        for string, home, size in zip(part.strings(window), homes, sizes, strict=True):
+        for string, home, size, copied in zip(part.strings(window), homes, sizes, more, strict=True):
             at = self.index.setdefault(string, len(self.windows))
             if at == len(self.windows):
                 self.windows.append(size)
                 self.buckets.append(home)
+                if copied:
+                    self.twice.add(at)
             else:
                 self.twice.add(at)
             found.append(at)
@@ -142,7 +226,10 @@ def _covered(starts: np.ndarray, window: int, words: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 35, bucket_bytes: int = BUCKET_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, window: int = 35, bucket_bytes: int = BUCKET_BYTES, with_text: bool = False,
+    hot: int = HOT, drawn: int = DRAWN, copies: int = COPIES,
+) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and ``kept_text`` where asked for.
 
     Removed is every word covered by a window of ``window`` consecutive words whose word sequence also starts anywhere else, the same
@@ -150,25 +237,27 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, bucket_bytes: int = BUC
 
     Consecutive windows with one minimiser form a super-k-mer. A chunk of documents sends each distinct one once, with the news
     whether it holds it twice, to the bucket of the minimiser. There windows are sorted and compared word by word.
-    The chunk gets a bit per window back. A minimiser or passage shared by very many documents costs a bucket only its distinct
-    super-k-mers of each chunk.
+    The chunk gets a bit per window back. A passage shared by very many documents costs a bucket only its distinct super-k-mers of
+    each chunk. A short line shared by them, each time in other surroundings, is no minimiser: see ``frequent_runs`` and
+    ``Slice``. ``copies`` or more rows of one id and text are handled as one row with a count.
 
     A null text, an empty one or one of white space has no words and nothing removed; its hash is that of the empty text. Repeated
     rows, null ids and repeated ids are documents of their own, so copies of at least ``window`` words remove each
     other. An empty table gives no rows.
     """
-    chunked, total = in_chunks(docs, ["doc_id", "text"])
+    chunked, total = in_chunks(combined_copies(docs, copies), ["doc_id", "text", "n"])
+    frequent = frequent_runs(docs, window, hot, drawn)
     buckets = max(1, -(-3 * total // bucket_bytes))  # super-k-mers overlap: about three times the text
 
     def parts(table: pa.Table):
         words = WordHash()
         for batch in slices(table.combine_chunks().to_batches()):
-            yield batch, Slice(batch.column("text").to_pylist(), words, window)
+            yield batch, Slice(batch.column("text").to_pylist(), words, window, frequent)
 
     def send(chunk: pa.Table) -> pa.Table:
         known = Distinct()
-        for _, part in parts(chunk):
-            known.add(part, window, buckets)
+        for batch, part in parts(chunk):
+            known.add(part, window, buckets, batch.column("n").to_numpy())
         homes = np.array(known.buckets, np.int64)
         order = np.argsort(homes, kind="stable")
         strings, split = list(known.index), np.flatnonzero(np.diff(homes[order])) + 1
@@ -200,7 +289,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, bucket_bytes: int = BUC
 
     def finish(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         known = Distinct()
-        runs = [known.add(part, window, buckets) for _, part in parts(chunk)]
+        cut = list(parts(chunk))
+        runs = [known.add(part, window, buckets, batch.column("n").to_numpy()) for batch, part in cut]
         sizes, homes = np.array(known.windows, np.int64), np.array(known.buckets, np.int64)
         base = np.cumsum(sizes) - sizes
         bits = np.zeros(int(sizes.sum()), bool)
@@ -210,8 +300,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, bucket_bytes: int = BUC
             own = np.unpackbits(np.frombuffer(unpack(packed), np.uint8), count=int(sizes[members].sum())).astype(bool)
             where = np.repeat(base[members] - (np.cumsum(sizes[members]) - sizes[members]), sizes[members]) + np.arange(len(own))
             bits[where] = own
-        out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": []} | ({"kept_text": []} if with_text else {})
-        for (batch, part), found in zip(parts(chunk), runs, strict=True):
+        out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": []} | ({"kept_text": []} if with_text else {}) | {"n": []}
+        for (batch, part), found in zip(cut, runs, strict=True):
             length = part.last - part.first + 1
             at = np.repeat(part.first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
             found = np.array(found, np.int64)
@@ -231,10 +321,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, bucket_bytes: int = BUC
                 if with_text:
                     out["kept_text"].append(kept.decode("utf-8", "replace"))
             out["doc_id"].append(batch.column("doc_id"))
+            out["n"] += batch.column("n").to_pylist()
         out["doc_id"] = pa.concat_arrays([c for c in out["doc_id"]]) if out["doc_id"] else pa.array([], docs_type)
-        return pa.table({k: v if k == "doc_id" else pa.array(v, pa.int64() if k.startswith("n_") else pa.string()) for k, v in out.items()})
+        return pa.table({k: v if k == "doc_id" else pa.array(v, pa.int64() if k.startswith("n") else pa.string()) for k, v in out.items()})
 
     id_type = docs.schema["doc_id"].dataType
     docs_type = pa.int64() if id_type.simpleString() == "bigint" else pa.string()
     schema = f"doc_id {id_type.simpleString()}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return ask(chunked, send, answer, finish, schema)
+    rows = ask(chunked, send, answer, finish, schema + ", n long")
+    return rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")

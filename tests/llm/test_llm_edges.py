@@ -188,6 +188,38 @@ def test_capped_targets(spark):
     assert all(abs(r.taken - r.target) <= 64 for r in out.values())
 
 
+def test_hot_line_is_dealt_out(spark):
+    """A line in many surroundings, lines in many orders, and many rows of one id: no minimiser has many strings; the result is the same."""
+    rng = np.random.default_rng(3)
+    line, lines = [f"line{i}" for i in range(24)], [[f"l{k}w{i}" for i in range(6)] for k in range(6)]
+    lists = []
+    for i in range(300):
+        around = [f"d{i}w{j}" for j in range(60)]
+        lists.append(around[:30] + line + around[30:])
+        lists.append([w for k in rng.integers(0, 6, 9) for w in lines[k]])
+    lists += [lists[0], ["copy" + str(j) for j in range(40)]]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(lists)]
+    rows += [rows[-1]] * 30 + [(None, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    frequent = substrings.frequent_runs(docs, 35, 20, 1)
+
+    def most(found):
+        part = substrings.Slice([" ".join(ws).encode() for ws in lists], substrings.WordHash(), 35, found)
+        strings = set(zip(part.least.tolist(), part.strings(35), strict=True))
+        return max(np.unique([m for m, _ in strings], return_counts=True)[1])
+
+    assert most(None) >= 250 and most(frequent) < 30
+    combined = substrings.combined_copies(docs, 20).collect()
+    assert sorted(r.n for r in combined)[-2:] == [30, 31] and len(combined) == len(lists) + 1
+    seen, texts = {}, {i: ws for i, ws in enumerate(lists)}
+    for i, text in rows:
+        for a in range(len((text or "").split()) - 34):
+            seen[tuple(texts[i][a : a + 35])] = seen.get(tuple(texts[i][a : a + 35]), 0) + 1
+    want = {i: len({a + k for a in range(len(ws) - 34) if seen[tuple(ws[a : a + 35])] > 1 for k in range(35)}) for i, ws in texts.items()}
+    out = substrings.remove_repeats(docs, hot=20, drawn=1, copies=20, bucket_bytes=100_000).collect()
+    assert sorted((r.doc_id or -1, r.n_removed) for r in out) == sorted((i or -1, want.get(i, 0)) for i, _ in rows)
+
+
 def test_window_hash_collisions():
     """Different windows of one hash are told apart by their words."""
     original = substrings.window_hashes
