@@ -226,8 +226,9 @@ def shapley_values(
         .orderBy("draw")
         .limit(samples)
         .agg(F.array_sort(F.collect_list(F.struct("draw", "own"))).alias("all"))
-        .select(F.posexplode("all").alias("k", "item"))
-        .select("k", F.col("item.own").alias("base"))
+        .where(F.size("all") > 0)
+        .select("all", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
+        .select("k", F.get("all", F.col("k") % F.size("all"))["own"].alias("base"))  # fewer runs than samples: in turn
     )
     places = F.sequence(F.lit(0), F.lit(d - 1))
     draws = F.transform(places, lambda i: F.struct(F.xxhash64(F.col(run), "k", i, F.lit(seed)), i.alias("i")))

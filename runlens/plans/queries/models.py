@@ -104,7 +104,7 @@ def ml_evaluation(load: Tables):
 def ml_shap_importance(load: Tables):
     """Of the forest."""
     train, test = _parts(load)
-    return models.shapley_importance(models.fit_random_forest(train, FEATURES), test, "run_id", FEATURES, samples=4)
+    return models.shapley_importance(models.fit_random_forest(train, FEATURES), test, "run_id", FEATURES)
 
 
 @query("ml_shap_sums", f"select run_id, true as adds_up from {SILVER_SQL} where tranche in ('Tranche_A', 'Tranche_C')")
@@ -112,7 +112,7 @@ def ml_shap_sums(load: Tables):
     """What Shapley values determine: for each run they add up to its score minus the background's mean score."""
     train, test = _parts(load)
     model = models.fit_random_forest(train, FEATURES)
-    sums = models.shapley_values(model, test, "run_id", FEATURES, samples=4).groupBy("run_id").agg(F.sum("value").alias("total"))
+    sums = models.shapley_values(model, test, "run_id", FEATURES).groupBy("run_id").agg(F.sum("value").alias("total"))
     gaps = materialize(models.predict(model, test, ["run_id"]).join(sums, "run_id").select("run_id", (F.col("score") - F.col("total")).alias("base")))
     base = gaps.agg(F.avg("base")).scalar()
     return gaps.select("run_id", (F.abs(F.col("base") - base) < 1e-9).alias("adds_up"))
