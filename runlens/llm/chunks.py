@@ -4,6 +4,9 @@ A chunk holds some megabytes of text, chosen by a hash of the document. It sums
 each bucket its keys as one packed row. A bucket counts the keys of all chunks and answers every chunk in the order of
 its keys. The chunk works out its keys again and applies the answers. Hot keys are thus combined before they are
 shuffled, no list of documents travels, and a lost executor costs only its own chunks and buckets.
+
+A shuffle hands out the rows of a chunk in no fixed order, and a chunk is read twice, in different tasks. So both
+readings put its rows in one order first (``in_order``).
 """
 
 from __future__ import annotations
@@ -31,8 +34,19 @@ def in_chunks(docs: DataFrame, columns: list[str], chunk_bytes: int = CHUNK_BYTE
     return picked, total
 
 
+def in_order(chunk: pa.Table) -> pa.Table:
+    """The rows of a chunk by all their columns: whatever numbers them by appearance gives the same numbers in every task."""
+    return chunk.sort_by([(name, "ascending") for name in chunk.column_names])
+
+
+def steps(send: Callable, finish: Callable) -> tuple[Callable, Callable]:
+    """Both readings of a chunk, each in the one order."""
+    return (lambda chunk: send(in_order(chunk))), (lambda chunk, answers: finish(in_order(chunk), answers))
+
+
 def ask(chunked: DataFrame, send: Callable, answer: Callable, finish: Callable, schema: str) -> DataFrame:
     """``send(chunk)`` and ``answer(bucket)`` give tables of (chunk, bucket, packed); ``finish(chunk, answers)`` the result."""
+    send, finish = steps(send, finish)
     packed = "chunk long, bucket long, packed binary"
     sent = chunked.groupBy("chunk").applyInArrow(send, packed)
     answered = sent.groupBy("bucket").applyInArrow(answer, packed)

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from runlens.llm.chunks import BUCKET_BYTES, ask, in_chunks, pack, packed_table, unpack
 from runlens.llm.words import WordHash, mixed, shingle_hashes, slices
+from runlens.session import scratch_path
 
 SEED_WORDS = 5  # a minimiser is the least hash among the runs of so many words in a window
 HOT = 8192  # a run of words found more often is frequent
 DRAWN = 200  # one in so many documents is looked at for frequent runs
+FREQUENT = 1 << 20  # frequent runs that are told apart at most: 8 MB
 COPIES = 1000  # rows of one id and text that are combined from there on
 LATE = np.uint64(1 << 63)
 FILTER_BITS = 20
@@ -71,7 +73,7 @@ class Frequent:
 def frequent_runs(docs: DataFrame, window: int, hot: int = HOT, drawn: int = DRAWN) -> tuple[Frequent, Frequent]:
     """Seeds and whole windows that occur about ``hot`` times or more, by a count over one in ``drawn`` documents.
 
-    They only say where windows are compared. At most one run of ``hot`` reaches the driver.
+    They only say where windows are compared. At most ``FREQUENT`` runs, the most frequent ones, reach the driver.
     """
     seed = min(SEED_WORDS, window)
 
@@ -90,19 +92,23 @@ def frequent_runs(docs: DataFrame, window: int, hot: int = HOT, drawn: int = DRA
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("seeds")), F.lit(drawn)) == 0).select(F.col("text").cast("binary").alias("text"))
     counted = some.mapInArrow(count, "whole boolean, run long, n long").groupBy("whole", "run").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= max(2, hot // drawn)).select("whole", "run").collect()
+    often = counted.where(F.col("n") >= max(2, hot // drawn))
+    rows = often.orderBy(F.desc("n"), "whole", "run").limit(FREQUENT).select("whole", "run").collect()
     return Frequent([r.run for r in rows if not r.whole]), Frequent([r.run for r in rows if r.whole])
 
 
 def combined_copies(docs: DataFrame, copies: int = COPIES) -> DataFrame:
-    """doc_id, text and n: rows of one id and text are one row where there are ``copies`` or more, so that they share a chunk."""
+    """doc_id, text and n: rows of one id and text are one row where there are ``copies`` or more, so that they share a chunk.
+
+    Their keys are a stored table, so Spark knows its size when it plans the joins.
+    """
     rows, key = docs.select("doc_id", "text"), F.xxhash64("doc_id", "text")
-    many = [r.key for r in rows.groupBy(key.alias("key")).count().where(F.col("count") >= copies).collect()]
-    if not many:
-        return rows.withColumn("n", F.lit(1).cast("long"))
-    return rows.where(~key.isin(many)).withColumn("n", F.lit(1).cast("long")).union(
-        rows.where(key.isin(many)).groupBy("doc_id", "text").agg(F.count("*").alias("n"))
-    )
+    path = scratch_path(docs.sparkSession, "copies")
+    rows.groupBy(key.alias("key")).count().where(F.col("count") >= copies).select("key").write.parquet(path)
+    many = docs.sparkSession.read.parquet(path)
+    single = rows.join(many, key == F.col("key"), "left_anti").withColumn("n", F.lit(1).cast("long"))
+    several = rows.join(many, key == F.col("key"), "left_semi")
+    return single.unionByName(several.groupBy("doc_id", "text").agg(F.count("*").alias("n")))
 
 
 class Slice:
@@ -157,7 +163,7 @@ class Slice:
 
 
 class Distinct:
-    """The distinct super-k-mers of a chunk, in order of appearance."""
+    """The distinct super-k-mers of a chunk, in order of appearance; the chunk's rows have a fixed order (``chunks.in_order``)."""
 
     def __init__(self):
         self.index: dict[bytes, int] = {}
