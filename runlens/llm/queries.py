@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontamination, language_id, lm_scores, mixing, near_dups, quality_classifier, quality_rules, sharding, substrings, token_counts
+from runlens.llm import decontamination, language_id, lm_scores, mixing, near_dups, periodic_runs, quality_classifier, quality_rules, sharding, substrings, token_counts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"  # any sentencepiece model file with piece scores
 
@@ -136,3 +136,9 @@ def op10_quality_classifier(spark, sf_dir):
 @query
 def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), token_counts.Vocabulary.load(VOCABULARY))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return periodic_runs.find_runs(docs.select("doc_id", periodic_runs.planted_text(docs["doc_id"], docs["text"]).alias("text")))
