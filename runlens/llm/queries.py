@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontamination, language_id, lm_scores, mixing, near_dups, periodic_runs, quality_classifier, quality_rules, sharding, substrings, token_counts
+from runlens.llm import (
+    decontamination, hard_negatives, language_id, lm_scores, mixing, near_dups, nearest, periodic_runs, quality_classifier, quality_rules, sharding,
+    substrings, token_counts,
+)
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"  # any sentencepiece model file with piece scores
 
@@ -138,7 +141,39 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), token_counts.Vocabulary.load(VOCABULARY))
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+SQL["op11_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, [floor(256 * x::double) for x in embedding] q
+  from embeddings
+  where label is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), scored as (
+  select a.vec_id a, b.vec_id b, a.l = b.l alike, list_inner_product(a.q, b.q)::bigint s
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select a, b, s from scored where alike qualify row_number() over (partition by a order by s desc, b) <= 5
+), negatives as (
+  select p.a, p.b, p.s, n.b nb, n.s ns, row_number() over (partition by p.a, p.b order by n.s desc, n.b) r
+  from positives p join scored n on p.a = n.a and not n.alike where 80 * p.s <= 100 * n.s and 100 * n.s <= 100 * p.s
+)
+select a anchor_id, b positive_id, r::int "rank", nb negative_id, s positive_score, ns negative_score from negatives where r <= 5
+"""
+
+
 @query
 def op12_periodic_runs(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return periodic_runs.find_runs(docs.select("doc_id", periodic_runs.planted_text(docs["doc_id"], docs["text"]).alias("text")))
+
+
+@query
+def op13_nearest(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
