@@ -19,8 +19,8 @@ CELL = 512  # vectors that a bucket of the chosen number of functions holds abou
 FUNCTIONS = 12  # functions of a table at most
 SUCCESS = 0.93  # estimated chance that a neighbour as far as the kth shares a visited bucket in some table
 SAMPLE, SAMPLE_BYTES = 4096, 16 << 20  # vectors, and their bytes, that the widths and distances are learnt from
-TILE, ASKED = 8192, 16384  # vectors and queries that meet in a task
-TOGETHER = 512  # queries scored at once
+TILE, ASKED = 32768, 16384  # vectors and queries that meet in a task
+TOGETHER, BLOCK = 512, 4096  # queries and vectors scored at once
 LEAST_MASS = 1e-4  # chance below which a perturbation of one function is left out
 _TAIL = np.vectorize(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)), otypes=[float])
 
@@ -154,13 +154,14 @@ def best_in_tile(points: np.ndarray, cells: np.ndarray, ids: list[np.ndarray], q
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         starts = np.flatnonzero(np.concatenate([[True], wanted[1:] != wanted[:-1]])) if len(wanted) else []
         for a, b in zip(starts, np.append(starts[1:], len(wanted)) if len(wanted) else [], strict=True):
-            low, high = np.searchsorted(cells, wanted[a], "left"), np.searchsorted(cells, wanted[a], "right")
             who = visits[a:b]
-            near = own[who] @ points[low:high].T
-            both = np.concatenate([kth[who], near], axis=1)
-            kth[who] = np.partition(both, both.shape[1] - k - 1, axis=1)[:, -k - 1 :]
-            row, column = np.nonzero(near >= (kth[who].min(axis=1) - room[who])[:, None])
-            found.append((who[row], low + column, near[row, column]))
+            low, high = np.searchsorted(cells, wanted[a], "left"), np.searchsorted(cells, wanted[a], "right")
+            for at in range(low, high, BLOCK):
+                near = own[who] @ points[at : min(at + BLOCK, high)].T
+                both = np.concatenate([kth[who], near], axis=1)
+                kth[who] = np.partition(both, both.shape[1] - k - 1, axis=1)[:, -k - 1 :]
+                row, column = np.nonzero(near >= (kth[who].min(axis=1) - room[who])[:, None])
+                found.append((who[row], at + column, near[row, column]))
         if not found:
             continue
         q, p, near = (np.concatenate(x) for x in zip(*found, strict=True))

@@ -4,9 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-
 from runlens.llm import hard_negatives, nearest
 from runlens.llm.queries import QUERIES
+
 SCHEMA = "vec_id long, embedding array<double>, label int, tile int, q string, ids string"
 
 
