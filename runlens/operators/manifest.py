@@ -95,9 +95,12 @@ def build_manifest(runs: DataFrame, measured: DataFrame, min_rows: int = MIN_RUN
     ``runs``: run keys, ``enb``, ``has_data``, ``n_csv``, ``raw_size_bytes``, ``measurement_ts``.
     ``measured``: run keys, ``csv_files_read``, ``row_count``, ``col_count``.
     Files are looked at only where the run has a data folder, CSVs and a known label; elsewhere
-    sizes and counts are 0 and there is no start time.
+    sizes and counts are 0 and there is no start time. The label of a run without a data folder is not
+    looked at either: it is unknown, from no source, and mismatches nothing.
     """
-    joined = with_labels(join_on(runs, measured, RUN, "left"))
+    labelled = with_labels(join_on(runs, measured, RUN, "left"))
+    unread = {"cipher_state": "unknown", "cipher_source": "none", "label_mismatch": False}
+    joined = labelled.withColumns({c: F.when(F.col("has_data"), F.col(c)).otherwise(F.lit(v)) for c, v in unread.items()})
     counts = ("csv_files_read", "row_count", "col_count")
     looked = F.col("has_data") & (F.col("cipher_state") != "unknown") & (F.col("n_csv") > 0)
     filled = joined.fillna(0, list(counts)).withColumns({

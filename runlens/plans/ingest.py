@@ -16,7 +16,7 @@ from runlens.session import scratch_path
 from runlens.sources.csv_groups import (
     FILE, POSITION, all_columns, header_names, measurement_columns, present_columns, read_groups, repeated_groups, trim_groups,
 )
-from runlens.sources.files import csv_headers, list_files, path_parts, run_sizes, run_tree
+from runlens.sources.files import csv_headers, list_files, path_parts, run_sizes, run_tree, walk, within_runs
 from runlens.sources.label_db import label_files, label_table
 from runlens.sources.tables import MANIFEST_SCHEMA, read_manifest, write_bronze, write_csv, write_table
 
@@ -51,10 +51,10 @@ def ingest(
     Without ``columns`` every column of every group is kept, or of the groups whose tags are in ``groups``; a
     column that a file lacks is null for its run. Measurements are doubles; a cell that is no number is null.
     ``partitioned`` says that the tree has ``key=value`` folders. Every run is a key in one plan; there is no loop over
-    runs. Two steps are stored in the shared folder because several later steps read them: the parsed rows and the
+    runs. Run folders are found by a walk, so a run without any file has its manifest row too. Two steps are stored in the shared folder because several later steps read them: the parsed rows and the
     trimmed rows. A run with two files of one group is a failed write, as their columns collide.
     """
-    tree = run_tree(list_files(spark, root))
+    tree = run_tree(walk(spark, root, within_runs))
     runs = run_sizes(tree)
     data = tree.where("is_csv")
     picked = groups if columns is None else list(columns)

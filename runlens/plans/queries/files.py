@@ -93,6 +93,59 @@ def src_run_sizes(load: Tables):
     )
 
 
+def folder_tree(load: Tables) -> str:
+    """A raw tree with runs that hold nothing, an empty data folder, foreign files only, one CSV or two; the tasks make it.
+
+    A CSV has a header and a line per event of its run, two bytes each.
+    """
+    root = scratch_path(load.spark, "folders")
+    base = files.root_uri(load.spark, root)
+
+    def build(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                run = f"{base}{r.tranche}/{r.session}/{r.run_name}"
+                data, lines = f"{run}/traffic_generator", "Mean Value\n" + "1\n" * r.n_rows
+                own, second = f"{r.file_stem}.csv", f"{r.file_stem[:13]}_UECOMBINED_MACRXSTATS_ALL.csv"
+                made = [
+                    {run: {}}, {data: {}}, {run: {"notes.csv": lines}}, {data: {"notes.txt": lines}},
+                    {data: {own: lines, ".hidden.csv": lines}, f"{run}/extra/deep": {own: lines}}, {data: {own: lines, second: lines}},
+                ][r.run_no % 6]
+                for folder, contents in made.items():
+                    filesystem, path = files.located(folder)
+                    filesystem.create_dir(path)
+                    for name, text in contents.items():
+                        with filesystem.open_output_stream(f"{path}/{name}") as out:
+                            out.write(text.encode())
+            yield batch[["run_no"]]
+
+    load(FOLDERS).select("run_no", "tranche", "session", "run_name", "file_stem", "n_rows").mapInPandas(build, "run_no long").write.format("noop").mode("overwrite").save()
+    return root
+
+
+KIND = "run_no % 6"
+N_CSV_SQL = f"case {KIND} when 4 then 1 when 5 then 2 else 0 end"
+
+
+@query("src_run_folders", f"""select tranche, session, run_name as run_id, {KIND} not in (0, 2) as has_data,
+ cast({N_CSV_SQL} as bigint) as n_csv, cast({N_CSV_SQL} * (11 + 2 * n_rows) as bigint) as raw_size_bytes,
+ case when {KIND} >= 4 then {{stamp}} end as measurement_ts from {FOLDERS_SQL} f""".replace("{stamp}", """'20' || substr(f.file_stem, 1, 2) || '-'
+ || substr(f.file_stem, 3, 2) || '-' || substr(f.file_stem, 5, 2) || 'T' || substr(f.file_stem, 8, 2) || ':' || substr(f.file_stem, 10, 2)
+ || ':' || substr(f.file_stem, 12, 2)"""))
+def src_run_folders(load: Tables):
+    """All run folders, empty ones too, with the bytes of their CSVs."""
+    sizes = files.run_sizes(files.run_tree(files.walk(load.spark, folder_tree(load), files.within_runs)))
+    return sizes.select("tranche", "session", "run_id", "has_data", "n_csv", F.col("raw_size_bytes").cast("bigint"), "measurement_ts")
+
+
+@query("src_folder_counts", f"""select tranche, session, count(distinct run_name) filter (where lower(run_name) like '%cipheron%') as n_on,
+ count(distinct run_name) filter (where lower(run_name) like '%cipheroff%') as n_off from {FOLDERS_SQL} group by 1, 2""")
+def src_folder_counts(load: Tables):
+    """The census counts run folders, whether or not anything is in them."""
+    tree = files.run_tree(files.walk(load.spark, folder_tree(load), files.within_runs))
+    return manifest.run_census(tree, "run_id", "grp").drop("groups")
+
+
 def _columns() -> dict[str, tuple[str, ...]]:
     return {tag: MEASUREMENTS for tag in TAGS}
 
@@ -150,6 +203,22 @@ def ingest_manifest(load: Tables):
     return done.manifest.groupBy("run_id", "outcome").agg(F.count("*").alias("n"))
 
 
+@query("ingest_empty_folders", f"""select run_name as run_id, outcome, cipher_state, case outcome when 'ok' then '' else reason end as skip_reason,
+ case when outcome = 'ok' then n_rows - 2 * cut else 0 end as row_count,
+ case when cipher_state <> 'unknown' and {KIND} >= 4 then cast({N_CSV_SQL} * (11 + 2 * n_rows) as bigint) else 0 end as raw_size_bytes
+ from (select *, case when {KIND} in (0, 2) then 'skip' when cipher_state = 'unknown' then 'quarantine'
+   when {KIND} < 4 then 'skip' when n_rows - 2 * cut < 60 then 'quarantine' else 'ok' end as outcome,
+  case when {KIND} in (0, 2) then 'no traffic_generator folder' when cipher_state = 'unknown' then 'cipher state unknown'
+   when {KIND} < 4 then 'no CSV files in traffic_generator'
+   else concat('too few rows after trimming: ', n_rows - 2 * cut) end as reason
+  from (select run_no, run_name, n_rows, case when {KIND} in (0, 2) then 'unknown' else coalesce({LABEL_SQL}, {DB_SQL}, 'unknown') end as cipher_state,
+   case when n_rows > 2 * least(50, greatest(1, n_rows // 20)) then least(50, greatest(1, n_rows // 20)) else 0 end as cut from {FOLDERS_SQL}))""")
+def ingest_empty_folders(load: Tables):
+    """The manifest has a row for every run folder."""
+    done = ingest(load.spark, folder_tree(load), None, _labels(load), min_rows=60)
+    return done.manifest.select("run_id", "outcome", "cipher_state", "skip_reason", "row_count", "raw_size_bytes")
+
+
 TRIMMED_SIZES_SQL = f"(select run_id, tag, count(*) as n from {TRIMMED_SQL} group by 1, 2)"
 ALL_NAMES = ("time_us", "mean_value", "event_id")
 

@@ -61,9 +61,9 @@ MEASURED = View("events", [
  measured as (select user_id as run_no, count(distinct case when value > 15 then event_type end) as csv_files_read,
   count(case when value > 15 then 1 end) as row_count from events group by 1)
  select run_id, coalesce(try_cast(regexp_extract(run_id, '([0-9]+)$', 1) as bigint), -1) as run_number,
-  tranche, session, coalesce(a, b, 'unknown') as cipher_state,
-  case when a is not null then 'folder' when b is not null then 'db' else 'none' end as cipher_source,
-  coalesce(a <> b, false) as label_mismatch,
+  tranche, session, case when outcome = 'skip' then 'unknown' else coalesce(a, b, 'unknown') end as cipher_state,
+  case when outcome = 'skip' then 'none' when a is not null then 'folder' when b is not null then 'db' else 'none' end as cipher_source,
+  outcome <> 'skip' and coalesce(a <> b, false) as label_mismatch,
   case when outcome = 'ok' then row_count else 0 end as row_count,
   case when outcome = 'ok' then csv_files_read + 7 else 0 end as col_count,
   case when looked then csv_files_read else 0 end as csv_files_read,

@@ -17,6 +17,7 @@ from runlens.functions.names import normalize_text, sanitize_name
 from runlens.functions.stats import number
 from runlens.operators.ordinal import join_on
 from runlens.operators.trim import row_trim
+from runlens.sources.files import file_uri
 
 FILE = ["tranche", "session", "run_id", "tag", "stem"]  # two groups can share a tag; a file is its stem
 POSITION = ["uri", "block", "line"]
@@ -67,7 +68,7 @@ def read_cells(spark: SparkSession, path: str, width: int, pattern: str = "*.csv
         .csv(path)
     )
     return raw.select(
-        F.col("_metadata.file_path").alias("uri"),
+        file_uri().alias("uri"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         F.array(*columns).alias("cells"),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import reduce
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
 import pyarrow.fs
@@ -13,9 +16,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.names import group_name, group_tag, measurement_ts
+from runlens.session import scratch_path
 
 HEADER_CHUNK = 1 << 16
 HEADER_LIMIT = 1 << 24
+DEEPEST = 64  # levels of folders
+LEGAL = "/-_.!~*'(),;:$&+=@"  # what Spark leaves as it is in the path of a URI, besides letters, digits and all beyond ASCII
+
+
+def file_uri() -> Column:
+    """The file of a row, in one form: Spark writes local paths with one slash or with three."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -26,7 +37,64 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
         .option("pathGlobFilter", pattern)
         .load(root)
     )
-    return files.select(F.col("_metadata.file_path").alias("uri"), "length")
+    return files.select(file_uri().alias("uri"), "length")
+
+
+def encoded(path: str) -> str:
+    """A path as Spark writes it in ``_metadata.file_path``."""
+    return "".join(c if ord(c) > 127 else quote(c, safe=LEGAL) for c in path)
+
+
+def root_uri(spark: SparkSession, root: str) -> str:
+    """The URI of a folder in the form of ``file_uri``, ending in a slash."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    return re.sub("^file:/+", "file:/", whole.toUri().toString()).rstrip("/") + "/"
+
+
+def _entries(uri: str) -> list[tuple[str, bool, int]]:
+    """What lies right in a folder: names that Spark reads, folders or not, and lengths. A folder that is gone is empty."""
+    filesystem, path = located(uri)
+    chosen = pyarrow.fs.FileSelector(path, allow_not_found=True)
+    return [
+        (e.base_name, e.type == pyarrow.fs.FileType.Directory, max(e.size or 0, 0))
+        for e in filesystem.get_file_info(chosen)
+        if not e.base_name.startswith(".") and (not e.base_name.startswith("_") or "=" in e.base_name)
+    ]
+
+
+def walk(spark: SparkSession, root: str, descend: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows (uri, length) of all files and all folders below ``root``; a folder's URI ends in a slash, and its length is 0.
+
+    The folders of a level are rows, dealt out to tasks that list them; what they hold is stored, and its folders are the next
+    level. So empty folders are rows too, a level is listed by the whole cluster, and the driver learns only whether there is
+    another level. ``descend`` says of a folder's URI whether it is gone into. Names that Spark does not read are left out.
+    A root that is missing or empty gives no rows.
+    """
+
+    def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri in batch["uri"]:
+                rows = [(uri + encoded(name) + "/" * folder, 0 if folder else size) for name, folder, size in _entries(uri)]
+                yield pd.DataFrame(rows, columns=["uri", "length"]).astype({"uri": str, "length": "int64"})
+
+    folders, levels = spark.createDataFrame([(root_uri(spark, root),)], "uri string"), []
+    for _ in range(DEEPEST):
+        path = scratch_path(spark, "level")
+        dealt = folders.repartition("uri") if levels else folders
+        dealt.mapInPandas(list_folders, "uri string, length bigint").write.parquet(path)
+        levels.append(spark.read.parquet(path))
+        inner = F.col("uri").endswith("/")
+        folders = levels[-1].where(inner & descend(F.col("uri")) if descend else inner).select("uri")
+        if folders.isEmpty():
+            return reduce(DataFrame.union, levels)
+    raise ValueError(f"folders lie more than {DEEPEST} levels deep")
+
+
+def within_runs(uri: Column) -> Column:
+    """Folders that can lead to a run's data: inside a run only its data folder is gone into."""
+    below = F.regexp_extract(uri, r"/(?:session=)?Session_[^/]+/[^/]+/(.+)$", 1)
+    return (below == "") | below.rlike(r"^(?:traffic_generator|file=[^/]+)/$")
 
 
 def path_parts(uri: Column) -> dict[str, Column]:
@@ -49,7 +117,8 @@ def path_parts(uri: Column) -> dict[str, Column]:
 
 
 def run_tree(files: DataFrame) -> DataFrame:
-    """Files of run folders: those below a tranche and a session whose name starts with cipher.
+    """Files of run folders, and these folders and those in them where ``files`` comes from ``walk``: below a tranche and a
+    session, with a name that starts with cipher.
 
     ``is_csv`` holds for the files that are read: CSVs right in a run's data folder, or parts of a ``file=`` folder.
     """
@@ -67,7 +136,7 @@ def run_tree(files: DataFrame) -> DataFrame:
 def run_sizes(tree: DataFrame) -> DataFrame:
     """Runs with their CSV files and bytes, whether or not a file is selected later.
 
-    A folder without any file is invisible to a file listing.
+    A run without any file is there if ``tree`` comes from ``walk``; a file listing of Spark does not see it.
     """
     return tree.groupBy("tranche", "session", "run_id").agg(
         F.count_if("is_csv").alias("n_csv"),
@@ -77,8 +146,15 @@ def run_sizes(tree: DataFrame) -> DataFrame:
     )
 
 
+def located(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI and the path there, without a slash at its end."""
+    parts = urlsplit(uri)
+    path = quote(parts.path.rstrip("/") or "/", safe=LEGAL + "%")  # Arrow takes ASCII only
+    return pyarrow.fs.FileSystem.from_uri(f"{parts.scheme}://{parts.netloc}{path}")
+
+
 def _open(uri: str):
-    filesystem, path = pyarrow.fs.FileSystem.from_uri(uri)
+    filesystem, path = located(uri)
     return filesystem.open_input_file(path)
 
 

@@ -287,3 +287,37 @@ def test_stored_and_read_back(spark, odd_root, tmp_path):
     assert spark.read.parquet(runs["cipheron_1"].parquet_path).count() == 20
     rejected = spark.read.parquet(str(tmp_path / "out" / "quarantine"))
     assert {r.run_id for r in rejected.collect()} == {"cipheroff_3", "cipheroff_4", "cipher_5"}
+
+
+def test_walk_sees_every_folder(spark, tmp_path):
+    """URIs are those of Spark's own listing, and folders are rows, empty ones too."""
+    base = tmp_path / "raw tree+1 %41 é"
+    for folder in ("Tranche_A/Session_1/cipheron_1", "Tranche_A/Session_1/cipheroff_2/traffic_generator", "Tranche_A/Session_2", "empty", "_hidden/x"):
+        (base / folder).mkdir(parents=True)
+    for name in ("Tranche_A/Session_1/cipheroff_2/traffic_generator/a b#?,;:[é].csv", "Tranche_A/Session_1/cipheron_1/.skipped", "Tranche_A/top.txt", "_hidden/x/y.csv"):
+        (base / name).write_text("a\n1\n")
+    rows = {r.uri: r.length for r in files.walk(spark, str(base)).collect()}
+    listed = {r.uri: r.length for r in files.list_files(spark, str(base)).collect()}
+    assert {u: n for u, n in rows.items() if not u.endswith("/")} == listed and len(listed) == 2
+    root = files.root_uri(spark, str(base))
+    assert {u.removeprefix(root) for u in rows if u.endswith("/")} == {
+        "Tranche_A/", "empty/", "Tranche_A/Session_1/", "Tranche_A/Session_2/", "Tranche_A/Session_1/cipheron_1/",
+        "Tranche_A/Session_1/cipheroff_2/", "Tranche_A/Session_1/cipheroff_2/traffic_generator/",
+    }
+    assert files.walk(spark, str(base / "missing")).collect() == files.walk(spark, str(base / "empty")).collect() == []
+    runs = {r.run_id: (r.has_data, r.n_csv, r.raw_size_bytes) for r in files.run_sizes(files.run_tree(files.walk(spark, str(base), files.within_runs))).collect()}
+    assert runs == {"cipheron_1": (False, 0, 0), "cipheroff_2": (True, 1, 4)}
+
+
+def test_runs_without_files_are_in_the_manifest(spark, tmp_path):
+    folder = tmp_path / "Tranche_A" / "Session_1"
+    (folder / "cipheron_1").mkdir(parents=True)
+    (folder / "cipheroff_2" / "traffic_generator").mkdir(parents=True)
+    (folder / "cipher_3" / "other" / "deep").mkdir(parents=True)
+    (folder / "cipher_3" / "other" / "deep" / "x.csv").write_text("a\n1\n")
+    write_run(tmp_path, "Session_1", "cipheron_4", {f"220909_125427_{MAC}.csv": timed(20)})
+    done = ingest(spark, str(tmp_path), COLUMNS, trim_seconds=5, min_rows=5)
+    assert {r.run_id: (r.outcome, r.skip_reason, r.cipher_state) for r in done.manifest.collect()} == {
+        "cipheron_1": ("skip", "no traffic_generator folder", "unknown"), "cipheroff_2": ("skip", "no CSV files in traffic_generator", "off"),
+        "cipher_3": ("skip", "no traffic_generator folder", "unknown"), "cipheron_4": ("ok", "", "on"),
+    }
