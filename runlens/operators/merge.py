@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.ordinal import join_on, row_ordinal
+from runlens.operators.ordinal import join_on, row_ordinal, split_places
 
 
 def group_sizes(df: DataFrame, run: Sequence[str], group: str) -> DataFrame:
@@ -43,15 +43,19 @@ def merge_long(
     order: Sequence[Column | str],
     value: str,
     groups: Sequence[str],
+    split: Sequence[str] = (),
 ) -> DataFrame:
     """Positional merge of one long table: a row per (run, ordinal), a column per group.
 
     Groups that a run lacks stay null and do not shorten it. Rows are placed across tasks, and the
-    merge key includes the ordinal, so a hot run spreads over all tasks.
+    merge key includes the ordinal, so a hot run spreads over all tasks. ``split`` names bounded pieces of a group, in whose
+    order the group lies: see ``split_places``; ``order`` then holds in a piece.
     """
     columns = [F.max(F.when(F.col(group) == g, F.col(value))).alias(f"{g}__{value}") for g in groups]
     floor = shortest_group(group_sizes(df, run, group), run)
-    placed = join_on(row_ordinal(df, [*run, group], order), floor, run)
+    keys = [*run, group]
+    ordered = split_places(df, keys, split, order) if split else row_ordinal(df, keys, order)
+    placed = join_on(ordered, floor, run)
     kept = placed.where(F.col("ordinal") < F.col("min_rows"))
     return kept.groupBy(*run, "ordinal").agg(*columns)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.constants import ROW_TRIM_MAX, ROW_TRIM_SHARE
-from runlens.operators.ordinal import join_on, row_ordinal
+from runlens.operators.ordinal import join_on, row_ordinal, split_places
 
 
 def time_trim(df: DataFrame, keys: Sequence[str], time: str, margin: Column) -> DataFrame:
@@ -31,10 +31,14 @@ def row_trim(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
+    split: Sequence[str] = (),
 ) -> DataFrame:
-    """Without a time column: cut a few rows at both ends of each group."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    placed = join_on(row_ordinal(df, keys, order, "_place"), sizes, keys)
+    """Without a time column: cut a few rows at both ends of each group; ``split`` as in ``merge_long``."""
+    if split:
+        placed = split_places(df, keys, split, order, "_place", "_rows")
+    else:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        placed = join_on(row_ordinal(df, keys, order, "_place"), sizes, keys)
     cut = edge_rows(F.col("_rows"))
     kept = (F.col("_place") >= cut) & (F.col("_place") < F.col("_rows") - cut)
     return placed.where(kept).drop("_place", "_rows")

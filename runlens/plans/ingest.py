@@ -12,9 +12,9 @@ from runlens.constants import MIN_RUN_ROWS, TRIM_SECONDS
 from runlens.operators.manifest import RUN, build_manifest, label_lookup, ok_runs, quarantined, write_failures
 from runlens.operators.merge import merge_long
 from runlens.operators.ordinal import join_on
-from runlens.session import scratch_path
+from runlens.session import stored
 from runlens.sources.csv_groups import (
-    FILE, POSITION, all_columns, header_names, measurement_columns, present_columns, read_groups, repeated_groups, trim_groups,
+    FILE, LINE, SPLIT, all_columns, header_names, measurement_columns, present_columns, read_groups, repeated_groups, trim_groups,
 )
 from runlens.sources.files import csv_headers, list_files, path_parts, run_sizes, run_tree, walk, within_runs
 from runlens.sources.label_db import label_files, label_table
@@ -29,13 +29,6 @@ class Ingested:
     manifest: DataFrame
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a step once and read it back: later steps use it several times."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def ingest(
     spark: SparkSession,
     root: str,
@@ -59,7 +52,7 @@ def ingest(
     data = tree.where("is_csv")
     picked = groups if columns is None else list(columns)
     wanted = data if picked is None else data.where(F.col("tag").isin(*picked))
-    headers = _stored(csv_headers(wanted), "headers")
+    headers = stored(csv_headers(wanted), "headers")
     described = header_names(wanted, headers)
     columns = all_columns(described) if columns is None else columns
     table = label_table(label_files(spark, root)) if labels is None else labels
@@ -68,11 +61,11 @@ def ingest(
         manifest = build_manifest(label_lookup(runs, table), none, min_rows)
         return Ingested(ok_runs(manifest).select(*IDENTITY, F.lit(0).cast("long").alias("ordinal")), manifest)
     failures = repeated_groups(described)
-    parsed = _stored(read_groups(spark, root, tree, headers, columns, partitioned), "rows")
-    trimmed = _stored(trim_groups(parsed, trim_seconds), "trimmed")
+    parsed = stored(read_groups(spark, root, tree, headers, columns, partitioned), "rows")
+    trimmed = stored(trim_groups(parsed, trim_seconds), "trimmed")
 
     single = join_on(trimmed, failures, RUN, "left_anti")
-    wide = merge_long(single, RUN, "tag", POSITION, "values", list(columns))
+    wide = merge_long(single, RUN, "tag", LINE, "values", list(columns), SPLIT)
     merged = wide.select(*RUN, "ordinal", *measurement_columns(columns))
     present = present_columns(described, columns)
     sizes = trimmed.groupBy(*FILE).agg(F.count("*").alias("n"))
@@ -106,10 +99,10 @@ def ingest_to(spark: SparkSession, root: str, out: str, **options) -> DataFrame:
     """
     done = ingest(spark, root, **options)
     write_bronze(done.bronze, f"{out}/bronze", by_run=True)
-    stored = stored_runs(spark, f"{out}/bronze")
-    lost = join_on(ok_runs(done.manifest), stored, RUN, "left_anti").select(*RUN, F.lit("no file was written").alias("write_error"))
+    listed = stored_runs(spark, f"{out}/bronze")
+    lost = join_on(ok_runs(done.manifest), listed, RUN, "left_anti").select(*RUN, F.lit("no file was written").alias("write_error"))
     ordered = [field.split()[0] for field in MANIFEST_SCHEMA.split(",")]
-    final = finish_manifest(done.manifest, stored, lost).select(*ordered)
+    final = finish_manifest(done.manifest, listed, lost).select(*ordered)
     write_csv(final, f"{out}/manifest")
     manifest = read_manifest(spark, f"{out}/manifest")
     write_table(quarantined(manifest), f"{out}/quarantine")

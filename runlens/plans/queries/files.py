@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators import manifest, quality, silver
-from runlens.operators.ordinal import row_ordinal
+from runlens.operators.ordinal import split_places
 from runlens.plans.ingest import ingest, ingest_to
 from runlens.plans.queries.catalogue import feature_measurand_join
 from runlens.plans.queries.measurements import silver_sql
@@ -15,8 +15,8 @@ from runlens.plans.registry import QUERIES, Tables, query
 from runlens.plans.views import (
     CATALOGUE, FEATURES, FOLDERS, MANIFEST, NATIVE, STORED, View,
 )
-from runlens.session import scratch_path
-from runlens.sources import csv_groups, files, label_db, tables
+from runlens.session import scratch_path, stored
+from runlens.sources import csv_groups, csv_ranges, files, label_db, tables
 
 FOLDERS_SQL, NATIVE_SQL = FOLDERS.sql(), NATIVE.sql()
 
@@ -165,13 +165,29 @@ PLACED_SQL = f"""(select f.tranche, f.session, f.run_name as run_id, {TAG_SQL} a
 @query("src_group_csv", f"""select run_id, tag, ordinal, value as mean_value, cast(event_id as double) as event_id
  from {PLACED_SQL}""")
 def src_group_csv(load: Tables):
-    placed = row_ordinal(_read(load), csv_groups.FILE, csv_groups.POSITION)
+    placed = split_places(stored(_read(load), "rows"), csv_groups.FILE, csv_groups.SPLIT, csv_groups.LINE)
     return placed.select(
         "run_id", "tag", "ordinal",
         F.col("values")[0].alias("mean_value"), F.col("values")[1].alias("event_id"),
     )
 
 
+@query("src_csv_ranges", """select doc_id, cast(length(text) as bigint) as n_letters, md5(text) as digest,
+ row_number() over (order by doc_id) - 1 as place from documents""")
+def src_csv_ranges(load: Tables):
+    """Texts with quotes and line breaks, in files that are cut into ranges of 64 KB; places go on over the files."""
+    path = scratch_path(load.spark, "texts")
+    texts = load("documents").select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    texts.write.options(header="true", escape='"', quoteAll="true", **kept).csv(path)
+    rows = stored(csv_ranges.read_ranges(files.list_files(load.spark, path, "*.csv"), 2, 1 << 16), "ranges")
+    placed = split_places(rows.withColumn("all", F.lit(1)), ["all"], csv_groups.SPLIT, csv_groups.LINE, "place")
+    text = F.col("cells")[1]
+    return placed.select(
+        F.col("cells")[0].cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("n_letters"), F.md5(text).alias("digest"), "place"
+    )
+
+
 MARGIN_US = 86_400_000_000
 TRIMMED_SQL = f"""(select *, row_number() over (partition by run_id, tag order by us, event_id) - 1 as place from (select *,
  min(us) over (partition by run_id, tag) as a, max(us) over (partition by run_id, tag) as b from {PLACED_SQL})

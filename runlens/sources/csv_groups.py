@@ -17,10 +17,12 @@ from runlens.functions.names import normalize_text, sanitize_name
 from runlens.functions.stats import number
 from runlens.operators.ordinal import join_on
 from runlens.operators.trim import row_trim
+from runlens.sources.csv_ranges import RANGE_BYTES, read_ranges
 from runlens.sources.files import file_uri
 
 FILE = ["tranche", "session", "run_id", "tag", "stem"]  # two groups can share a tag; a file is its stem
-POSITION = ["uri", "block", "line"]
+SPLIT, LINE = ["uri", "block"], ["line"]  # bounded pieces of a file, and the place in a piece
+POSITION = [*SPLIT, *LINE]
 
 
 def header_names(files: DataFrame, headers: DataFrame) -> DataFrame:
@@ -51,10 +53,10 @@ def group_files(root: str, tags: Iterable[str], partitioned: bool = False) -> tu
     return root, f"*{groups}.csv"
 
 
-def read_cells(spark: SparkSession, path: str, width: int, pattern: str = "*.csv") -> DataFrame:
-    """Rows (uri, block, line, cells) of all files, in their order by (uri, block, line).
+def read_cells(spark: SparkSession, path: str, width: int, pattern: str = "*.csv", most: int | None = None) -> DataFrame:
+    """Rows (uri, block, line, cells) of all files, or of those of ``most`` bytes, in their order by (uri, block, line).
 
-    Cells may hold quoted line breaks, so a file is read by one task; a huge group comes as parts.
+    Cells may hold quoted line breaks, so a file is read by one task; larger ones are for ``csv_ranges``.
     """
     columns = [f"c{i}" for i in range(width)]
     raw = (
@@ -67,6 +69,8 @@ def read_cells(spark: SparkSession, path: str, width: int, pattern: str = "*.csv
         .option("pathGlobFilter", pattern)
         .csv(path)
     )
+    if most is not None:
+        raw = raw.where(F.col("_metadata.file_size") <= most)
     return raw.select(
         file_uri().alias("uri"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -121,9 +125,12 @@ def read_groups(
     headers: DataFrame,
     columns: Mapping[str, Sequence[str]],
     partitioned: bool = False,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """Rows (file keys, position, values, times) of the wanted groups.
 
+    A file of more than ``range_bytes`` is read by ranges, each a block of its own. So a (uri, block) is bounded.
+
     ``values`` holds doubles in the order of ``columns[tag]``; a name that a file lacks is
     null. ``times`` holds the file's columns that may be its clock, in header order.
     """
@@ -139,7 +146,9 @@ def read_groups(
         ).alias("clocks"),
     )
     path, pattern = group_files(root, columns, partitioned)
-    cells = read_cells(spark, path, width, pattern).join(places, "uri")
+    large = chosen.where(F.col("length") > range_bytes).select("uri", "length")
+    read = read_cells(spark, path, width, pattern, range_bytes).unionByName(read_ranges(large, width, range_bytes))
+    cells = read.join(places, "uri")
     return cells.select(
         *FILE, *POSITION,
         F.transform("places", lambda p: number(F.get("cells", p - 1))).alias("values"),
@@ -187,7 +196,7 @@ def trim_groups(
     inside = number(now).between(F.col("clock.first") + seconds, F.col("clock.last") - seconds)
     by_time = clocked.where(inside).select(*FILE, *POSITION, "values")
     unclocked = join_on(rows, known, FILE, "left_anti").select(*FILE, *POSITION, "values")
-    return by_time.unionByName(row_trim(unclocked, FILE, POSITION))
+    return by_time.unionByName(row_trim(unclocked, FILE, LINE, SPLIT))
 
 
 def measurement_columns(columns: Mapping[str, Sequence[str]], suffix: str = "values") -> list[Column]:
