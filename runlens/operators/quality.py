@@ -300,6 +300,13 @@ def column_counts(footers: DataFrame) -> DataFrame:
     )
 
 
+def column_spread(footers: DataFrame) -> DataFrame:
+    """Per tranche, how many different numbers of columns its files have; files of one tranche may differ, so no number is wrong."""
+    counts = column_counts(footers)
+    expected = F.format_string("%d to %d columns", "least", "most")
+    return result(counts, "column_counts", "tranche", F.col("tranche"), F.col("n_counts"), expected, F.lit(True), "WARN")
+
+
 def readable(footers: DataFrame) -> DataFrame:
     """Every file opens; the reason is kept for those that do not."""
     files = footers.groupBy("path").agg(F.max("error").alias("error"))
@@ -458,11 +465,15 @@ def suite(
     fragments: Sequence[str] = NULL_RATE_FRAGMENTS,
     limit: float = 0.01,
     present: DataFrame | None = None,
+    time: str | None = None,
+    order: Sequence[Column | str] = ("ordinal",),
+    footers: DataFrame | None = None,
 ) -> DataFrame:
     """All checks of measurement rows, and of the runs they form, from one aggregate over the rows.
 
     Labels, ranges, null rates, rows per tranche and balance per session read one stored row per run. The results are
-    those of the single checks. ``df`` carries the identity of the runs.
+    those of the single checks. ``df`` carries the identity of the runs. With ``time``, the first times of each run in its
+    ``order`` are checked too; with ``footers`` of the stored files also their boolean columns and their numbers of columns.
     """
     measured = list(dict.fromkeys(
         [c for c, *_ in _ranged_columns(df, ranges)] + [c for c in df.columns if any(f in c for f in fragments)]
@@ -492,6 +503,10 @@ def suite(
     )
     nulls = result(means, "null_rates", "column", F.col("column"), F.col("rate"), f"<= {limit}", F.col("rate") <= limit, "WARN")
     parts = [labels, value_ranges(ends, run, ranges), nulls, row_outliers_sigma(runs), balance_session(runs)]
+    if time is not None:
+        parts.append(duplicate_timestamps(df, run, time, order))
+    if footers is not None:
+        parts += [boolean_columns(footers), column_spread(footers)]
     return combine(parts)
 
 

@@ -211,3 +211,66 @@ def footer_columns(files: DataFrame) -> DataFrame:
         "path": F.col("uri"),
         "tranche": path_parts(F.col("uri"))["tranche"],
     })
+
+
+def footer_statistics(files: DataFrame) -> DataFrame:
+    """Rows (uri, row_group, column, type, n_rows, n_nulls, least, most, known, error): what the footers say of number columns.
+
+    ``known`` says that the footer tells all: how many values are null, and the least and most of the others. It is false where the writer
+    left statistics out, where one of them is NaN, and for floating-point columns of writers that pass over NaN. A file that
+    does not open is one row with its error. No data page is read.
+    """
+
+    def facts(uri: str) -> Iterator[tuple]:
+        with _open(uri) as stream:
+            found = pyarrow.parquet.ParquetFile(stream)
+            telling = found.metadata.created_by.startswith("parquet-mr")  # leaves the ends out where a NaN is among the values
+            types = {f.name: str(f.type) for f in found.schema_arrow}
+            for g in range(found.metadata.num_row_groups):
+                group = found.metadata.row_group(g)
+                for c in range(group.num_columns):
+                    column = group.column(c)
+                    kind = types.get(column.path_in_schema, "")
+                    floating = kind in ("float", "double")
+                    if not floating and not kind.startswith(("int", "uint")):
+                        continue
+                    seen = column.statistics
+                    nulls = seen.null_count if seen is not None and seen.has_null_count else None
+                    ends = (float(seen.min), float(seen.max)) if seen is not None and seen.has_min_max else (None, None)
+                    number = ends[0] is not None and ends[0] == ends[0] and ends[1] == ends[1]
+                    known = nulls is not None and (nulls == group.num_rows or (number and (telling or not floating)))
+                    yield (uri, g, column.path_in_schema, kind, group.num_rows, nulls, *(ends if number else (None, None)), known, None)
+
+    names = ["uri", "row_group", "column", "type", "n_rows", "n_nulls", "least", "most", "known", "error"]
+    schema = "uri string, row_group int, column string, type string, n_rows bigint, n_nulls bigint, least double, most double, known boolean, error string"
+
+    def peek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri in batch["uri"]:
+                try:
+                    rows = list(facts(uri))
+                except Exception as error:
+                    rows = [(uri, None, None, None, None, None, None, None, False, f"{type(error).__name__}: {error}")]
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return files.select("uri").mapInPandas(peek, schema)
+
+
+def scanned_statistics(unknown: DataFrame) -> DataFrame:
+    """Rows (uri, column, n_rows, n_nulls, least, most) of the row groups and columns in ``unknown`` (uri, row_group, column), from their
+    values; NaN counts as null. A task reads one row group at a time, and of it the named columns only."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri, g, columns in batch[["uri", "row_group", "columns"]].itertuples(index=False):
+                with _open(uri) as stream:
+                    table = pyarrow.parquet.ParquetFile(stream).read_row_group(int(g), columns=list(columns))
+                rows = []
+                for name in columns:
+                    values = table.column(name).to_pandas().astype("float64").dropna()
+                    rows.append((uri, name, len(table), len(table) - len(values), values.min(), values.max()))
+                out = pd.DataFrame(rows, columns=["uri", "column", "n_rows", "n_nulls", "least", "most"])
+                yield out.astype(object).where(out.notna(), None)
+
+    pieces = unknown.groupBy("uri", "row_group").agg(F.sort_array(F.collect_set("column")).alias("columns"))  # a row group's columns
+    return pieces.mapInPandas(read, "uri string, column string, n_rows bigint, n_nulls bigint, least double, most double")

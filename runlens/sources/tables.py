@@ -22,6 +22,7 @@ MANIFEST_SCHEMA = (
     " parquet_path string, outcome string, skip_reason string, processed_at string"
 )
 FILE_ROWS = 5_000_000
+GROUP_ROWS = 50_000  # rows of a Parquet row group
 
 
 def bronze_schema(measurements: Sequence[str]) -> T.StructType:
@@ -38,7 +39,8 @@ def read_bronze(spark: SparkSession, paths: str | Sequence[str], schema: T.Struc
 
 def write_bronze(df: DataFrame, path: str, order: Sequence[str] = ("ordinal",), by_run: bool = False) -> None:
     """Snappy Parquet by tranche and session, and by run where asked for. Range partitioning keeps a
-    run's rows together and still spreads a huge run over many tasks and files."""
+    run's rows together and still spreads a huge run over many tasks and files. Rows are sorted by run and order, in row groups
+    of at most ``GROUP_ROWS``, so a filter on runs or times skips most groups."""
     keys = ["tranche", "session", "run_id", *[c for c in order if c in df.columns]]
     spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     (
@@ -46,6 +48,7 @@ def write_bronze(df: DataFrame, path: str, order: Sequence[str] = ("ordinal",),
         .partitionBy("tranche", "session", *["run_id"] * by_run)
         .option("compression", "snappy")
         .option("maxRecordsPerFile", FILE_ROWS)
+        .option("parquet.block.row.count.limit", GROUP_ROWS)
         .parquet(path)
     )
 
