@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from runlens.operators import compare, forest, models, silver
+from runlens.operators import compare, forest, models, shapley, silver
 from runlens.plans.queries.measurements import SILVER_SQL
 from runlens.plans.queries.runs import histogram_sql
 from runlens.plans.registry import Tables, query, rounded
@@ -102,9 +102,95 @@ def ml_evaluation(load: Tables):
 
 @query("ml_shap_importance")
 def ml_shap_importance(load: Tables):
-    """Of the forest."""
+    """Of the forest; exact, over a background of test runs."""
     train, test = _parts(load)
-    return models.shapley_importance(models.fit_random_forest(train, FEATURES), test, "run_id", FEATURES)
+    explained = shapley.forest_shapley(models.fit_random_forest(train, FEATURES), test, "run_id")
+    return shapley.importance(explained, FEATURES)
+
+
+# A small forest with given nodes: (tree, node, feature, threshold, left, right, value).
+SMALL_FEATURES = ("bler_mean", "retx_mean", "mcs_mean")
+SMALL_FOREST = (
+    (0, 0, 0, 0.051, 1, 2, None), (0, 1, 1, 0.04, 3, 4, None), (0, 2, -1, None, -1, -1, 0.4), (0, 3, -1, None, -1, -1, 0.1), (0, 4, -1, None, -1, -1, 0.7),
+    (1, 0, 2, 25.5, 1, 2, None), (1, 1, -1, None, -1, -1, 0.2), (1, 2, 0, 0.0505, 3, 4, None), (1, 3, -1, None, -1, -1, 0.9), (1, 4, -1, None, -1, -1, 0.3),
+    (2, 0, 1, 0.0402, 1, 2, None), (2, 1, 1, 0.0398, 3, 4, None), (2, 2, -1, None, -1, -1, 0.8), (2, 3, -1, None, -1, -1, 0.15), (2, 4, -1, None, -1, -1, 0.55),
+)
+SMALL_BACKGROUND = 64
+
+
+def _mixed_sql(feature: int) -> str:
+    name = SMALL_FEATURES[feature]
+    return f"case when (s.mask >> {feature}) & 1 = 1 then x.{name} else b.{name} end"
+
+
+def _tree_sql(tree: int, node: int = 0) -> str:
+    _, _, feature, threshold, left, right, value = next(r for r in SMALL_FOREST if r[:2] == (tree, node))
+    if left < 0:
+        return f"{value}e0"
+    return f"case when {_mixed_sql(feature)} <= {threshold}e0 then {_tree_sql(tree, left)} else {_tree_sql(tree, right)} end"
+
+
+# The definition: over all sets of features, with the weights of three features.
+SMALL_SHAP_SQL = f"""(with b as (select * from {ML_SQL} order by run_id limit {SMALL_BACKGROUND}),
+ v as (select x.run_id, s.mask, avg(({' + '.join(_tree_sql(t) for t in range(3))}) / 3) as v
+  from {ML_SQL} x cross join b cross join (select unnest(range(8)) as mask) s group by 1, 2)
+ {' union all '.join(
+     f"select p.run_id, '{name}' as feature, sum((q.v - p.v) * case bit_count(p.mask) when 1 then 1e0 / 6 else 1e0 / 3 end) as value"
+     f" from v p join v q on q.run_id = p.run_id and q.mask = p.mask + {1 << i} where (p.mask >> {i}) & 1 = 0 group by 1"
+     for i, name in enumerate(SMALL_FEATURES))})"""
+
+
+def _explained_small(load: Tables):
+    runs = load(ML).select("run_id", F.array(*SMALL_FEATURES).alias("own"))
+    nodes = load.spark.createDataFrame(list(SMALL_FOREST), "tree int, node int, feature int, threshold double, left int, right int, value double")
+    return shapley.explain(runs, "run_id", shapley.forest_leaves(nodes), runs.orderBy("run_id").limit(SMALL_BACKGROUND), 3)
+
+
+@query("ml_tree_shap", f"select run_id, feature, round(value, 9) + 0e0 as value from {SMALL_SHAP_SQL}")
+def ml_tree_shap(load: Tables):
+    """Exact Shapley values of a given forest, per run and feature."""
+    values = shapley.values_by_feature(_explained_small(load), "run_id", SMALL_FEATURES)
+    return values.withColumn("value", F.round("value", 9) + F.lit(0.0))
+
+
+@query("ml_tree_shap_importance", f"select feature, round(avg(abs(value)), 9) as importance from {SMALL_SHAP_SQL} group by 1")
+def ml_tree_shap_importance(load: Tables):
+    return rounded(shapley.importance(_explained_small(load), SMALL_FEATURES), 9, "importance")
+
+
+@query("ml_forest_nodes", f"select unnest(range({models.TREES}))::integer as tree, true as rows_add_up, true as impurity_fits, true as gain_fits")
+def ml_forest_nodes(load: Tables):
+    """What the fitted forest's node table determines of itself."""
+    train, _ = _parts(load)
+    return shapley.checked_nodes(shapley.forest_nodes(models.fit_random_forest(train, FEATURES)))
+
+
+@query("ml_forest_scores", f"select run_id, true as same_score, true as adds_up from {SILVER_SQL} where tranche in ('Tranche_A', 'Tranche_C')")
+def ml_forest_scores(load: Tables):
+    """The model's scores from its node table; and the exact Shapley values of all 68 features add up to them."""
+    train, test = _parts(load)
+    model = models.fit_random_forest(train, FEATURES)
+    explained = shapley.forest_shapley(model, test, "run_id")
+    total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
+    scores = models.predict(model, test, ["run_id"]).withColumnRenamed("score", "known")
+    return explained.join(scores, "run_id").select(
+        "run_id", (F.abs(F.col("score") - F.col("known")) < 1e-12).alias("same_score"),
+        (F.abs(total - F.col("score") + F.col("base")) < 1e-9).alias("adds_up"),
+    )
+
+
+@query("ml_logistic_scores", f"select run_id, true as same_score from {SILVER_SQL} where tranche in ('Tranche_A', 'Tranche_C')")
+def ml_logistic_scores(load: Tables):
+    """The model's scores from its table of coefficients."""
+    train, test = _parts(load)
+    model = models.fit_logistic(train, FEATURES)
+    weights = models.coefficients(model, train, FEATURES)
+    vectors = model.transform(test).select("run_id", vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("known"))
+    names = F.array(*[F.lit(f) for f in FEATURES])
+    long = vectors.select("run_id", "known", F.inline(F.arrays_zip(names.alias("feature"), F.col("x").alias("v"))))
+    sums = long.join(weights, "feature").groupBy("run_id", "known").agg(F.sum(F.col("v") * F.col("coefficient")).alias("z"))
+    score = 1 / (1 + F.exp(-F.col("z") - model.stages[-1].intercept))
+    return sums.select("run_id", (F.abs(score - F.col("known")) < 1e-9).alias("same_score"))
 
 
 @query("ml_shap_sums", f"select run_id, true as adds_up from {SILVER_SQL} where tranche in ('Tranche_A', 'Tranche_C')")
@@ -129,6 +215,27 @@ def ml_isolation_forest(load: Tables):
     return _scored(load).select("run_id", "cipher_state", "score")
 
 
+ON_RUNS_SQL = f"(select count(*) from {SILVER_SQL} where cipher_state = 'on')"
+
+
+@query("ml_isolation_trees", f"""select unnest(range({forest.TREES}))::integer as tree, least({forest.SAMPLE}, {ON_RUNS_SQL})::bigint as root_rows,
+ true as rows_add_up""")
+def ml_isolation_trees(load: Tables):
+    """What the trees determine: the runs at their roots, and that splits keep all of them."""
+    runs = _silver(load).where("cipher_state = 'on'")
+    return forest.checked_trees(materialize(forest.fit_forest(runs, "run_id", FEATURES)))
+
+
+@query("ml_isolation_paths", f"select run_id, true as same_score from {SILVER_SQL}")
+def ml_isolation_paths(load: Tables):
+    """Scores from the stored node table, walked level by level with joins."""
+    runs = _silver(load).select(*KEEP, *FEATURES)
+    nodes = materialize(forest.fit_forest(runs.where("cipher_state = 'on'"), "run_id", FEATURES))
+    known = forest.score_forest(runs, nodes, FEATURES).select("run_id", F.col("score").alias("known"))
+    walked = forest.path_scores(runs, nodes, "run_id", FEATURES)
+    return walked.join(known, "run_id").select("run_id", (F.abs(F.col("score") - F.col("known")) < 1e-12).alias("same_score"))
+
+
 @query("ml_isolation_histogram")
 def ml_isolation_histogram(load: Tables):
     return compare.histogram(_scored(load), "score", 40)
