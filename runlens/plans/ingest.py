@@ -13,12 +13,13 @@ from runlens.operators.manifest import RUN, build_manifest, label_lookup, ok_run
 from runlens.operators.merge import merge_long
 from runlens.operators.ordinal import join_on
 from runlens.session import stored
+from runlens.sources import versions
 from runlens.sources.csv_groups import (
     FILE, LINE, SPLIT, all_columns, header_names, measurement_columns, present_columns, read_groups, repeated_groups, trim_groups,
 )
 from runlens.sources.files import csv_headers, list_files, path_parts, run_sizes, run_tree, walk, within_runs
 from runlens.sources.label_db import label_files, label_table
-from runlens.sources.tables import MANIFEST_SCHEMA, read_manifest, write_bronze, write_csv, write_table
+from runlens.sources.tables import MANIFEST_SCHEMA, bronze_rows, bronze_writer, read_manifest, write_bronze, write_csv, write_table
 
 IDENTITY = ("run_id", "run_number", "cipher_state", "tranche", "session", "measurement_ts", "label_mismatch")
 
@@ -82,27 +83,39 @@ def ingest(
     return Ingested(bronze, manifest)
 
 
-def stored_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run keys, ``parquet_path`` and ``parquet_size_bytes`` of the Bronze folders that ``write_bronze(by_run=True)`` made."""
+def stored_runs(listed: DataFrame) -> DataFrame:
+    """Run keys, ``parquet_path`` and ``parquet_size_bytes`` of listed files (uri, length) of Bronze that was stored by run."""
     parts = path_parts(F.col("uri"))
-    listed = list_files(spark, path, "*.parquet").select(
+    runs = listed.select(
         parts["tranche"].alias("tranche"), parts["session"].alias("session"), parts["run_id"].alias("run_id"),
         F.regexp_replace("uri", "/[^/]+$", "").alias("parquet_path"), "length",
     )
-    return listed.groupBy(*RUN).agg(F.min("parquet_path").alias("parquet_path"), F.sum("length").alias("parquet_size_bytes"))
+    return runs.groupBy(*RUN).agg(F.min("parquet_path").alias("parquet_path"), F.sum("length").alias("parquet_size_bytes"))
 
 
-def ingest_to(spark: SparkSession, root: str, out: str, **options) -> DataFrame:
+def ingest_to(spark: SparkSession, root: str, out: str, versioned: bool = False, **options) -> DataFrame:
     """Ingest into ``out``/bronze, /manifest and /quarantine; the manifest, read back.
 
-    What the manifest says of stored files comes from a listing after the write: an ok run without files was not written.
+    What the manifest says of stored files comes from a listing after the write: an ok run without files was not written. With
+    ``versioned`` the three are tables of ``sources.versions``: readers of the last version go on while an ingest runs, and an
+    ingest that dies leaves it in place. Otherwise folders are overwritten.
     """
     done = ingest(spark, root, **options)
-    write_bronze(done.bronze, f"{out}/bronze", by_run=True)
-    listed = stored_runs(spark, f"{out}/bronze")
+    if versioned:
+        versions.replace(bronze_rows(done.bronze), f"{out}/bronze", bronze_writer(by_run=True))
+        files = versions.files(spark, f"{out}/bronze")
+    else:
+        write_bronze(done.bronze, f"{out}/bronze", by_run=True)
+        files = list_files(spark, f"{out}/bronze", "*.parquet")
+    listed = stored_runs(files)
     lost = join_on(ok_runs(done.manifest), listed, RUN, "left_anti").select(*RUN, F.lit("no file was written").alias("write_error"))
     ordered = [field.split()[0] for field in MANIFEST_SCHEMA.split(",")]
     final = finish_manifest(done.manifest, listed, lost).select(*ordered)
+    if versioned:
+        versions.replace(final, f"{out}/manifest")
+        manifest = versions.read(spark, f"{out}/manifest")
+        versions.replace(quarantined(manifest), f"{out}/quarantine")
+        return manifest
     write_csv(final, f"{out}/manifest")
     manifest = read_manifest(spark, f"{out}/manifest")
     write_table(quarantined(manifest), f"{out}/quarantine")

@@ -16,7 +16,7 @@ from runlens.plans.views import (
     CATALOGUE, FEATURES, FOLDERS, MANIFEST, NATIVE, STORED, View,
 )
 from runlens.session import scratch_path, stored
-from runlens.sources import csv_groups, csv_ranges, files, label_db, tables
+from runlens.sources import csv_groups, csv_ranges, files, label_db, tables, versions
 
 FOLDERS_SQL, NATIVE_SQL = FOLDERS.sql(), NATIVE.sql()
 
@@ -444,6 +444,37 @@ def sink_silver(load: Tables):
     return load.spark.read.parquet(path)
 
 
+@query("sink_versions", f"""select 1 as number, {', '.join(MEASURED)} from {NATIVE_SQL} where run_id % 2 = 0
+ union all select 2, {', '.join(MEASURED)} from {NATIVE_SQL}""")
+def sink_versions(load: Tables):
+    """Two versions of one table: half of the runs, then all of them."""
+    path, rows = scratch_path(load.spark, "versions"), load(NATIVE)
+    versions.replace(tables.bronze_rows(rows.where("run_id % 2 = 0")), path, tables.bronze_writer())
+    versions.append(tables.bronze_rows(rows.where("run_id % 2 = 1")), path, tables.bronze_writer())
+    parts = [versions.read(load.spark, path, rows.schema, n).select(F.lit(n).alias("number"), *MEASURED) for n in (1, 2)]
+    return parts[0].unionByName(parts[1])
+
+
+REPAIRED_SQL = f"""select cast(run_id as varchar) as run_id, cast({MIXED} as double) as {MIXED}, rlc_rx__lost_pdus from {NATIVE_SQL}"""
+
+
+@query("repair_types", f"""select run_id, {MIXED}, rlc_rx__lost_pdus, cast(1 as bigint) as n_types, true as others_kept from ({REPAIRED_SQL})""")
+def repair_types(load: Tables):
+    """Files in which a column is an integer are written again, the others stay; then the table has one type."""
+    path, rows = scratch_path(load.spark, "repaired"), load(NATIVE).withColumn("run_id", F.col("run_id").cast("string"))
+    whole = rows.where("cipher_state = 'on'").withColumn(MIXED, F.col(MIXED).cast("int"))
+    versions.replace(tables.bronze_rows(whole), path, tables.bronze_writer())
+    versions.append(tables.bronze_rows(rows.where("cipher_state = 'off'")), path, tables.bronze_writer())
+    before = versions.files(load.spark, path)
+    odd = stored(versions.conflicting(files.footer_columns(before), [MIXED]), "odd")
+    versions.rewrite(load.spark, path, odd, versions.cast_columns({MIXED: "double"}), tables.bronze_writer())
+    after = versions.files(load.spark, path)
+    types = files.footer_columns(after).where(F.col("column") == MIXED).agg(F.count_distinct("type")).scalar()
+    kept = before.join(odd, "uri", "left_anti").join(after, "uri", "left_anti").agg(F.count("*") == 0).scalar()
+    found = versions.read(load.spark, path, rows.schema)
+    return found.select("run_id", MIXED, "rlc_rx__lost_pdus", types.alias("n_types"), kept.alias("others_kept"))
+
+
 @query("sink_manifest", f"select * from {MANIFEST.sql()}")
 def sink_manifest(load: Tables):
     path = scratch_path(load.spark, "manifest")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,15 +41,22 @@ def write_bronze(df: DataFrame, path: str, order: Sequence[str] = ("ordinal",),
     """Snappy Parquet by tranche and session, and by run where asked for. Range partitioning keeps a
     run's rows together and still spreads a huge run over many tasks and files. Rows are sorted by run and order, in row groups
     of at most ``GROUP_ROWS``, so a filter on runs or times skips most groups."""
+    bronze_writer(by_run)(bronze_rows(df, order).write.mode("overwrite")).parquet(path)
+
+
+def bronze_rows(df: DataFrame, order: Sequence[str] = ("ordinal",)) -> DataFrame:
+    """Rows in the order in which Bronze is stored."""
     keys = ["tranche", "session", "run_id", *[c for c in order if c in df.columns]]
-    spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    (
-        spread.write.mode("overwrite")
-        .partitionBy("tranche", "session", *["run_id"] * by_run)
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def bronze_writer(by_run: bool = False) -> Callable[[DataFrameWriter], DataFrameWriter]:
+    """Partitions and options of Bronze, for ``write_bronze`` and for ``versions``."""
+    return lambda writer: (
+        writer.partitionBy("tranche", "session", *["run_id"] * by_run)
         .option("compression", "snappy")
         .option("maxRecordsPerFile", FILE_ROWS)
         .option("parquet.block.row.count.limit", GROUP_ROWS)
-        .parquet(path)
     )
 
 

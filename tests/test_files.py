@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import quality
 from runlens.plans.ingest import finish_manifest, ingest, ingest_to
-from runlens.sources import csv_groups, files, label_db, tables
+from runlens.sources import csv_groups, files, label_db, tables, versions
 
 MAC, PDCP = "UECOMBINED_MACRXSTATS_ALL", "UECOMBINED_PDCPRXSTATS_ALL"
 COLUMNS = {"mac_rx": ["PDU Size", "SNR (dB)"], "pdcp_rx": ["Lost PDUs"]}
@@ -321,3 +321,18 @@ def test_runs_without_files_are_in_the_manifest(spark, tmp_path):
         "cipheron_1": ("skip", "no traffic_generator folder", "unknown"), "cipheroff_2": ("skip", "no CSV files in traffic_generator", "off"),
         "cipher_3": ("skip", "no traffic_generator folder", "unknown"), "cipheron_4": ("ok", "", "on"),
     }
+
+
+def test_versioned_ingest(spark, root, tmp_path):
+    """Two ingests make two versions; the manifest names the files of the last one."""
+    out = str(tmp_path / "out")
+    for number in (1, 2):
+        manifest = ingest_to(spark, str(root), out, versioned=True, columns=COLUMNS, trim_seconds=5, min_rows=5)
+        assert versions.current(spark, f"{out}/bronze").number == versions.current(spark, f"{out}/manifest").number == number
+    found = {r.run_id: r for r in manifest.collect()}
+    listed = [r.uri for r in versions.files(spark, f"{out}/bronze").collect()]
+    ok = {run: r for run, r in found.items() if r.outcome == "ok"}
+    assert set(ok) == {"cipheron_0001", "cipheroff_0002", "cipher_3"}
+    assert all(r.parquet_size_bytes > 0 and any(u.startswith(r.parquet_path + "/") for u in listed) for r in ok.values())
+    assert {r.run_id for r in versions.read(spark, f"{out}/quarantine").collect()} == {"cipheron_4", "cipher_7", "CipherOff_8"}
+    assert versions.read(spark, f"{out}/bronze").groupBy("run_id").count().count() == 3
