@@ -115,3 +115,17 @@ RUN_ROWS_RANGE = (1000, 20000)
 # Position of 5/25/50/75/95 % among quantiles.
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 SHORT_QUANTILES = (0.25, 0.5, 0.75)
+
+# The sheets of the measurand workbook, and the headers of its catalogue.
+SHEETS = {"utg": "UTG Measurands", "defs": "UTG Definitions", "net": "Network Protocol Measurands"}
+CATALOGUE_HEADERS = {
+    "Layer": "layer_raw",
+    "UE Logging": "ue_logging",
+    "Meas. Item Key (for Python coding)": "meas_key",
+    "Decision (0 - dont use, 1 - 25% use, 2 - 50% use, 3 - 100% use)": "priority",
+    "Key types: Continuous, discrete, unknown, and NA": "key_type",
+    "Type": "data_type",
+    "Minimum Value": "min_value",
+    "Maximum Value": "max_value",
+    "Description": "description",
+}

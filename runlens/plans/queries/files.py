@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators import manifest, quality, silver
+from runlens.constants import CATALOGUE_HEADERS, SHEETS
+from runlens.operators import catalogue, manifest, quality, silver
 from runlens.operators.ordinal import split_places
 from runlens.plans.ingest import ingest, ingest_to
 from runlens.plans.queries.catalogue import feature_measurand_join
@@ -493,6 +494,48 @@ def sink_catalogue(load: Tables):
     return exported.fillna("", ["layer_raw", "key_type", "data_type"]).withColumns({c: F.col(c).cast(t) for c, t in numbers.items()})
 
 
+@query("sink_measurands", QUERIES["catalogue_project"].sql)
+def sink_measurands(load: Tables):
+    """The catalogue with its layer groups, exported and read back."""
+    path = scratch_path(load.spark, "measurands-export")
+    tables.write_csv(catalogue.catalogue_rows(load(CATALOGUE)), path)
+    kinds = {"priority": "bigint", "min_value": "double", "max_value": "double"}
+    exported = load.spark.read.option("header", "true").csv(path)
+    return exported.fillna("").withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
+
+
+@query("src_measurand_sheets", f"""select 'utg' as sheet, pos, nullif(layer_raw, '') as layer_raw, meas_key, cast(priority as bigint) as priority, min_value,
+  description as text from {CATALOGUE.sql()}
+ union all select 'defs', pos, null, upper(key_type), null, null, concat('Line one of ', key_type, chr(10), '"line" two') from {CATALOGUE.sql()} where pos % 2 = 0
+ union all select 'net', pos, null, ue_logging, null, max_value, null from {CATALOGUE.sql()} where ue_logging is not null""")
+def src_measurand_sheets(load: Tables):
+    """Three sheets with different headers, with blank rows and columns without a name, read as one folder."""
+    folder, rows = scratch_path(load.spark, "sheets"), load(CATALOGUE)
+    short = {name: header for header, name in CATALOGUE_HEADERS.items()}
+    exported = {
+        "utg": rows.select("pos", *[F.nullif(c, F.lit("")).alias(h) if c == "layer_raw" else F.col(c).alias(h) for c, h in short.items()]),
+        "defs": rows.where("pos % 2 = 0").select(
+            F.col("pos").alias("Number"), F.upper("key_type").alias("Term"),
+            F.concat(F.lit("Line one of "), "key_type", F.lit('\n"line" two')).alias("Meaning, in words"),
+        ),
+        "net": rows.where("ue_logging is not null").select(F.col("pos").alias("No."), F.col("ue_logging").alias("Protocol Item"), F.col("max_value").alias("Upper Bound")),
+    }
+    for key, sheet in exported.items():
+        named = sheet.withColumn(" ", F.lit(None).cast("string"))
+        blank = named.select(*[F.lit(None).cast(t).alias(c) for c, t in named.dtypes])
+        named.union(blank).write.options(header="true", escape='"').csv(f"{folder}/{SHEETS[key]}.csv")
+    sheets = tables.read_sheets(load.spark, folder)
+    none = F.lit(None)
+    utg = tables.named_catalogue(sheets["utg"]).select(F.lit("utg").alias("sheet"), "pos", "layer_raw", "meas_key", "priority", "min_value", F.col("description").alias("text"))
+    defs = sheets["defs"].select(
+        F.lit("defs"), F.col("Number").cast("bigint"), none.cast("string"), "Term", none.cast("bigint"), none.cast("double"), F.col("`Meaning, in words`"),
+    )
+    net = sheets["net"].select(
+        F.lit("net"), F.col("`No.`").cast("bigint"), none.cast("string"), F.col("`Protocol Item`"), none.cast("bigint"), F.col("`Upper Bound`").cast("double"), none.cast("string"),
+    )
+    return utg.union(defs).union(net)
+
+
 @query("src_variable_key", f"select new_var_num, orig_var_name from {FEATURES.sql()}")
 def src_variable_key(load: Tables):
     path = scratch_path(load.spark, "variable-key")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.constants import CATALOGUE_HEADERS, SHEETS
 from runlens.functions.stats import number
 
 BRONZE_IDENTITY = (
@@ -83,10 +84,29 @@ def read_text_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue export: columns without a name and rows without a value are dropped."""
-    raw = spark.read.option("header", "true").csv(path)
+    """Catalogue export: columns without a name and rows without a value are dropped. Cells may hold line breaks."""
+    raw = spark.read.options(header="true", multiLine="true", escape='"').csv(path)
     named = [c for c in raw.columns if not re.fullmatch(r"_c\d+", c)]
-    return raw.select(*[F.col(f"`{c}`") for c in named]).na.drop("all")
+    cells = [F.col(f"`{c}`") for c in named]
+    return raw.select(*cells).where(F.coalesce(*cells).isNotNull())
+
+
+def read_sheets(spark: SparkSession, folder: str, sheets: Mapping[str, str] = SHEETS) -> dict[str, DataFrame]:
+    """The sheets of a workbook that was exported as one CSV per sheet, named like it. Each has its own headers."""
+    return {key: read_catalogue(spark, f"{folder.rstrip('/')}/{name}.csv") for key, name in sheets.items()}
+
+
+def named_catalogue(sheet: DataFrame) -> DataFrame:
+    """The catalogue sheet under short names, its numbers as numbers; a column that the sheet lacks is null.
+
+    A sheet has no order that Spark keeps, so ``pos`` is there only if the export has it.
+    """
+    kinds = {"priority": "bigint", "min_value": "double", "max_value": "double"}
+    columns = [
+        (F.col(f"`{header}`") if header in sheet.columns else F.lit(None)).try_cast(kinds.get(name, "string")).alias(name)
+        for header, name in CATALOGUE_HEADERS.items()
+    ]
+    return sheet.select(*[F.col("pos").try_cast("bigint").alias("pos")] * ("pos" in sheet.columns), *columns)
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
