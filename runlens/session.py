@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []  # what scratch_path has handed out
+
 
 def build_session(app: str = "runlens", master: str | None = None) -> SparkSession:
     """A session with the settings the library relies on; cluster settings win."""
@@ -43,7 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the steps that this process has stored so far, and say how many there were.
+
+    Frames are lazy, so only their user knows when the last one that reads a step is done; those that still do fail afterwards.
+    """
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
