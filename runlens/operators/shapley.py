@@ -138,7 +138,10 @@ def importance(explained: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def checked_nodes(nodes: DataFrame) -> DataFrame:
-    """Per tree: whether the rows of every split are those of its children, and its impurity and gain are what these rows give."""
+    """Per tree: whether the rows of every split are those of its children, and its impurity and gain are what these rows give.
+
+    A root that cannot be split, as its rows are of one class, has no impurity worked out (-1).
+    """
     def gini(off, on):
         return 1 - F.try_divide(off * off + on * on, (off + on) * (off + on))
 
@@ -150,7 +153,7 @@ def checked_nodes(nodes: DataFrame) -> DataFrame:
     near = F.abs(F.col("off_rows") - F.col("left_off") - F.col("right_off")) + F.abs(F.col("on_rows") - F.col("left_on") - F.col("right_on"))
     return joined.groupBy("tree").agg(
         F.every(~inner | (near < 1e-9)).alias("rows_add_up"),
-        F.every((n == 0) | (F.abs(F.col("impurity") - gini(F.col("off_rows"), F.col("on_rows"))) < 1e-9)).alias("impurity_fits"),
+        F.every((n == 0) | (F.col("impurity") < 0) | (F.abs(F.col("impurity") - gini(F.col("off_rows"), F.col("on_rows"))) < 1e-9)).alias("impurity_fits"),
         F.every(~inner | ((F.col("gain") > 0) & (F.abs(F.col("gain") - (F.col("impurity") - after)) < 1e-9))).alias("gain_fits"),
     )
 
