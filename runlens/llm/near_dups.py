@@ -1,4 +1,5 @@
-"""MinHash near-dedup: banded hash minima propose links, full shingle sets confirm them, components join them."""
+"""MinHash near-dedup: banded hash minima propose links, whole signatures drop the hopeless ones, full shingle sets confirm the rest,
+components join them."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.words import WordHash, mixed, shingle_hashes, slices, whole_row
@@ -15,6 +16,9 @@ from runlens.session import materialize
 
 HELD = 1 << 18  # elements of differences that a task holds before it passes them on
 BANDS, ROWS = 30, 5  # a link of 0.8 is missed with a chance of 9e-6, one of 0.85 with 3e-8
+DEVIATIONS = 7  # a link has fewer equal minima than this many deviations below the mean with a chance below 1e-8
+TOGETHER = 512  # members of a bucket that meet one copy of their hub's text
+TURNS = 3  # pivots that the members of a group meet before those in different components meet each other
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +35,7 @@ def _document_shingles(words: list[bytes], hasher: WordHash, n: int) -> np.ndarr
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_key (a 128-bit hash of the set), and one bucket number per band."""
+    """doc_id, text_hash, n_shingles, set_key (a 128-bit hash of the set), one bucket number per band, and 16 bits of every minimum."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
@@ -42,6 +46,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(sizes)
             buckets = np.zeros((len(full), bands), np.uint64)
+            minima = np.zeros((len(full), bands * rows), np.uint16)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 starts = np.cumsum(sizes[full]) - sizes[full]
@@ -50,31 +55,49 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     for k in range(band * rows, band * rows + rows):
                         least = np.minimum.reduceat(flat * factors[k] + terms[k], starts)
                         key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + least)
+                        minima[:, k] = mixed(least) >> np.uint64(48)
                     buckets[:, band] = key
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            lists, at = [None] * len(sets), 0
+            lists, signed = [None] * len(sets), [None] * len(sets)
             for at, i in enumerate(full):
-                lists[i] = buckets[at].view(np.int64)
+                lists[i], signed[i] = buckets[at].view(np.int64), minima[at].view(np.int16)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_hash"), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "n_shingles", "set_key", "buckets"],
+                [part.column("doc_id"), part.column("text_hash"), pa.array(sizes), pa.array(keys, pa.binary()),
+                 pa.array(lists, pa.list_(pa.int64())), pa.array(signed, pa.list_(pa.int16()))],
+                ["doc_id", "text_hash", "n_shingles", "set_key", "buckets", "minima"],
             )
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(sign, f"doc_id {id_type}, text_hash long, n_shingles long, set_key binary, buckets array<long>")
+    return texts.mapInArrow(sign, f"doc_id {id_type}, text_hash long, n_shingles long, set_key binary, buckets array<long>, minima array<short>")
+
+
+def verified(pairs: DataFrame, minima: DataFrame, least_percent: int) -> DataFrame:
+    """Without the pairs that are not ``wide`` and whose signatures (node, minima) agree in too few places for a link.
+
+    The places of a link of share t that agree are at least n t in the mean; those ``DEVIATIONS`` standard deviations below leave.
+    A wide pair stays: its difference tells how the members of its bucket stand to each other. Of a node with several
+    signatures, the ones that agree most count.
+    """
+    narrow = pairs.where("not wide")
+    first, second = (minima.select(F.col("node").alias(c), F.col("minima").alias(f"minima_{c}")) for c in "ab")
+    n, t = F.size("minima_a"), least_percent / 100
+    agree = F.size(F.filter(F.arrays_zip("minima_a", "minima_b"), lambda m: m["minima_a"] == m["minima_b"]))
+    hopeless = agree < n * t - DEVIATIONS * F.sqrt(n * t * (1 - t))
+    likely = narrow.join(first, "a").join(second, "b").where(~hopeless).select(*pairs.columns).distinct()
+    return pairs.where("wide").unionByName(likely)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, least_percent: int, shingle: int) -> DataFrame:
-    """Pairs (a, b, wide) with linked, whether the full shingle sets have 100 * intersection >= percent * union.
+    """Pairs (a, b, wide, part) with linked, whether the full shingle sets have 100 * intersection >= percent * union.
 
     Where ``wide`` is set, a row also carries both set sizes and the hashed symmetric difference of the sets. Only documents in
-    a pair are read for it; a pair gets its two texts by two joins.
+    a pair are read for it; a pair gets its two texts by two joins. The pairs of one ``a`` meet a copy of its text per ``part``.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.where("text is not null").join(wanted, "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").cast("binary").alias("text_a"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").cast("binary").alias("text_a")).join(pairs.select("a", "part").distinct(), "a")
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").cast("binary").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = pairs.join(right, "b").join(left, ["a", "part"])
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def shingles(text: bytes) -> set:
@@ -135,18 +158,21 @@ def _stars(edges: DataFrame) -> DataFrame:
     return large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _left_links(starred: DataFrame, joined: DataFrame, least_percent: int) -> DataFrame:
-    """Links (a, b) between nodes of one hub that are in different components. ``starred`` is what ``confirm`` gives of (hub, node).
+def _bound(least_percent: int) -> float:
+    """A link allows a symmetric difference of at most this many times both sizes."""
+    return (1 - least_percent / 100) / (1 + least_percent / 100)
 
-    A link allows a symmetric difference of at most k times both sizes. With D the difference of a node from its hub, x and y
+
+def _prefixes(starred: DataFrame, least_percent: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their difference from their hub, and (hub, element, node, place) for the elements that decide whom they meet.
+
+    ``starred`` is what ``confirm`` gives of (hub, node). With D the difference of a node from its hub, x and y
     must share at least (|D_x| + |D_y| - k (|x| + |y|)) / 2 elements of D_x and D_y, which is above 0 unless both are linked to the
     hub. Hence, with the elements of a hub's nodes in one order, the first |D| - least + 1 elements of both have one in common,
     and at the first common one enough elements are left in both. The order is rare elements first: edits that a node has alone
     fill its prefix, and it meets nobody. The pairs that remain are decided by their whole differences.
     """
-    t = least_percent / 100
-    k = (1 - t) / (1 + t)
-    d = F.size("differ")
+    t, k, d = least_percent / 100, _bound(least_percent), F.size("differ")
     # a linked node needs only partners that are not linked to the hub: |D_y| > k (|y| + |hub|)
     least_linked = (d + k * (F.col("size_a") - F.col("size_b"))) / 2
     least_other = d - k * (1 + 1 / t) * F.col("size_b")
@@ -159,15 +185,43 @@ def _left_links(starred: DataFrame, joined: DataFrame, least_percent: int) -> Da
     ordered = elements.join(common, ["hub", "element"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("ordered"))
     first = nodes.join(ordered, ["hub", "node"]).select(
         "hub", "node", "linked", "size", "d", F.posexplode(F.slice("ordered", F.lit(1), F.col("prefix").cast("int"))).alias("place", "e")
-    ).where("e.n > 1").join(joined, "node", "left").select(
-        "hub", F.col("e.element").alias("element"), "node", "linked", "size", "d", "place", F.coalesce("component", "node").alias("component")
-    )
-    first = materialize(first)
-    x, y = (first.select("hub", "element", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "linked", "size", "d", "place", "component")]) for side in "xy")
-    left = F.least(F.col("d_x") - F.col("place_x"), F.col("d_y") - F.col("place_y"))
-    enough = 2 * left >= F.col("d_x") + F.col("d_y") - k * (F.col("size_x") + F.col("size_y")) - 1e-6
-    apart = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("linked_x") & F.col("linked_y"))
-    pairs = x.join(y, ["hub", "element"]).where(apart & enough).groupBy("node_x", "node_y").agg(F.min("hub").alias("hub"))
+    ).where("e.n > 1").select("hub", F.col("e.element").alias("element"), "node", "linked", "size", "d", "place")
+    return nodes, first
+
+
+def _apart(first: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of those groups (hub, element) whose nodes are in more than one component, with their component."""
+    placed = first.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = placed.groupBy("hub", "element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return placed.join(groups.select("hub", "element"), ["hub", "element"])
+
+
+def _may_link(least_percent: int) -> Column:
+    """Whether the nodes x and y of one element are in different components and have enough elements left there."""
+    left = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place"))
+    enough = 2 * left >= F.col("x.d") + F.col("y.d") - _bound(least_percent) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    return (F.col("x.component") != F.col("y.component")) & ~(F.col("x.linked") & F.col("y.linked")) & enough
+
+
+SIDE = ("node", "linked", "size", "d", "place", "component")
+
+
+def _pivot_pairs(apart: DataFrame, turn: int, least_percent: int) -> DataFrame:
+    """(hub, node_x, node_y): one node of each group, another one each turn, and those it may be linked to. One comparison a row."""
+    pivots = apart.groupBy("hub", "element").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), *SIDE)).alias("x"))
+    pairs = apart.select("hub", "element", F.struct(*SIDE).alias("y")).join(pivots, ["hub", "element"]).where(_may_link(least_percent))
+    return pairs.groupBy(F.col("x.node").alias("node_x"), F.col("y.node").alias("node_y")).agg(F.min("hub").alias("hub"))
+
+
+def _all_pairs(apart: DataFrame, least_percent: int) -> DataFrame:
+    """(hub, node_x, node_y): all that may be linked, of groups that pivots left in several components."""
+    x, y = (apart.select("hub", "element", F.struct(*SIDE).alias(side)) for side in "xy")
+    pairs = x.join(y, ["hub", "element"]).where((F.col("x.node") < F.col("y.node")) & _may_link(least_percent))
+    return pairs.groupBy(F.col("x.node").alias("node_x"), F.col("y.node").alias("node_y")).agg(F.min("hub").alias("hub"))
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, least_percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked, by their differences from their hub."""
     sides = [nodes.select("hub", F.col("node").alias(f"node_{s}"), F.col("size").alias(f"size_{s}"), F.col("d").alias(f"d_{s}"), F.col("differ").alias(f"differ_{s}")) for s in "xy"]
     both = pairs.join(sides[0], ["hub", "node_x"]).join(sides[1], ["hub", "node_y"])
     apart_by = F.col("d_x") + F.col("d_y") - 2 * F.size(F.array_intersect("differ_x", "differ_y"))
@@ -175,22 +229,44 @@ def _left_links(starred: DataFrame, joined: DataFrame, least_percent: int) -> Da
     return both.where(100 * (total - apart_by) >= least_percent * (total + apart_by)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
-def link_components(docs: DataFrame, members: DataFrame, links: DataFrame | None, least_percent: int, shingle: int) -> DataFrame:
+def _join_left(starred: DataFrame, joined: DataFrame, least_percent: int) -> DataFrame:
+    """``joined`` with the links between nodes of one hub that are in different components.
+
+    Groups of one component have nothing to find. Near copies of each other that their hub is not linked to are joined by a pivot
+    with one comparison each; only the groups that ``TURNS`` pivots leave in several components compare these in pairs.
+    """
+    nodes, first = _prefixes(starred, least_percent)
+    first = materialize(first)
+    for turn in range(TURNS + 1):
+        apart = materialize(_apart(first, joined))
+        if apart.isEmpty():
+            return joined
+        pairs = _pivot_pairs(apart, turn, least_percent) if turn < TURNS else _all_pairs(apart, least_percent)
+        found = materialize(_links(pairs, nodes, least_percent))
+        if turn < TURNS and found.isEmpty():  # pivots have nothing more to join
+            found = materialize(_links(_all_pairs(apart, least_percent), nodes, least_percent))
+            return joined if found.isEmpty() else components(joined.toDF("a", "b").union(found))
+        if not found.isEmpty():
+            joined = components(joined.toDF("a", "b").union(found))
+    return joined
+
+
+def link_components(
+    docs: DataFrame, members: DataFrame, minima: DataFrame, links: DataFrame | None, least_percent: int, shingle: int
+) -> DataFrame:
     """(node, component) for the nodes of confirmed links among ``members`` (bucket, node), and of the given links.
 
     A bucket does not emit its pairs. Its least node, the hub, is compared with the others. Nodes of one bucket that are then in
     different components are compared only where their differences from the hub allow a link; no proposed link is lost.
     """
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
-    star = members.join(hubs, "bucket").where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(
-        F.max(F.col("n") > 2).alias("wide")
-    )
-    starred = materialize(confirm(star, docs, least_percent, shingle))
+    star = members.join(hubs, "bucket").where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / TOGETHER))
+    star = materialize(star.select("a", "b", (F.col("n") > 2).alias("wide"), part.alias("part")))
+    starred = materialize(confirm(verified(star, minima, least_percent), docs, least_percent, shingle))
     found = starred.where("linked").select("a", "b")
-    links = found if links is None else links.union(found)
-    joined = components(links)
-    more = materialize(_left_links(starred, joined, least_percent))
-    return joined if more.isEmpty() else components(links.union(more))
+    joined = components(found if links is None else links.union(found))
+    return _join_left(starred, joined, least_percent)
 
 
 def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -198,7 +274,7 @@ def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, shingle, bands, rows))
     with_words = signed.where("set_key is not null")
-    classes = with_words.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"))
+    classes = with_words.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"), F.first("minima").alias("minima"))
     members = classes.where("node is not null").select("node", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("bucket")
     members = materialize(members.join(shared, "bucket").select("bucket", "node").distinct())
@@ -208,7 +284,7 @@ def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows
     links = None
     if not several.isEmpty():  # ids that come with several texts join the classes of these
         links = with_words.join(several, "doc_id").join(class_node, "set_key").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = link_components(docs, members, links, least_percent, shingle)
+    near = link_components(docs, members, classes.select("node", "minima"), links, least_percent, shingle)
     found = class_node.join(near, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_class"))
     component = F.coalesce("of_class", "doc_id")
     kept = F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
@@ -226,7 +302,8 @@ def near_duplicates(
     Documents are linked where 100 * intersection >= ``least_percent`` * union, confirmed on the full sets.
 
     Documents of one set form a class, for which its least id stands; classes share a bucket where all ``rows`` hash
-    minima of one of ``bands`` bands agree. Class members are not paired with each other.
+    minima of one of ``bands`` bands agree. Class members are not paired with each other. Two classes alone in their bucket are
+    compared in full where their signatures agree in enough places.
 
     A null text, an empty one or one of white space has no shingles and is linked with nothing. An id that comes with
     several texts is one node with the links of all of them. Rows without an id follow their class and are not kept; where
