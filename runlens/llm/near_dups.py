@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.words import WordHash, mixed, shingle_hashes, slices, whole_row
-from runlens.session import materialize
+from runlens.session import materialize, stored
 
 HELD = 1 << 18  # elements of differences that a task holds before it passes them on
 BANDS, ROWS = 30, 5  # a link of 0.8 is missed with a chance of 9e-6, one of 0.85 with 3e-8
 DEVIATIONS = 7  # a link has fewer equal minima than this many deviations below the mean with a chance below 1e-8
 TOGETHER = 512  # members of a bucket that meet one copy of their hub's text
-TURNS = 3  # pivots that the members of a group meet before those in different components meet each other
+PAIRED = 8  # members of a group that meet each other at once
+TURNS = 2  # pivots that the members of larger groups meet before those in different components meet each other
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +165,7 @@ def _bound(least_percent: int) -> float:
 
 
 def _prefixes(starred: DataFrame, least_percent: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their difference from their hub, and (hub, element, node, place) for the elements that decide whom they meet.
+    """Nodes with their difference from their hub, and per (hub, node) the elements, with their places, that decide whom it meets.
 
     ``starred`` is what ``confirm`` gives of (hub, node). With D the difference of a node from its hub, x and y
     must share at least (|D_x| + |D_y| - k (|x| + |y|)) / 2 elements of D_x and D_y, which is above 0 unless both are linked to the
@@ -183,17 +184,18 @@ def _prefixes(starred: DataFrame, least_percent: int) -> tuple[DataFrame, DataFr
     elements = nodes.where("prefix > 0").select("hub", "node", F.explode("differ").alias("element"))
     common = elements.groupBy("hub", "element").agg(F.count("*").alias("n"))
     ordered = elements.join(common, ["hub", "element"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("ordered"))
-    first = nodes.join(ordered, ["hub", "node"]).select(
-        "hub", "node", "linked", "size", "d", F.posexplode(F.slice("ordered", F.lit(1), F.col("prefix").cast("int"))).alias("place", "e")
-    ).where("e.n > 1").select("hub", F.col("e.element").alias("element"), "node", "linked", "size", "d", "place")
-    return nodes, first
+    first = F.transform(F.slice("ordered", F.lit(1), F.col("prefix").cast("int")), lambda e, i: F.struct(i.alias("place"), e["element"].alias("element"), e["n"].alias("n")))
+    rows = nodes.join(ordered, ["hub", "node"]).select("hub", "node", "linked", "size", "d", F.filter(first, lambda e: e["n"] > 1).alias("first"))
+    return nodes, rows.where(F.size("first") > 0)
 
 
-def _apart(first: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of those groups (hub, element) whose nodes are in more than one component, with their component."""
-    placed = first.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    groups = placed.groupBy("hub", "element").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    return placed.join(groups.select("hub", "element"), ["hub", "element"])
+def _apart(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """(hub, element, n, node, ...) of those groups (hub, element) whose n nodes are in more than one component, with their component."""
+    placed = rows.join(joined, "node", "left").select(
+        "hub", "node", "linked", "size", "d", F.coalesce("component", "node").alias("component"), F.explode("first").alias("e")
+    ).select("hub", "e.element", "node", "linked", "size", "d", "e.place", "component")
+    groups = placed.groupBy("hub", "element").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return placed.join(groups.where("low != high").select("hub", "element", "n"), ["hub", "element"])
 
 
 def _may_link(least_percent: int) -> Column:
@@ -210,18 +212,19 @@ def _pivot_pairs(apart: DataFrame, turn: int, least_percent: int) -> DataFrame:
     """(hub, node_x, node_y): one node of each group, another one each turn, and those it may be linked to. One comparison a row."""
     pivots = apart.groupBy("hub", "element").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), *SIDE)).alias("x"))
     pairs = apart.select("hub", "element", F.struct(*SIDE).alias("y")).join(pivots, ["hub", "element"]).where(_may_link(least_percent))
-    return pairs.groupBy(F.col("x.node").alias("node_x"), F.col("y.node").alias("node_y")).agg(F.min("hub").alias("hub"))
+    return pairs.select("hub", F.col("x.node").alias("node_x"), F.col("y.node").alias("node_y"))
 
 
 def _all_pairs(apart: DataFrame, least_percent: int) -> DataFrame:
-    """(hub, node_x, node_y): all that may be linked, of groups that pivots left in several components."""
+    """(hub, node_x, node_y): all nodes of one group that may be linked."""
     x, y = (apart.select("hub", "element", F.struct(*SIDE).alias(side)) for side in "xy")
     pairs = x.join(y, ["hub", "element"]).where((F.col("x.node") < F.col("y.node")) & _may_link(least_percent))
-    return pairs.groupBy(F.col("x.node").alias("node_x"), F.col("y.node").alias("node_y")).agg(F.min("hub").alias("hub"))
+    return pairs.select("hub", F.col("x.node").alias("node_x"), F.col("y.node").alias("node_y"))
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, least_percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by their differences from their hub."""
+    """The pairs (a, b) that are linked, by their differences from their hub. Stored first: where they are few, the differences stay in place."""
+    pairs = stored(pairs.groupBy("node_x", "node_y").agg(F.min("hub").alias("hub")), "pairs")
     sides = [nodes.select("hub", F.col("node").alias(f"node_{s}"), F.col("size").alias(f"size_{s}"), F.col("d").alias(f"d_{s}"), F.col("differ").alias(f"differ_{s}")) for s in "xy"]
     both = pairs.join(sides[0], ["hub", "node_x"]).join(sides[1], ["hub", "node_y"])
     apart_by = F.col("d_x") + F.col("d_y") - 2 * F.size(F.array_intersect("differ_x", "differ_y"))
@@ -232,23 +235,32 @@ def _links(pairs: DataFrame, nodes: DataFrame, least_percent: int) -> DataFrame:
 def _join_left(starred: DataFrame, joined: DataFrame, least_percent: int) -> DataFrame:
     """``joined`` with the links between nodes of one hub that are in different components.
 
-    Groups of one component have nothing to find. Near copies of each other that their hub is not linked to are joined by a pivot
-    with one comparison each; only the groups that ``TURNS`` pivots leave in several components compare these in pairs.
+    Groups of one component have nothing to find, groups of up to ``PAIRED`` nodes are compared in pairs. In larger ones,
+    near copies of each other that their hub is not linked to are joined by a pivot with one comparison each; only the groups
+    that ``TURNS`` pivots, or one that finds no link at all, leave in several components compare these in pairs.
     """
-    nodes, first = _prefixes(starred, least_percent)
-    first = materialize(first)
-    for turn in range(TURNS + 1):
-        apart = materialize(_apart(first, joined))
+    nodes, rows = _prefixes(starred, least_percent)
+    rows, turn = materialize(rows), 0
+    while True:
+        apart = materialize(_apart(rows, joined) if turn == 0 else _apart(rows, joined).where(F.col("n") > PAIRED))
         if apart.isEmpty():
             return joined
-        pairs = _pivot_pairs(apart, turn, least_percent) if turn < TURNS else _all_pairs(apart, least_percent)
+        if turn == 0:
+            pairs = _all_pairs(apart.where(F.col("n") <= PAIRED), least_percent)
+            if TURNS:
+                pairs = pairs.union(_pivot_pairs(apart.where(F.col("n") > PAIRED), turn, least_percent))
+        elif turn < TURNS:
+            pairs = _pivot_pairs(apart, turn, least_percent)
+        else:
+            pairs = _all_pairs(apart, least_percent)
         found = materialize(_links(pairs, nodes, least_percent))
-        if turn < TURNS and found.isEmpty():  # pivots have nothing more to join
-            found = materialize(_links(_all_pairs(apart, least_percent), nodes, least_percent))
-            return joined if found.isEmpty() else components(joined.toDF("a", "b").union(found))
         if not found.isEmpty():
             joined = components(joined.toDF("a", "b").union(found))
-    return joined
+        elif turn < TURNS:
+            turn = TURNS - 1  # more pivots would hardly find any
+        if turn >= max(TURNS, 1):
+            return joined
+        turn += 1
 
 
 def link_components(

@@ -64,7 +64,7 @@ def test_comparisons_grow_with_the_copies(spark, monkeypatch):
     assert totals[2] < 5 * totals[0], totals
 
 
-@pytest.mark.parametrize("turns", [0, 1, 3])
+@pytest.mark.parametrize("turns", [0, 1, 2])
 def test_pivots_change_no_component(spark, monkeypatch, turns):
     """Random families in one bucket: every number of pivot turns gives the components of all pairs."""
     draw = random.Random(11)
