@@ -19,7 +19,7 @@ BANDS, ROWS = 30, 5  # a link of 0.8 is missed with a chance of 9e-6, one of 0.8
 DEVIATIONS = 7  # a link has fewer equal minima than this many deviations below the mean with a chance below 1e-8
 TOGETHER = 512  # members of a bucket that meet one copy of their hub's text
 PAIRED = 8  # members of a group that meet each other at once
-TURNS = 2  # pivots that the members of larger groups meet before those in different components meet each other
+TURNS = 1  # pivots that the members of larger groups meet before those in different components meet each other
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +73,15 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
 
 
 def verified(pairs: DataFrame, minima: DataFrame, least_percent: int) -> DataFrame:
-    """Without the pairs that are not ``wide`` and whose signatures (node, minima) agree in too few places for a link.
+    """Without the pairs that are not ``wide`` and whose signatures (node, set_key, minima) agree in too few places for a link.
 
     The places of a link of share t that agree are at least n t in the mean; those ``DEVIATIONS`` standard deviations below leave.
     A wide pair stays: its difference tells how the members of its bucket stand to each other. Of a node with several
     signatures, the ones that agree most count.
     """
     narrow = pairs.where("not wide")
+    wanted = narrow.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    minima = minima.join(wanted, "node", "left_semi").dropDuplicates(["node", "set_key"])
     first, second = (minima.select(F.col("node").alias(c), F.col("minima").alias(f"minima_{c}")) for c in "ab")
     n, t = F.size("minima_a"), least_percent / 100
     agree = F.size(F.filter(F.arrays_zip("minima_a", "minima_b"), lambda m: m["minima_a"] == m["minima_b"]))
@@ -232,6 +234,15 @@ def _links(pairs: DataFrame, nodes: DataFrame, least_percent: int) -> DataFrame:
     return both.where(100 * (total - apart_by) >= least_percent * (total + apart_by)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """``joined`` after further links. Only the components that they touch are nodes of the graph that is searched."""
+    ends = [joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
+    touched = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    roots = stored(components(touched), "roots")
+    moved = joined.join(roots.toDF("component", "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return moved.union(roots.select("node", "component"))
+
+
 def _join_left(starred: DataFrame, joined: DataFrame, least_percent: int) -> DataFrame:
     """``joined`` with the links between nodes of one hub that are in different components.
 
@@ -255,7 +266,7 @@ def _join_left(starred: DataFrame, joined: DataFrame, least_percent: int) -> Dat
             pairs = _all_pairs(apart, least_percent)
         found = materialize(_links(pairs, nodes, least_percent))
         if not found.isEmpty():
-            joined = components(joined.toDF("a", "b").union(found))
+            joined = _merged(joined, found)
         elif turn < TURNS:
             turn = TURNS - 1  # more pivots would hardly find any
         if turn >= max(TURNS, 1):
@@ -274,7 +285,7 @@ def link_components(
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
     star = members.join(hubs, "bucket").where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / TOGETHER))
-    star = materialize(star.select("a", "b", (F.col("n") > 2).alias("wide"), part.alias("part")))
+    star = stored(star.select("a", "b", (F.col("n") > 2).alias("wide"), part.alias("part")), "star")
     starred = materialize(confirm(verified(star, minima, least_percent), docs, least_percent, shingle))
     found = starred.where("linked").select("a", "b")
     joined = components(found if links is None else links.union(found))
@@ -286,7 +297,7 @@ def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, shingle, bands, rows))
     with_words = signed.where("set_key is not null")
-    classes = with_words.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"), F.first("minima").alias("minima"))
+    classes = with_words.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"))
     members = classes.where("node is not null").select("node", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("bucket")
     members = materialize(members.join(shared, "bucket").select("bucket", "node").distinct())
@@ -296,7 +307,8 @@ def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows
     links = None
     if not several.isEmpty():  # ids that come with several texts join the classes of these
         links = with_words.join(several, "doc_id").join(class_node, "set_key").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = link_components(docs, members, classes.select("node", "minima"), links, least_percent, shingle)
+    minima = with_words.where("doc_id is not null").select(F.col("doc_id").alias("node"), "set_key", "minima")
+    near = link_components(docs, members, minima, links, least_percent, shingle)
     found = class_node.join(near, "node", "left").select("set_key", F.coalesce("component", "node").alias("of_class"))
     component = F.coalesce("of_class", "doc_id")
     kept = F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))

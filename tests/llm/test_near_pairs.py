@@ -47,7 +47,7 @@ def work(spark, monkeypatch, n, least_percent=85):
     rows = family(n)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     members = docs.select(F.lit(1).alias("bucket"), F.col("doc_id").alias("node"))
-    minima = docs.limit(0).select(F.col("doc_id").alias("node"), F.array(F.lit(1).cast("short")).alias("minima"))
+    minima = docs.limit(0).select(F.col("doc_id").alias("node"), F.lit(b"").alias("set_key"), F.array(F.lit(1).cast("short")).alias("minima"))
     out = near_dups.link_components(docs, members, minima, None, least_percent, 5)
     found = {r.node: r.component for r in out.collect()}
     monkeypatch.undo()
@@ -94,7 +94,7 @@ def test_pivots_change_no_component(spark, monkeypatch, turns):
                 parent[high] = low
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     members = docs.select(F.lit(1).alias("bucket"), F.col("doc_id").alias("node"))
-    minima = docs.limit(0).select(F.col("doc_id").alias("node"), F.array(F.lit(1).cast("short")).alias("minima"))
+    minima = docs.limit(0).select(F.col("doc_id").alias("node"), F.lit(b"").alias("set_key"), F.array(F.lit(1).cast("short")).alias("minima"))
     monkeypatch.setattr(near_dups, "TURNS", turns)
     found = {r.node: r.component for r in near_dups.link_components(docs, members, minima, None, 80, 5).collect()}
     assert [found.get(i, i) for i in range(len(texts))] == [root(i) for i in range(len(texts))]
@@ -102,7 +102,7 @@ def test_pivots_change_no_component(spark, monkeypatch, turns):
 
 def test_signatures_drop_only_the_hopeless(spark):
     one, near, far = list(range(150)), list(range(120)) + [-1] * 30, list(range(60)) + [-1] * 90
-    minima = spark.createDataFrame([(1, one), (2, near), (3, far)], "node long, minima array<short>")
+    minima = spark.createDataFrame([(1, b"1", one), (2, b"2", near), (2, b"2", near), (3, b"3", far)], "node long, set_key binary, minima array<short>")
     pairs = spark.createDataFrame([(1, 2, False, 0), (1, 3, False, 0), (2, 3, True, 0)], "a long, b long, wide boolean, part long")
     kept = near_dups.verified(pairs, minima, 80).select("a", "b").collect()
     assert {tuple(r) for r in kept} == {(1, 2), (2, 3)}
