@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: stages in order, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: stages in order, each written as Parquet and read again by the next.
+
+Every stage takes an empty table (no rows come out), null or repeated ids, repeated rows, null, empty and very long texts, and
+extra columns, which all stages but the last return; what becomes of such rows is said at each stage.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +13,12 @@ from runlens.session import scratch_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts have fewer than ten words and go."""
     return quality_rules.keep_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; of repeated rows, one. Documents without words stay."""
     return near_dups.drop_near_duplicates(docs)
 
 
@@ -24,7 +28,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole and partial documents in the proportions of the source weights."""
+    """Whole and partial documents in the proportions of the source weights. Documents without words leave; no column may be named ``__round``."""
     return mixing.mix_documents(docs)
 
 
