@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,6 @@ TAGS = ("mac_rx", "l1_powers", "pdcp_rx", "rlc_rx", "mac_tx")
 TAG_SQL = """case event_type when 'click' then 'mac_rx' when 'view' then 'l1_powers' when 'error' then 'pdcp_rx'
  when 'signup' then 'rlc_rx' else 'mac_tx' end"""
 MEASUREMENTS = ("mean value", "event id")
-KEYS = ["tranche", "session", "run_id", "file"]
 
 
 def _written(load: Tables, name: str, write) -> str:
@@ -42,36 +42,58 @@ def _written(load: Tables, name: str, write) -> str:
     return path
 
 
-def raw_tree(load: Tables) -> str:
-    """A raw tree in which on and off runs have different headers.
+def write_lines(rows: DataFrame, order: list[str], root: str) -> None:
+    """Write a CSV per folder and task: ``rows`` holds folder, header and line, and the columns in ``order``. The tasks make the folders.
 
-    Rows are range-partitioned, so a huge group becomes several part files in order.
+    Rows are range-partitioned, so a huge folder becomes several part files in order. A task that is run again writes the same names.
     """
-    def write(path: str) -> None:
-        folders = load(FOLDERS).select(
-            "run_no", "tranche", "session", F.col("run_name").alias("run_id"),
-            F.substring("file_stem", 1, 13).alias("prefix"),
-        )
-        rows = load(RAW).join(folders, "run_no").select(
-            "tranche", "session", "run_id", F.concat_ws("_", "prefix", "grp").alias("file"),
-            F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("Time us"),
-            F.col("value").alias("Mean Value"), F.col("event_id").alias("Event ID"),
-            F.lit("x").alias("Note"),
-        )
-        order = [*KEYS, "Time us", "Event ID"]
-        spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        upper = F.lower("run_id").startswith("cipheron")
-        layouts = {
-            True: ["Time us", "Mean Value", "Event ID"],
-            False: ["Note", "Event ID", "Mean Value", "Time us"],
-        }
-        for on, columns in layouts.items():
-            (
-                spread.where(upper if on else ~upper).select(*KEYS, *columns)
-                .write.mode("append").partitionBy(*KEYS).option("header", "true").csv(path)
-            )
-
-    return _written(load, "raw", write)
+    base = files.root_uri(rows.sparkSession, root)
+
+    def write(batches):
+        at, out = None, None
+        for batch in batches:
+            for folder, own in batch.groupby("folder", sort=False):
+                if folder != at:
+                    if out:
+                        out.close()
+                    filesystem, path = files.located(f"{base}{folder}")
+                    filesystem.create_dir(path)
+                    out = filesystem.open_output_stream(f"{path}/part-{TaskContext.get().partitionId():05d}.csv")
+                    out.write(f"{own['header'].iloc[0]}\n".encode())
+                    at = folder
+                out.write("".join(f"{line}\n" for line in own["line"]).encode())
+            yield batch[["folder"]].iloc[:0]
+        if out:
+            out.close()
+
+    spread = rows.repartitionByRange(files.n_tasks(rows.sparkSession), "folder", *order).sortWithinPartitions("folder", *order)
+    spread.select("folder", "header", "line").mapInPandas(write, "folder string").write.format("noop").mode("overwrite").save()
+
+
+def raw_tree(load: Tables) -> str:
+    """A raw tree in which on and off runs have different headers."""
+    folders = load(FOLDERS).select(
+        "run_no", "tranche", "session", F.col("run_name").alias("run_id"),
+        F.substring("file_stem", 1, 13).alias("prefix"),
+    )
+    cells = {
+        "Time us": F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"), "Mean Value": F.col("value"),
+        "Event ID": F.col("event_id"), "Note": F.lit("x"),
+    }
+    upper = F.lower("run_id").startswith("cipheron")
+    layouts = {
+        True: ["Time us", "Mean Value", "Event ID"],
+        False: ["Note", "Event ID", "Mean Value", "Time us"],
+    }
+    lines = {on: F.concat_ws(",", *[F.coalesce(cells[c].cast("string"), F.lit("")) for c in names]) for on, names in layouts.items()}
+    keys = {"tranche": F.col("tranche"), "session": F.col("session"), "run_id": F.col("run_id"), "file": F.concat_ws("_", "prefix", "grp")}
+    rows = load(RAW).join(folders, "run_no").select(
+        F.concat_ws("/", *[F.concat(F.lit(f"{k}="), v) for k, v in keys.items()]).alias("folder"),
+        F.when(upper, ",".join(layouts[True])).otherwise(",".join(layouts[False])).alias("header"),
+        F.when(upper, lines[True]).otherwise(lines[False]).alias("line"),
+        cells["Time us"].alias("us"), "event_id",
+    )
+    return _written(load, "raw", lambda path: write_lines(rows, ["us", "event_id"], path))
 
 
 @query("src_run_tree", f"""select f.tranche, f.session, f.run_name as run_id, {TAG_SQL} as tag

@@ -1,6 +1,6 @@
 """Measurement-group CSVs whose headers differ from file to file.
 
-One scan reads every file under generic column names; each file's own header, joined by
+Every file is read under generic column names; each file's own header, joined by
 path, says which cell holds which measurement. No list of paths passes the driver, and a
 group written in several parts reads like one file.
 """
@@ -17,7 +17,7 @@ from runlens.functions.names import normalize_text, sanitize_name
 from runlens.functions.stats import number
 from runlens.operators.ordinal import join_on
 from runlens.operators.trim import row_trim
-from runlens.sources.csv_ranges import RANGE_BYTES, read_ranges
+from runlens.sources.csv_ranges import RANGE_BYTES, read_ranges, read_small
 from runlens.sources.files import file_uri
 
 FILE = ["tranche", "session", "run_id", "tag", "stem"]  # two groups can share a tag; a file is its stem
@@ -56,7 +56,7 @@ def group_files(root: str, tags: Iterable[str], partitioned: bool = False) -> tu
 def read_cells(spark: SparkSession, path: str, width: int, pattern: str = "*.csv", most: int | None = None) -> DataFrame:
     """Rows (uri, block, line, cells) of all files, or of those of ``most`` bytes, in their order by (uri, block, line).
 
-    Cells may hold quoted line breaks, so a file is read by one task; larger ones are for ``csv_ranges``.
+    Cells may hold quoted line breaks, so a file is read by one task. It is Spark's own reader, for a check of ``csv_ranges`` and for few files.
     """
     columns = [f"c{i}" for i in range(width)]
     raw = (
@@ -129,7 +129,8 @@ def read_groups(
 ) -> DataFrame:
     """Rows (file keys, position, values, times) of the wanted groups.
 
-    A file of more than ``range_bytes`` is read by ranges, each a block of its own. So a (uri, block) is bounded.
+    A file of more than ``range_bytes`` is read by ranges, each a block of its own. So a (uri, block) is bounded. Only the files of
+    ``tree`` are opened, and the tasks deal them out: nothing is listed again below ``root``, and no list of files is on the driver.
 
     ``values`` holds doubles in the order of ``columns[tag]``; a name that a file lacks is
     null. ``times`` holds the file's columns that may be its clock, in header order.
@@ -145,9 +146,8 @@ def read_groups(
             lambda s: s["name"].contains("time"),
         ).alias("clocks"),
     )
-    path, pattern = group_files(root, columns, partitioned)
-    large = chosen.where(F.col("length") > range_bytes).select("uri", "length")
-    read = read_cells(spark, path, width, pattern, range_bytes).unionByName(read_ranges(large, width, range_bytes))
+    large = F.col("length") > range_bytes
+    read = read_small(described.where(~large), width).unionByName(read_ranges(described.where(large).select("uri", "length"), width, range_bytes))
     cells = read.join(places, "uri")
     return cells.select(
         *FILE, *POSITION,

@@ -18,13 +18,14 @@ import pyarrow.csv
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.sources.files import _open
+from runlens.sources.files import _open, n_tasks
 
 RANGE_BYTES = 32 << 20
 READ_ON = 1 << 16  # bytes read at a time beyond a range, up to the end of its last record
 BATCH_ROWS = 10_000
 BLOCK_ROWS = 1_000_000  # rows of a block where a file has to be read as one
 QUOTE, COMMA, LINE, RETURN = (ord(c) for c in '",\n\r')
+CELLS = "uri string, block long, line long, cells array<string>"
 SURVEY = "uri string, begin long, stop long, length long, flips boolean, outside struct<records: long, odd: boolean>, inside struct<records: long, odd: boolean>"
 
 
@@ -163,6 +164,62 @@ def cells_of(data: bytes, width: int, header: bool) -> Iterator[pa.Array]:
     yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.concat_arrays(columns).take(pa.array(order)))
 
 
+def whole_records(data: bytes) -> bytes | None:
+    """The records of a whole file in the form of ``own_records``; nothing where its quotes are odd or lines end in a carriage return alone."""
+    if b'"' not in data and b"\r" not in data:
+        return data
+    own = data[3 * data.startswith(b"\xef\xbb\xbf") :]
+    if scan(own, LINE, LINE)[1][0][1]:
+        return None
+    raw = np.frombuffer(own, np.uint8)
+    quotes, lines = np.flatnonzero(raw == QUOTE), np.flatnonzero(raw == LINE)
+    breaks = lines[(np.searchsorted(quotes, lines) & 1) == 0]
+    ended = len(breaks) and breaks[0] and own[int(breaks[0]) - 1] == RETURN
+    return own.replace(b"\r\n", b"\n") if ended else own
+
+
+def _cells_frame(uri: str, block: int, line: int, cells: pa.Array) -> pa.RecordBatch:
+    n = len(cells)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([uri] * n, pa.string()), pa.array(np.full(n, block)), pa.array(np.arange(line, line + n)), cells], ["uri", "block", "line", "cells"]
+    )
+
+
+def read_small(files: DataFrame, width: int) -> DataFrame:
+    """The rows of ``read_ranges`` for files (uri) that are read at once: a file is one block, and a task reads many.
+
+    Spark's reader plans by files on the driver and lets each weigh 4 MB, so a tree of small files costs a task for every 32 of them.
+    """
+
+    def parts(uri: str) -> Iterator[pa.RecordBatch]:
+        with _open(uri) as file:
+            data = file.read()
+        records, line = whole_records(data), 0
+        if records is None:
+            found = _plain(io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", "replace", newline=""), width, True)
+        else:
+            found = cells_of(records, width, True)
+        for cells in found:
+            yield _cells_frame(uri, line // BLOCK_ROWS if records is None else 0, line, cells)
+            line += len(cells)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for batch in batches:
+            for uri in batch.column("uri").to_pylist():
+                for part in parts(uri):
+                    waiting.append(part)
+                    n += len(part)
+                    if n >= BATCH_ROWS:
+                        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                        waiting, n = [], 0
+        if waiting:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+    dealt = files.select("uri").repartition(n_tasks(files.sparkSession), "uri")
+    return dealt.mapInArrow(parse, CELLS)
+
+
 def read_ranges(files: DataFrame, width: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows (uri, block, line, cells) of ``files`` (uri, length), in their order by (uri, block, line); the header is left out.
 
@@ -179,19 +236,13 @@ def read_ranges(files: DataFrame, width: int, range_bytes: int = RANGE_BYTES) ->
                     with _open(r["uri"]) as file:
                         text = io.TextIOWrapper(io.BufferedReader(file), "utf-8-sig", "replace", newline="")
                         for cells in _plain(text, width, True):
-                            yield rows(r["uri"], line // BLOCK_ROWS, line, cells)
+                            yield _cells_frame(r["uri"], line // BLOCK_ROWS, line, cells)
                             line += len(cells)
                     continue
                 data = own_records(r["uri"], r["begin"], r["stop"], r["length"], r["quoted"])
                 for cells in cells_of(data, width, r["begin"] == 0):
-                    yield rows(r["uri"], r["begin"], line, cells)
+                    yield _cells_frame(r["uri"], r["begin"], line, cells)
                     line += len(cells)
 
-    def rows(uri: str, block: int, line: int, cells: pa.Array) -> pa.RecordBatch:
-        n = len(cells)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([uri] * n, pa.string()), pa.array(np.full(n, block)), pa.array(np.arange(line, line + n)), cells], ["uri", "block", "line", "cells"]
-        )
-
     states = entered(survey(file_ranges(files, range_bytes).repartition("uri", "begin")))
-    return states.repartition("uri", "begin").mapInArrow(parse, "uri string, block long, line long, cells array<string>")
+    return states.repartition("uri", "begin").mapInArrow(parse, CELLS)

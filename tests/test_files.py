@@ -336,3 +336,22 @@ def test_versioned_ingest(spark, root, tmp_path):
     assert all(r.parquet_size_bytes > 0 and any(u.startswith(r.parquet_path + "/") for u in listed) for r in ok.values())
     assert {r.run_id for r in versions.read(spark, f"{out}/quarantine").collect()} == {"cipheron_4", "cipher_7", "CipherOff_8"}
     assert versions.read(spark, f"{out}/bronze").groupBy("run_id").count().count() == 3
+
+
+def test_small_files_are_dealt_out_in_few_tasks(spark, tmp_path):
+    """Many small files make no more tasks than the cores ask for, and no list of them on the driver."""
+    folder = tmp_path / "Tranche_A" / "Session_1"
+    for i in range(150):
+        run = folder / f"cipheron_{i}" / "traffic_generator"
+        run.mkdir(parents=True)
+        (run / f"220909_125427_{MAC}.csv").write_text(f"Time,PDU Size\n0,{i}\n")
+    listed = files.list_files(spark, str(tmp_path), "*.csv")
+    spark_lists = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select(files.file_uri(), "length")
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, spark_lists.collect())) and listed.count() == 150
+    assert files.list_files(spark, str(tmp_path), "*.txt").count() == 0
+    tree = files.run_tree(listed)
+    headers = files.csv_headers(tree)
+    rows = csv_groups.read_groups(spark, str(tmp_path), tree, headers, {"mac_rx": ["pdu size"]})
+    assert sorted(r["values"][0] for r in rows.collect()) == [float(i) for i in range(150)]
+    assert headers.rdd.getNumPartitions() == files.n_tasks(spark)
+    assert not [f for f in rows.inputFiles() if f.endswith(".csv")]
