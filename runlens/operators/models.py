@@ -18,6 +18,7 @@ TRAIN, TEST = ("Tranche_B",), ("Tranche_A", "Tranche_C")
 # Settings of the planned models. 30 is the deepest tree Spark ML grows.
 MAX_ITER, INVERSE_PENALTY = 1000, 1.0
 TREES, DEPTH = 200, 30
+NODES_MB = 512  # counts of the nodes that are split in one pass, in a task
 
 
 def split_tranches(
@@ -60,8 +61,11 @@ def fit_logistic(train: DataFrame, features: Sequence[str]) -> PipelineModel:
 def fit_random_forest(
     train: DataFrame, features: Sequence[str], trees: int = TREES, depth: int = DEPTH, seed: int = 42
 ) -> PipelineModel:
+    """Rows keep their nodes, so the growing trees are not sent to the tasks and walked at every level; with ``NODES_MB`` a level of
+    many nodes takes few passes over the rows."""
     model = RandomForestClassifier(
-        labelCol="target", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
+        labelCol="target", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed,
+        cacheNodeIds=True, checkpointInterval=-1, maxMemoryInMB=NODES_MB,
     )
     return Pipeline(stages=[assembler(features), model]).fit(with_target(train))
 

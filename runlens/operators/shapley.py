@@ -8,8 +8,9 @@ means over the background: nothing is sampled, and no set of features is enumera
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -62,29 +63,53 @@ def forest_leaves(nodes: DataFrame) -> DataFrame:
     return nodes.select("tree", "node", "feature", "threshold", "left", "right", "value").groupBy("tree").applyInPandas(paths, LEAF_SCHEMA)
 
 
-def contributions(own: np.ndarray, base: np.ndarray, leaves: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray, float]:
+def _patterns(met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of a table of bits: packed in words, as they are, the row's number among them, and how often each is there."""
+    n, width = met.shape
+    words = -(-width // 64)
+    packed = np.zeros((n, words * 8), np.uint8)
+    packed[:, : -(-width // 8)] = np.packbits(met, axis=1, bitorder="little")
+    packed = packed.view(np.uint64)
+    if words == 1:
+        _, first, place, times = np.unique(packed[:, 0], return_index=True, return_inverse=True, return_counts=True)
+    else:
+        _, first, place, times = np.unique(packed, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return packed[first], met[first], place.ravel(), times
+
+
+def contributions(own: np.ndarray, base: np.ndarray, leaves: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray, float]:
     """Values (rows of ``own`` by features), scores, and the mean score of ``base``, summed over the leaves (value, features, low, high).
 
-    Rows that meet the same bounds of a leaf share their values, so a leaf costs its distinct patterns.
+    Rows that meet the same bounds of a leaf share their values, so a leaf costs its distinct patterns, and of their pairs those that reach it.
     """
     out, score, mean = np.zeros(own.shape), np.zeros(len(own)), 0.0
     for value, features, low, high in leaves:
-        mine = (own[:, features] > low) & (own[:, features] <= high)
-        theirs = (base[:, features] > low) & (base[:, features] <= high)
+        if not len(features):
+            score += value
+            mean += value
+            continue
+        mine, theirs = own[:, features], base[:, features]
+        mine, theirs = (mine > low) & (mine <= high), (theirs > low) & (theirs <= high)
         score += value * mine.all(axis=1)
         mean += value * theirs.all(axis=1).mean()
-        if not len(features):
+        a_words, a, place, _ = _patterns(mine)
+        b_words, b, _, times = _patterns(theirs)
+        whole = _patterns(np.ones((1, len(features)), bool))[0][0]
+        x, z = np.nonzero(((a_words[:, None] | b_words[None]) == whole).all(axis=2))  # x in order
+        if not len(x):
             continue
-        a, place = np.unique(mine, axis=0, return_inverse=True)
-        b, times = np.unique(theirs, axis=0, return_counts=True)
-        only_x, only_z = a[:, None] & ~b[None], b[None] & ~a[:, None]
-        n_x, n_z = only_x.sum(axis=2), only_z.sum(axis=2)
-        reached = (a[:, None] | b[None]).all(axis=2) * (times / len(base) * value)
-        ways = reached / _FACTORIAL[n_x + n_z]
+        only_x, only_z = a[x] & ~b[z], b[z] & ~a[x]
+        n_x, n_z = only_x.sum(axis=1), only_z.sum(axis=1)
+        ways = times[z] / len(base) * value / _FACTORIAL[n_x + n_z]
         gain = ways * _FACTORIAL[np.maximum(n_x - 1, 0)] * _FACTORIAL[n_z]
         loss = ways * _FACTORIAL[n_x] * _FACTORIAL[np.maximum(n_z - 1, 0)]
-        shares = (only_x * gain[..., None]).sum(axis=1) - (only_z * loss[..., None]).sum(axis=1)
-        out[:, features] += shares[place.ravel()]
+        reaching, starts = np.unique(x, return_index=True)
+        shares = np.zeros(a.shape)
+        shares[reaching] = np.add.reduceat(only_x * gain[:, None] - only_z * loss[:, None], starts, axis=0)
+        touched = np.zeros(len(a), bool)
+        touched[reaching] = True
+        rows = np.flatnonzero(touched[place])
+        out[np.ix_(rows, features)] += shares[place[rows]]
     return out, score, mean
 
 
@@ -92,25 +117,36 @@ def explain(vectors: DataFrame, run: str, leaves: DataFrame, background: DataFra
     """Rows (run, score, base, values): the ensemble's mean score of each run, of the background, and a Shapley value per feature.
 
     ``vectors`` and ``background`` hold ``own``, the features as an array. A run's values add up to its score minus the base. The leaves go to
-    every task, as Spark ML ships the model they are from; the background is a few runs. Runs are handled where they are.
+    every task, as Spark ML ships the model they are from; the background is a few runs. Runs are dealt out over the cores: each costs all leaves.
     """
-    packed = [(r.value, np.array(r.features, int), np.array(r.low), np.array(r.high)) for r in leaves.orderBy("tree", "features", "low", "high").collect()]
+    table = leaves.orderBy("tree", "features", "low", "high").select("value", "features", "low", "high").toArrow().combine_chunks()
+    flat = {name: table[name].combine_chunks() for name in ("features", "low", "high")}
+    packed = (table["value"].to_numpy(), flat["features"].offsets.to_numpy(), *[flat[name].values.to_numpy() for name in flat]) if len(table) else None
     base = np.array([r.own for r in background.select("own").collect()], float)
     shared = vectors.sparkSession.sparkContext.broadcast((packed, base))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaves, base = shared.value
+        packed, base = shared.value
+
+        def leaves() -> Iterator[tuple]:
+            if packed is None:
+                return
+            value, ends, features, low, high = packed
+            for i, (a, b) in enumerate(itertools.pairwise(ends)):
+                yield value[i], features[a:b], low[a:b], high[a:b]
+
         for batch in batches:
             if not len(batch):
                 continue
-            values, scores, mean = contributions(np.stack(batch["own"].to_numpy()), base, leaves)
+            values, scores, mean = contributions(np.stack(batch["own"].to_numpy()), base, leaves())
             yield pd.DataFrame({run: batch[run], "score": scores / trees, "base": mean / trees, "values": list(values / trees)})
 
     kind = dict(vectors.dtypes)[run]
     schema = f"`{run}` {kind}, score double, base double, values array<double>"
     if not len(base):
         return vectors.sparkSession.createDataFrame([], schema)
-    return vectors.select(run, "own").mapInPandas(score, schema)
+    dealt = vectors.select(run, "own").repartition(vectors.sparkSession.sparkContext.defaultParallelism, run)  # a run costs all leaves
+    return dealt.mapInPandas(score, schema)
 
 
 def forest_shapley(model: PipelineModel, df: DataFrame, run: str, background: DataFrame | None = None, seed: int = 42) -> DataFrame:

@@ -95,3 +95,21 @@ def test_fitted_forest(spark):
     assert max(table, key=table.get) == "signal"
     long = shapley.values_by_feature(explained, "run_id", names).groupBy("feature").agg(F.avg(F.abs("value")).alias("m"))
     assert {r.feature: pytest.approx(r.m) for r in long.collect()} == table
+
+
+def test_equal_bits_are_one_pattern():
+    """Rows that meet the same bounds are one pattern, on paths of more features than a word has bits too."""
+    rng = np.random.default_rng(3)
+    for width in (3, 64, 70):
+        met = rng.random((12, width)) < 0.7
+        met[6:] = met[:6]
+        words, rows, place, times = shapley._patterns(met)
+        assert len(words) == len(np.unique(met, axis=0)) and times.sum() == 12 and (rows[place] == met).all()
+
+
+def test_forest_keeps_its_rows_nodes(spark):
+    """Growing trees are not shipped to the tasks at every level, and a level is split in few passes."""
+    rows = [(f"r{i}", "on" if i % 2 else "off", float(i % 7), float(i % 5)) for i in range(60)]
+    fitted = models.fit_random_forest(spark.createDataFrame(rows, "run_id string, cipher_state string, a double, b double"), ["a", "b"], trees=5, depth=4)
+    forest = fitted.stages[-1]
+    assert forest.getOrDefault("cacheNodeIds") and forest.getOrDefault("maxMemoryInMB") == models.NODES_MB
