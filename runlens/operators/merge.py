@@ -55,7 +55,7 @@ def merge_long(
     floor = shortest_group(group_sizes(df, run, group), run)
     keys = [*run, group]
     ordered = split_places(df, keys, split, order) if split else row_ordinal(df, keys, order)
-    placed = join_on(ordered, floor, run)
+    placed = join_on(ordered, floor, run, spread=True)
     kept = placed.where(F.col("ordinal") < F.col("min_rows"))
     return kept.groupBy(*run, "ordinal").agg(*columns)
 

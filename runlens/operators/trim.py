@@ -38,7 +38,7 @@ def row_trim(
         placed = split_places(df, keys, split, order, "_place", "_rows")
     else:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        placed = join_on(row_ordinal(df, keys, order, "_place"), sizes, keys)
+        placed = join_on(row_ordinal(df, keys, order, "_place"), sizes, keys, spread=True)
     cut = edge_rows(F.col("_rows"))
     kept = (F.col("_place") >= cut) & (F.col("_place") < F.col("_rows") - cut)
     return placed.where(kept).drop("_place", "_rows")

@@ -77,7 +77,7 @@ def ingest(
     )
     manifest = write_failures(build_manifest(label_lookup(runs, table), measured, min_rows), failures)
     identity = ok_runs(manifest).select(*IDENTITY)
-    bronze = join_on(merged, identity, RUN).select(
+    bronze = join_on(merged, identity, RUN, spread=True).select(
         *identity.columns, "ordinal", *[c for c in merged.columns if "__" in c]
     )
     return Ingested(bronze, manifest)

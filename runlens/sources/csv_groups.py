@@ -31,7 +31,7 @@ def header_names(files: DataFrame, headers: DataFrame) -> DataFrame:
         "uri", F.transform("names", normalize_text).alias("names")
     )
     clean = F.transform("names", lambda n: F.regexp_replace(n, "[^a-z0-9_]", "_"))
-    return files.join(readable.withColumn("clean", clean), "uri")
+    return files.hint("merge").join(readable.withColumn("clean", clean), "uri")
 
 
 def group_files(root: str, tags: Iterable[str], partitioned: bool = False) -> tuple[str, str]:
@@ -148,7 +148,7 @@ def read_groups(
     )
     large = F.col("length") > range_bytes
     read = read_small(described.where(~large), width).unionByName(read_ranges(described.where(large).select("uri", "length"), width, range_bytes))
-    cells = read.join(places, "uri")
+    cells = read.hint("merge").join(places, "uri")  # Spark takes the rows that a task reads to be no larger than the names of their files
     return cells.select(
         *FILE, *POSITION,
         F.transform("places", lambda p: number(F.get("cells", p - 1))).alias("values"),
@@ -191,11 +191,11 @@ def trim_groups(
     ``rows`` is read several times: hand in a stored table.
     """
     known = clocks(rows)
-    clocked = rows.join(known, FILE)
+    clocked = rows.hint("merge").join(known, FILE)  # the rows may be alike: see join_on
     now = F.filter("times", lambda t: t["name"] == F.col("clock.name"))[0]["text"]
     inside = number(now).between(F.col("clock.first") + seconds, F.col("clock.last") - seconds)
     by_time = clocked.where(inside).select(*FILE, *POSITION, "values")
-    unclocked = join_on(rows, known, FILE, "left_anti").select(*FILE, *POSITION, "values")
+    unclocked = join_on(rows, known, FILE, "left_anti", spread=True).select(*FILE, *POSITION, "values")
     return by_time.unionByName(row_trim(unclocked, FILE, LINE, SPLIT))
 
 

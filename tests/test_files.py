@@ -8,7 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import quality
+from runlens.operators.manifest import RUN
+from runlens.operators.merge import merge_long
 from runlens.plans.ingest import finish_manifest, ingest, ingest_to
+from runlens.session import stored
 from runlens.sources import csv_groups, files, label_db, tables, versions
 
 MAC, PDCP = "UECOMBINED_MACRXSTATS_ALL", "UECOMBINED_PDCPRXSTATS_ALL"
@@ -355,3 +358,18 @@ def test_small_files_are_dealt_out_in_few_tasks(spark, tmp_path):
     assert sorted(r["values"][0] for r in rows.collect()) == [float(i) for i in range(150)]
     assert headers.rdd.getNumPartitions() == files.n_tasks(spark)
     assert not [f for f in rows.inputFiles() if f.endswith(".csv")]
+
+
+def test_rows_of_files_are_not_broadcast(spark, tmp_path):
+    """Spark takes parsed rows to be as small as the names of their files, and a stored step as small as its compressed files."""
+    run = tmp_path / "Tranche_A" / "Session_1" / "cipheron_1" / "traffic_generator"
+    run.mkdir(parents=True)
+    (run / f"220909_125427_{MAC}.csv").write_text("Time,PDU Size\n" + "1,1\n" * 500)
+    (run / f"220909_125427_{PDCP}.csv").write_text("PDU Size\n" + "1\n" * 500)
+    tree = files.run_tree(files.list_files(spark, str(tmp_path), "*.csv"))
+    rows = csv_groups.read_groups(spark, str(tmp_path), tree, files.csv_headers(tree), {"mac_rx": ["pdu size"], "pdcp_rx": ["pdu size"]})
+    trimmed = csv_groups.trim_groups(stored(rows, "rows"), 0)
+    merged = merge_long(stored(trimmed, "trimmed"), RUN, "tag", csv_groups.LINE, "values", ["mac_rx", "pdcp_rx"], csv_groups.SPLIT)
+    for step, n in ((rows, 1000), (trimmed, 950), (merged, 450)):
+        assert len(step.collect()) == n
+        assert "BroadcastHashJoin" not in step._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
