@@ -125,11 +125,12 @@ def score_forest(
 def path_scores(df: DataFrame, nodes: DataFrame, run: str, features: Sequence[str], sample: int = SAMPLE) -> DataFrame:
     """Rows (run, score): the scores of ``score_forest``, by joining runs to nodes level by level.
 
-    All trees of a run are walked at once; a walk ends where it is at a leaf. It is the plain form, for a check.
+    All trees of a run are walked at once; a walk ends where it is at a leaf. It is the plain form, for a check. The nodes are
+    broadcast, within the bound of a forest; runs times trees are never shuffled, only their sums are.
     """
-    inner = nodes.select("tree", "node", "feature", "threshold", "left", "right")
+    inner = F.broadcast(nodes.select("tree", "node", "feature", "threshold", "left", "right"))
     deepest, used = nodes.agg(F.max("depth"), F.max(F.when(F.col("node") == 0, F.col("size")))).first()
-    at = df.select(run, F.array(*[F.col(f).cast("double") for f in features]).alias("x")).join(nodes.where("node = 0").select("tree", "node"))
+    at = df.select(run, F.array(*[F.col(f).cast("double") for f in features]).alias("x")).join(F.broadcast(nodes.where("node = 0").select("tree", "node")))
     for _ in range(deepest or 0):
         below = F.get("x", F.greatest("feature", F.lit(0))) <= F.col("threshold")
         step = F.when(F.col("feature") < 0, F.col("node")).when(below, F.col("left")).otherwise(F.col("right"))
@@ -137,7 +138,7 @@ def path_scores(df: DataFrame, nodes: DataFrame, run: str, features: Sequence[st
     n = F.col("size").cast("double")
     usual = 2 * (F.log(n - 1) + _EULER) - 2 * (n - 1) / n
     ends = F.col("depth") + F.when(n > 2, usual).when(n == 2, 1.0).otherwise(0.0)
-    found = at.join(nodes.select("tree", "node", "depth", "size"), ["tree", "node"]).groupBy(run).agg(F.avg(ends).alias("mean"))
+    found = at.join(F.broadcast(nodes.select("tree", "node", "depth", "size")), ["tree", "node"]).groupBy(run).agg(F.avg(ends).alias("mean"))
     return found.select(run, (0.5 - F.pow(F.lit(2.0), -F.col("mean") / float(mean_path(used or 1)))).alias("score"))
 
 

@@ -463,7 +463,7 @@ def mixed_types(load: Tables):
 @query("sink_silver", silver_sql())
 def sink_silver(load: Tables):
     path = scratch_path(load.spark, "silver")
-    tables.write_table(silver.run_features(load(NATIVE)), path)
+    tables.write_table(silver.run_features(silver.gathered(load(NATIVE))), path)
     return load.spark.read.parquet(path)
 
 

@@ -19,7 +19,7 @@ KEEP = ["run_id", "tranche", "cipher_state"]
 
 def _silver(load: Tables):
     """Runs are few bytes and much work: they are dealt out over the cores."""
-    return materialize(silver.run_features(load(NATIVE)).repartition(load.spark.sparkContext.defaultParallelism, "run_id"))
+    return materialize(silver.run_features(silver.gathered(load(NATIVE))).repartition(load.spark.sparkContext.defaultParallelism, "run_id"))
 
 
 @query("ml_split_tranche", f"""select run_id, case tranche when 'Tranche_B' then 'train' else 'test' end as part
