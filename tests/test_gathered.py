@@ -28,9 +28,11 @@ def test_walks_through_a_forest_shuffle_sums_only(spark):
     points = spark.range(40, numPartitions=4).select("id", (F.col("id") * 7 % 11).cast("double").alias("a"), (F.col("id") * 5 % 13).cast("double").alias("b"))
     nodes = forest.fit_forest(points, "id", ["a", "b"], trees=5, sample=16).localCheckpoint()
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         walked = forest.path_scores(points, nodes, "id", ["a", "b"], 16)
         plan = walked._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and walked.count() == 40
