@@ -9,7 +9,7 @@ from runlens.operators import features, gold, silver, silver_states
 from runlens.operators.features import Benchmark
 from runlens.plans.registry import Tables, query, rounded
 from runlens.plans.views import BRONZE, NATIVE
-from runlens.session import scratch_path
+from runlens.session import scratch_path, stored
 
 BRONZE_SQL, NATIVE_SQL = BRONZE.sql(), NATIVE.sql()
 
@@ -74,7 +74,8 @@ for _name in silver.FAMILIES:
 
 @query("silver_projection", silver_sql() + " order by tranche, session, run_id")
 def silver_projection(load: Tables):
-    return silver.ordered(silver.run_features(silver.gathered(load(NATIVE))))
+    """Silver is stored before it is ordered: Spark looks for the bounds of an order first, and would sketch every run twice."""
+    return silver.ordered(stored(silver.run_features(silver.gathered(load(NATIVE))), "silver"))
 
 
 @query("agg_approx_quantiles", f"""select run_id, {', '.join(
