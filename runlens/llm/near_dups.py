@@ -156,9 +156,14 @@ def _stars(edges: DataFrame) -> DataFrame:
     the node, link to the least of them."""
     around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = around.where("v > u").join(_shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    return large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return large.join(_shuffled(least), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+
+
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows of a join in a loop: Spark would broadcast them while they are few, and the driver would build a table for every join."""
+    return rows.hint("merge")
 
 
 def _bound(least_percent: int) -> float:
@@ -193,11 +198,11 @@ def _prefixes(starred: DataFrame, least_percent: int) -> tuple[DataFrame, DataFr
 
 def _apart(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """(hub, element, n, node, ...) of those groups (hub, element) whose n nodes are in more than one component, with their component."""
-    placed = rows.join(joined, "node", "left").select(
+    placed = rows.join(_shuffled(joined), "node", "left").select(
         "hub", "node", "linked", "size", "d", F.coalesce("component", "node").alias("component"), F.explode("first").alias("e")
     ).select("hub", "e.element", "node", "linked", "size", "d", "e.place", "component")
     groups = placed.groupBy("hub", "element").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return placed.join(groups.where("low != high").select("hub", "element", "n"), ["hub", "element"])
+    return placed.join(_shuffled(groups.where("low != high").select("hub", "element", "n")), ["hub", "element"])
 
 
 def _may_link(least_percent: int) -> Column:
@@ -236,10 +241,10 @@ def _links(pairs: DataFrame, nodes: DataFrame, least_percent: int) -> DataFrame:
 
 def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
     """``joined`` after further links. Only the components that they touch are nodes of the graph that is searched."""
-    ends = [joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
+    ends = [_shuffled(joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))) for c in "ab"]
     touched = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
     roots = stored(components(touched), "roots")
-    moved = joined.join(roots.toDF("component", "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    moved = joined.join(_shuffled(roots.toDF("component", "root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     return moved.union(roots.select("node", "component"))
 
 
@@ -346,12 +351,12 @@ def drop_near_duplicates(
     decided = _decided(docs, least_percent, shingle, bands, rows).where("kept")
     chosen = decided.where("set_key is not null").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_key"))).agg(
         F.min(F.struct("doc_id", "text_hash")).alias("one")
-    ).select(F.col("one.doc_id").alias("kept_id"), F.col("one.text_hash").alias("kept_hash"))
+    ).select(F.struct("one.doc_id").alias("id"), F.col("one.text_hash").alias("text_hash"))
+    # Null ids are equal within a struct, so the join and the window ask for one and the same shuffle of whole rows.
     rows_ = docs.select(
-        whole_row(docs).alias("row"), docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"),
+        whole_row(docs).alias("row"), F.struct(docs["doc_id"].alias("doc_id")).alias("id"), F.xxhash64(docs["text"]).alias("text_hash"),
         (F.length(F.translate(F.coalesce(docs["text"], F.lit("")), " \t\n\x0b\f\r", "")) > 0).alias("has_words"),
     )
-    same = chosen["kept_id"].eqNullSafe(rows_["doc_id"]) & (chosen["kept_hash"] == rows_["text_hash"])
-    once = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))
-    full = rows_.where("has_words").join(chosen, same, "left_semi").withColumn("copy", F.row_number().over(once)).where("copy = 1")
+    once = Window.partitionBy("id", "text_hash").orderBy(F.lit(0))
+    full = rows_.where("has_words").join(_shuffled(chosen), ["id", "text_hash"], "left_semi").withColumn("copy", F.row_number().over(once)).where("copy = 1")
     return full.select("row.*").unionByName(rows_.where("not has_words").select("row.*"))
