@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from runlens.constants import CATALOGUE_HEADERS, SHEETS
 from runlens.functions.stats import number
+from runlens.session import few_listing_tasks
 
 BRONZE_IDENTITY = (
     "run_id string, run_number bigint, cipher_state string, tranche string, session string,"
@@ -35,7 +36,8 @@ def bronze_schema(measurements: Sequence[str]) -> T.StructType:
 def read_bronze(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """Files of differing columns and number types as one table; missing columns are null."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.schema(schema).parquet(*paths)
+    with few_listing_tasks(spark):
+        return spark.read.schema(schema).parquet(*paths)
 
 
 def write_bronze(df: DataFrame, path: str, order: Sequence[str] = ("ordinal",), by_run: bool = False) -> None:

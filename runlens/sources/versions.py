@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.session import few_listing_tasks
 from runlens.sources.files import list_files
 
 DIGITS = 12
@@ -113,7 +114,8 @@ def _opened(spark: SparkSession, table: str, chosen: DataFrame, schema: T.Struct
             raise ValueError(f"{table} has no files, so its columns are unknown")
         return spark.createDataFrame([], schema)
     reader = spark.read if schema is None else spark.read.schema(schema.add("commit", "string") if "commit" not in schema.names else schema)
-    return reader.option("basePath", f"{table}/data").parquet(*paths).drop("commit")
+    with few_listing_tasks(spark):
+        return reader.option("basePath", f"{table}/data").parquet(*paths).drop("commit")
 
 
 def read(spark: SparkSession, table: str, schema: T.StructType | None = None, number: int | None = None) -> DataFrame:
