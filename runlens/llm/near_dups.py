@@ -140,25 +140,31 @@ def confirm(pairs: DataFrame, docs: DataFrame, least_percent: int, shingle: int)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): every node of a link with the least node it reaches, by alternating large-star and small-star."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
+    """(node, component): every node of a link with the least node it reaches, by alternating large-star and small-star.
+
+    All is done once no node has two links down, or links both up and down.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     while True:
-        edges = materialize(_stars(_stars(edges)))  # two rounds to a checkpoint: fewer files, and few components need more
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        edges = materialize(_stars(_stars(edges)).distinct())  # two rounds to a checkpoint: fewer files, and few components need more
+        if not _unsettled(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One round. Large-star: neighbours above a node link to the least node around it. Small-star: neighbours below a node, and
-    the node, link to the least of them."""
-    around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = around.where("v > u").join(_shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    return large.join(_shuffled(least), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    the node, link to the least of them. Each is one shuffle; a link may come out several times."""
+    least = F.min("v").over(Window.partitionBy("u"))
+    around = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    large = around.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return large.withColumn("m", least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v")
+
+
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes that are not yet either a least node or linked to one only. ``edges`` are distinct."""
+    ends = edges.select(F.inline(F.array(*[F.struct(F.col(c).alias("node"), F.lit(down).alias("down")) for c, down in (("u", 1), ("v", 0))])))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+    return nodes.where("down > 1 or (down = 1 and n > 1)").count()
 
 
 def _shuffled(rows: DataFrame) -> DataFrame:
@@ -189,8 +195,8 @@ def _prefixes(starred: DataFrame, least_percent: int) -> tuple[DataFrame, DataFr
         F.col("a").alias("hub"), F.col("b").alias("node"), "linked", F.col("size_b").alias("size"), d.alias("d"), (d - least + 1).alias("prefix"), "differ"
     )
     elements = nodes.where("prefix > 0").select("hub", "node", F.explode("differ").alias("element"))
-    common = elements.groupBy("hub", "element").agg(F.count("*").alias("n"))
-    ordered = elements.join(common, ["hub", "element"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("ordered"))
+    common = elements.withColumn("n", F.count("*").over(Window.partitionBy("hub", "element")))
+    ordered = common.groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("ordered"))
     first = F.transform(F.slice("ordered", F.lit(1), F.col("prefix").cast("int")), lambda e, i: F.struct(i.alias("place"), e["element"].alias("element"), e["n"].alias("n")))
     rows = nodes.join(ordered, ["hub", "node"]).select("hub", "node", "linked", "size", "d", F.filter(first, lambda e: e["n"] > 1).alias("first"))
     return nodes, rows.where(F.size("first") > 0)
@@ -201,8 +207,9 @@ def _apart(rows: DataFrame, joined: DataFrame) -> DataFrame:
     placed = rows.join(_shuffled(joined), "node", "left").select(
         "hub", "node", "linked", "size", "d", F.coalesce("component", "node").alias("component"), F.explode("first").alias("e")
     ).select("hub", "e.element", "node", "linked", "size", "d", "e.place", "component")
-    groups = placed.groupBy("hub", "element").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return placed.join(_shuffled(groups.where("low != high").select("hub", "element", "n")), ["hub", "element"])
+    group = Window.partitionBy("hub", "element")
+    grouped = placed.withColumns({"n": F.count("*").over(group), "low": F.min("component").over(group), "high": F.max("component").over(group)})
+    return grouped.where("low != high").drop("low", "high")
 
 
 def _may_link(least_percent: int) -> Column:
@@ -284,11 +291,14 @@ def link_components(
 ) -> DataFrame:
     """(node, component) for the nodes of confirmed links among ``members`` (bucket, node), and of the given links.
 
+    Repeated members, and nodes alone in a bucket, change nothing.
+
     A bucket does not emit its pairs. Its least node, the hub, is compared with the others. Nodes of one bucket that are then in
     different components are compared only where their differences from the hub allow a link; no proposed link is lost.
     """
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
-    star = members.join(hubs, "bucket").where("node != hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
+    bucket = Window.partitionBy("bucket")
+    starry = members.withColumns({"hub": F.min("node").over(bucket), "n": F.count("*").over(bucket)}).where("node != hub")
+    star = starry.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
     part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / TOGETHER))
     star = stored(star.select("a", "b", (F.col("n") > 2).alias("wide"), part.alias("part")), "star")
     starred = materialize(confirm(verified(star, minima, least_percent), docs, least_percent, shingle))
@@ -304,8 +314,6 @@ def _decided(docs: DataFrame, least_percent: int, shingle: int, bands: int, rows
     with_words = signed.where("set_key is not null")
     classes = with_words.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"))
     members = classes.where("node is not null").select("node", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("bucket")
-    members = materialize(members.join(shared, "bucket").select("bucket", "node").distinct())
     class_node = classes.select("set_key", "node")
     ids = with_words.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"))
     several = ids.where("doc_id is not null and low != high").select("doc_id")
