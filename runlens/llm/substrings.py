@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,10 +196,9 @@ def repeated_windows(strings: list[bytes], twice: np.ndarray, window: int) -> li
 
     Windows are sorted by a hash; neighbours of one hash are then compared word by word.
     """
-    names: dict[bytes, int] = {}
-    lists = [s.split(b" ") for s in strings]
-    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids = np.fromiter((names.setdefault(w, len(names)) for ws in lists for w in ws), np.int64, int(lengths.sum()))
+    lists = pc.split_pattern(pa.array(strings, pa.binary()), b" ")
+    lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    ids = lists.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)  # words numbered in order of appearance
     hashes = window_hashes(mixed(ids.astype(np.uint64) + np.uint64(1)), window)
     counts = lengths - window + 1
     begin = np.cumsum(lengths) - lengths
