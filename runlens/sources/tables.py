@@ -25,6 +25,8 @@ MANIFEST_SCHEMA = (
 )
 FILE_ROWS = 5_000_000
 GROUP_ROWS = 50_000  # rows of a Parquet row group
+# On a local file system Hadoop starts a chmod process for every folder, four for a file with its checksum file, and one for a file without.
+PLAIN_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def bronze_schema(measurements: Sequence[str]) -> T.StructType:
@@ -60,6 +62,7 @@ def bronze_writer(by_run: bool = False) -> Callable[[DataFrameWriter], DataFrame
         .option("compression", "snappy")
         .option("maxRecordsPerFile", FILE_ROWS)
         .option("parquet.block.row.count.limit", GROUP_ROWS)
+        .options(**PLAIN_LOCAL)
     )
 
 
