@@ -25,7 +25,7 @@ MANIFEST_SCHEMA = (
 )
 FILE_ROWS = 5_000_000
 GROUP_ROWS = 50_000  # rows of a Parquet row group
-# On a local file system Hadoop starts a chmod process for every folder, four for a file with its checksum file, and one for a file without.
+# On a local file system without native code Hadoop starts a chmod process for every folder, every file and every checksum file.
 PLAIN_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
