@@ -16,11 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.session import scratch_path
-
 BACKGROUND = 100  # runs that stand for an absent feature's values
 LEAF_SCHEMA = "tree int, value double, features array<int>, low array<double>, high array<double>"
 _FACTORIAL = np.array([float(math.factorial(i)) for i in range(171)])
@@ -28,17 +26,8 @@ _FACTORIAL = np.array([float(math.factorial(i)) for i in range(171)])
 
 def forest_nodes(model: PipelineModel) -> DataFrame:
     """The nodes of a fitted random forest: tree, node, feature, threshold, left, right (-1 at leaves), value, the share of class 1,
-    off_rows and on_rows, impurity and gain. They are read from the saved form of the model. A tree whose bag was empty has no value, and no vote."""
-    spark = SparkSession.active()
-    path = scratch_path(spark, "forest")
-    model.stages[-1].write().save(path)
-    node = F.col("nodeData")
-    return spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), node["id"].alias("node"), node["split"]["featureIndex"].alias("feature"),
-        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
-        F.try_divide(node["impurityStats"][1], node["impurityStats"][0] + node["impurityStats"][1]).alias("value"),
-        node["impurityStats"][0].alias("off_rows"), node["impurityStats"][1].alias("on_rows"), node["impurity"].alias("impurity"), node["gain"].alias("gain"),
-    )
+    off_rows and on_rows, impurity and gain. A tree whose bag was empty has no value, and no vote."""
+    return model.stages[-1].nodes
 
 
 def forest_leaves(nodes: DataFrame) -> DataFrame:
