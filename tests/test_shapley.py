@@ -113,3 +113,54 @@ def test_forest_keeps_its_rows_nodes(spark):
     fitted = models.fit_random_forest(spark.createDataFrame(rows, "run_id string, cipher_state string, a double, b double"), ["a", "b"], trees=5, depth=4)
     forest = fitted.stages[-1]
     assert forest.getOrDefault("cacheNodeIds") and forest.getOrDefault("maxMemoryInMB") == models.NODES_MB
+
+
+def test_neighbours_share_their_work():
+    """Leaves that are worked out together, far ones, wide ones and impossible ones: against a plain sum over leaves, runs and background."""
+    rng = np.random.default_rng(8)
+    width, own, base = 70, rng.normal(size=(9, 70)).round(1), rng.normal(size=(5, 70)).round(1)
+    leaves, path = [], {}
+    for i in range(40):
+        if i % 6 == 0:  # another part of the tree
+            path = {int(f): (-np.inf, 1.5) for f in rng.choice(width, 68 if i == 18 else rng.integers(0, 9), replace=False)}
+        f = int(rng.integers(width))
+        path = path | {f: (-1.0, 2.0) if i % 3 else (0.5, np.inf)}
+        leaves.append((float(i % 5), dict(path) | ({3: (1.0, 1.0)} if i == 7 else {})))
+    expected, score, mean = np.zeros((width, 9)), np.zeros(9), 0.0
+    for value, bounds in leaves:
+        for z in base:
+            mean += value * all(lo < z[f] <= hi for f, (lo, hi) in bounds.items()) / len(base)
+            for r, x in enumerate(own):
+                mine, theirs = ({f for f, (lo, hi) in bounds.items() if lo < p[f] <= hi} for p in (x, z))
+                if mine | theirs != set(bounds):
+                    continue
+                a, b = len(mine - theirs), len(theirs - mine)
+                for f in mine - theirs:
+                    expected[f, r] += value / len(base) * math.factorial(a - 1) * math.factorial(b) / math.factorial(a + b)
+                for f in theirs - mine:
+                    expected[f, r] -= value / len(base) * math.factorial(a) * math.factorial(b - 1) / math.factorial(a + b)
+        score += [value * all(lo < x[f] <= hi for f, (lo, hi) in bounds.items()) for x in own]
+    order = [sorted(bounds) for _, bounds in leaves]
+    low, high = (np.array([bounds[f][s] for (_, bounds), fs in zip(leaves, order, strict=True) for f in fs]) for s in (0, 1))
+    flat = np.array([v for v, _ in leaves]), np.cumsum([0, *map(len, order)]), np.concatenate(order).astype(int), low, high
+    found = shapley.contributions(own, base, flat)
+    assert found[0] == pytest.approx(expected, abs=1e-12) and found[1] == pytest.approx(score) and found[2] == pytest.approx(mean)
+
+
+def test_leaves_do_not_pass_the_driver(spark, monkeypatch):
+    """Runs and leaves are stored and read by tasks; only the background is collected."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_):
+        raise AssertionError("rows were taken to the driver")
+
+    rng = np.random.default_rng(9)
+    nodes = spark.createDataFrame([r for t in range(3) for r in random_tree(rng, t, 4, 3)], NODES)
+    runs = spark.createDataFrame([(f"r{i}", rng.normal(size=3).tolist()) for i in range(20)], "run string, own array<double>")
+    monkeypatch.setattr(shapley, "BLOCK", 6)
+    monkeypatch.setattr(DataFrame, "toArrow", refused)
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    found = shapley.explain(runs, "run", shapley.forest_leaves(nodes), runs.limit(4), 3)
+    monkeypatch.undo()
+    assert {r.run for r in found.collect()} == {f"r{i}" for i in range(20)}
+    assert all(sum(r["values"]) == pytest.approx(r.score - r.base, abs=1e-9) for r in found.collect())
