@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.ordinal import running_total
-from runlens.operators.random_forest import RandomForest
+from runlens.operators.random_forest import RandomForest, RandomForestModel, switched
 
 LABEL = "cipher_state"
 TRAIN, TEST = ("Tranche_B",), ("Tranche_A", "Tranche_C")
@@ -217,7 +217,8 @@ def shapley_values(
 
     For each run and sample, features switch one by one, in random order, from a background
     run's values to the run's own. Each step's score counts for the feature just switched and
-    against the next one, so contributions are sums: no ordering of scores is needed. The
+    against the next one, so contributions are sums: no ordering of scores is needed. A forest of
+    ``random_forest`` is not scored at every step, its trees are walked once for all of them. The
     background is ``samples`` runs, a fixed number, and is broadcast.
     """
     d = len(features)
@@ -232,12 +233,17 @@ def shapley_values(
         .select("k", F.get("all", F.col("k") % F.size("all"))["own"].alias("base"))  # fewer runs than samples: in turn
     )
     places = F.sequence(F.lit(0), F.lit(d - 1))
-    draws = F.transform(places, lambda i: F.struct(F.xxhash64(F.col(run), "k", i, F.lit(seed)), i.alias("i")))
+    draws = F.transform(places, lambda i: F.struct(F.xxhash64(F.col(run), "k", i, F.lit(seed)).alias("draw"), i.alias("i")))
     drawn = (
         vectors.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
         .join(F.broadcast(background), "k")
-        .withColumn("order", F.transform(F.array_sort(draws), lambda s: s["i"]))
     )
+    names = F.array(*[F.lit(f) for f in features])
+    if isinstance(model.stages[-1], RandomForestModel):  # its leaves say at which steps its score changes
+        gained = switched(model.stages[-1], drawn.withColumn("draws", F.transform(draws, lambda s: s["draw"])), run)
+        sums = gained.groupBy(run).agg(F.array(*[F.sum(F.get("values", F.lit(i))) / samples for i in range(d)]).alias("values"))
+        return sums.select(run, F.inline(F.arrays_zip(names.alias("feature"), F.col("values").alias("value"))))
+    drawn = drawn.withColumn("order", F.transform(F.array_sort(draws), lambda s: s["i"]))
     ranked = drawn.withColumn("ranks", F.transform(places, lambda i: F.array_position("order", i) - 1))
     steps = ranked.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d)))).withColumn(
         "pairs", F.arrays_zip("own", "base", "ranks")
@@ -253,5 +259,4 @@ def shapley_values(
         F.struct(F.get("order", F.col("step")).alias("place"), (-F.col("p")).alias("part")),
     ))).where(F.col("place").isNotNull())
     values = credits.groupBy(run, "place").agg(F.sum("part").alias("value"))
-    names = F.array(*[F.lit(f) for f in features])
     return values.select(run, F.get(names, F.col("place")).alias("feature"), "value")

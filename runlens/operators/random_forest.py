@@ -29,6 +29,7 @@ from runlens.session import scratch_path
 from runlens.sources.files import located, n_tasks, root_uri
 
 BINS = 32
+SWITCHED = 8192  # rows that pass a tree at once, feature by feature
 NODES = (
     "tree int, node int, feature int, threshold double, left int, right int, value double, off_rows double, on_rows double,"
     " impurity double, gain double"
@@ -306,3 +307,64 @@ def tree_votes(tree: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
     off, on = tree["off_rows"][at], tree["on_rows"][at]
     n = np.where(off + on > 0, off + on, 1.0)
     return np.stack([off / n, on / n])
+
+
+def switch_gains(tree: dict[str, np.ndarray], own: np.ndarray, base: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """What the tree's share of on gains where features switch, one by one in the order of their ranks, from ``base`` to ``own``: rows by ranks.
+
+    A leaf is reached between two switches: after the last feature that only ``own`` leads there, until the first that only ``base`` does. So a tree
+    costs the leaves that are passed on the way, not its score at every step.
+    """
+    n, d = own.shape
+    own, base, ranks = (x.ravel() for x in (own, base, ranks))
+    row, node = np.arange(n), np.zeros(n, np.int64)
+    since, until = np.full(n, -1, ranks.dtype), np.full(n, d, ranks.dtype)
+    places, changes = [], []
+    n_rows = tree["off_rows"] + tree["on_rows"]
+    values = tree["on_rows"] / np.where(n_rows > 0, n_rows, 1.0)
+    while len(row):
+        leaf = tree["left"][node] < 0
+        ends = np.flatnonzero(leaf)
+        value = values[node[ends]]
+        for at, sign in ((since[ends], 1.0), (until[ends], -1.0)):
+            kept = np.flatnonzero((at >= 0) & (at < d) & (value != 0))
+            places.append(row[ends[kept]] * d + at[kept])
+            changes.append(sign * value[kept])
+        inner = np.flatnonzero(~leaf)
+        row, node, since, until = row[inner], node[inner], since[inner], until[inner]
+        threshold, cell = tree["threshold"][node], row * d + tree["feature"][node]
+        mine, theirs, rank = own.take(cell) <= threshold, base.take(cell) <= threshold, ranks.take(cell)
+        after, before = np.maximum(since, rank), np.minimum(until, rank)
+        parts = []
+        for side, mine_there, theirs_there in (("left", mine, theirs), ("right", ~mine, ~theirs)):
+            first, last = np.where(theirs_there, since, after), np.where(mine_there, until, before)
+            go = np.flatnonzero((mine_there | theirs_there) & (first < last))
+            parts.append((row[go], tree[side][node[go]], first[go], last[go]))
+        row, node, since, until = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return np.bincount(np.concatenate(places), np.concatenate(changes), n * d).reshape(n, d)
+
+
+def switched(model: RandomForestModel, steps: DataFrame, run: str) -> DataFrame:
+    """Rows (run, values): for neighbouring rows (run, own, base, draws) of one run, the sum of what the forest's score gains as each feature switches.
+
+    Features switch in the order of their draws.
+    """
+    uri = model.uri
+
+    def gained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), SWITCHED):
+                rows = batch.iloc[start : start + SWITCHED]
+                own, base, draws = (np.stack(rows[c].to_numpy()) for c in ("own", "base", "draws"))
+                ranks = draws.argsort(axis=1, kind="stable").argsort(axis=1)
+                total, trees = 0.0, 0
+                for part in part_files(uri):
+                    for tree in trees_in(part):
+                        trees += tree["off_rows"][0] + tree["on_rows"][0] > 0
+                        total = total + switch_gains(tree, own, base, ranks)
+                values = np.take_along_axis(total, ranks, axis=1) / max(trees, 1)
+                first = np.flatnonzero(rows[run].ne(rows[run].shift()).to_numpy())
+                yield pd.DataFrame({run: rows[run].to_numpy()[first], "values": list(np.add.reduceat(values, first, axis=0))})
+
+    kind = dict(steps.dtypes)[run]
+    return steps.select(run, "own", "base", "draws").mapInPandas(gained, f"`{run}` {kind}, values array<double>")

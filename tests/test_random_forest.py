@@ -97,3 +97,24 @@ def test_one_class_and_no_rows(spark):
     assert {(r.left, r.value) for r in shapley.forest_nodes(model).collect()} == {(-1, 1.0)}
     with pytest.raises(ValueError, match="needs rows"):
         random_forest.RandomForest(numTrees=2).fit(spark.createDataFrame([], "target double, x double").selectExpr("target").join(model.stages[0].transform(_runs(spark, 4)).select("features").limit(0)))
+
+
+def test_switched_values_are_those_of_every_step(spark):
+    """Sampled Shapley values from the leaves that are passed, against the forest's score at every step; runs come twice, too."""
+    rng = np.random.default_rng(6)
+    runs = _runs(spark, 30)
+    model = models.fit_random_forest(runs, NAMES, trees=7, depth=6)
+    trees = [t for part in random_forest.part_files(model.stages[-1].uri) for t in random_forest.trees_in(part)]
+    own, base = rng.normal(size=(2, 40, 3)).round(1)
+    ranks = np.array([rng.permutation(3) for _ in own])
+    found = sum(random_forest.switch_gains(t, own, base, ranks) for t in trees)
+    steps = [np.where(ranks < s, own, base) for s in range(4)]
+    scores = [sum(random_forest.tree_votes(t, p)[1] for t in trees) for p in steps]
+    assert found == pytest.approx(np.diff(np.stack(scores, axis=1), axis=1), abs=1e-12)
+    twice = runs.union(runs.limit(3))
+    sums = {r.run_id: r.total for r in models.shapley_values(model, twice, "run_id", NAMES, samples=5).groupBy("run_id").agg(F.sum("value").alias("total"), F.count("*").alias("n")).where("n = 3").collect()}
+    known = {r.run_id: r.score for r in models.predict(model, runs, ["run_id"]).collect()}
+    times = {r.run_id: r["count"] for r in twice.groupBy("run_id").count().collect()}
+    assert set(sums) == set(known)
+    first = {times[r]: known[r] - sums[r] / times[r] for r in known}  # the background's mean score
+    assert all(known[r] - sums[r] / times[r] == pytest.approx(first[1], abs=1e-9) for r in known)
